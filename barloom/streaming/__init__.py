@@ -1,0 +1,5 @@
+"""No streaming operators: price bars are processed as a daily batch.
+
+Scoring the newest window of every symbol is a batch job, see
+``barloom.plans.scoring``.
+"""

@@ -1,8 +1,9 @@
 """Market context: index and sector-fund series, and features against them.
 
-Context tables hold one row per series and calendar day; there is a fixed
-number of series, so a table of them is bounded by the calendar and may be
-broadcast. ``broadcast_calendar`` checks that bound.
+A context table is long, ``(ctx_symbol, Date, Close)``, with a fixed number of
+series. It is folded to one row per calendar day before it meets the bars; the
+number of days bounds that table whatever the input size, which is what allows
+the broadcast.
 """
 
 from __future__ import annotations
@@ -26,24 +27,6 @@ from barloom.schema import (
     VOLATILITY_INDEX,
 )
 
-# 15 series over 400 years of days, about 40 bytes a row, stay under 100 MB.
-_MAX_BROADCAST_ROWS = 15 * 400 * 366
-
-
-def broadcast_calendar(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a calendar-keyed table of at most ``rows`` rows.
-
-    Beyond the limit the hint is left off and the join runs as a shuffle join.
-    """
-    return F.broadcast(df) if rows <= _MAX_BROADCAST_ROWS else df
-
-
-def calendar_rows(ctx: DataFrame, series: int = 1) -> int:
-    """Upper bound on the rows of ``series`` daily series: the days they span."""
-    first, last = ctx.agg(F.min(TIME), F.max(TIME)).first()
-    return 0 if first is None else ((last - first).days + 1) * series
-
-
 def _by_series():
     return {"key": "ctx_symbol", "time": TIME}
 
@@ -70,33 +53,31 @@ def context_frame(ctx: DataFrame, symbols: Sequence[str] = tuple(CONTEXT_SYMBOLS
     return series.groupBy(TIME).agg(*columns)
 
 
-def market_return(ctx: DataFrame, symbol: str = BROAD_MARKET[0]) -> DataFrame:
-    one = ctx.filter(F.col("ctx_symbol") == symbol)
-    return one.select(TIME, W.pct_change(F.col("Close"), 1, **_by_series()).alias("_market_ret"))
-
+def context_by_day(ctx: DataFrame) -> DataFrame:
+    """One row per calendar day from the first to the last context day.
 
-def index_by_day(ctx: DataFrame, last_day: F.Column, symbol: str = VOLATILITY_INDEX) -> DataFrame:
-    """The index level known on every calendar day up to ``last_day``.
-
-    Each context row is spread over the days until the next one, so the as-of
-    join becomes an equality join on the date. A row with a NULL level counts.
+    The returns stand only on days that have them; the index level is carried
+    from the newest earlier context row, also when its level is NULL, so the
+    as-of join becomes an equality join on the date.
     """
-    days = ctx.select(TIME, F.when(F.col("ctx_symbol") == symbol, F.col("Close")).alias("v"))
-    rows = days.groupBy(TIME).agg(F.max("v").alias("v"))
-    # one row per context day: the window below is bounded by the calendar
-    order = Window.partitionBy(F.lit(0)).orderBy(TIME)
-    until = F.coalesce(F.date_sub(F.lead(TIME).over(order), 1), F.greatest(F.col(TIME), last_day))
-    return rows.withColumn("_until", until).select(
-        F.explode(F.sequence(F.col(TIME), F.col("_until"), F.expr("interval 1 day"))).alias(TIME),
-        F.col("v").alias("VIX"),
+    funds = list(SECTOR_ETF.values())
+    series = ctx.filter(F.col("ctx_symbol").isin(BROAD_MARKET[0], VOLATILITY_INDEX, *funds))
+    series = series.withColumn("Ret", W.pct_change(F.col("Close"), 1, **_by_series()))
+    mine = lambda s: F.col("ctx_symbol") == s
+    days = series.groupBy(TIME).agg(
+        F.max(F.when(mine(BROAD_MARKET[0]), F.col("Ret"))).alias("_market_ret"),
+        F.max(F.when(mine(VOLATILITY_INDEX), F.col("Close"))).alias("VIX"),
+        *[F.max(F.when(mine(f), F.col("Ret"))).alias(f"_ret_{f}") for f in funds],
     )
-
-
-def fund_returns(ctx: DataFrame) -> DataFrame:
-    funds = ctx.filter(F.col("ctx_symbol").isin(*SECTOR_ETF.values()))
-    return funds.select(
-        F.col("ctx_symbol").alias("_etf"), TIME, W.pct_change(F.col("Close"), 1, **_by_series()).alias("_fund_ret")
+    # days only: this single-partition window is bounded by the calendar
+    following = F.lead(TIME).over(Window.partitionBy(F.lit(0)).orderBy(TIME))
+    until = F.coalesce(F.date_sub(following, 1), F.col(TIME))
+    spread = days.select(
+        "*", F.explode(F.sequence(F.col(TIME), until, F.expr("interval 1 day"))).alias("_day")
     )
+    own = F.col("_day") == F.col(TIME)
+    exact = ["_market_ret"] + [f"_ret_{f}" for f in funds]
+    return spread.select("_day", "VIX", *[F.when(own, F.col(c)).alias(c) for c in exact])
 
 
 def with_sector(bars: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -111,21 +92,23 @@ def with_sector(bars: DataFrame, sectors: DataFrame) -> DataFrame:
 
 
 def with_context(bars: DataFrame, ctx: DataFrame) -> DataFrame:
-    """Market return, index level and sector-fund return of each bar's day."""
-    rows = calendar_rows(ctx)
+    """Market return, index level and sector-fund return of each bar's day.
+
+    One broadcast join on the day. Bars later than the last context day look
+    that day up for the index level and get no returns.
+    """
     held = bars.columns
-    out = bars.join(broadcast_calendar(market_return(ctx), rows), TIME, "left")
-    last_bar = F.lit(bars.agg(F.max(TIME)).first()[0]).cast("date")
-    out = out.join(broadcast_calendar(index_by_day(ctx, last_bar), rows), TIME, "left")
-    added = ["_market_ret", "VIX"]
+    last = ctx.agg(F.max(TIME)).scalar()
+    keyed = bars.withColumn("_last", last).withColumn("_day", F.least(TIME, "_last"))
+    joined = keyed.join(F.broadcast(context_by_day(ctx)), "_day", "left")
+    current = F.col(TIME) <= F.col("_last")
+    added = [F.when(current, F.col("_market_ret")).alias("_market_ret"), F.col("VIX")]
     if "Sector" in held:
-        etf = F.lit(None).cast("string")
-        for sector, fund in SECTOR_ETF.items():
-            etf = F.when(F.col("Sector") == sector, fund).otherwise(etf)
-        out = out.withColumn("_etf", etf)
-        out = out.join(broadcast_calendar(fund_returns(ctx), rows * len(SECTOR_ETF)), ["_etf", TIME], "left")
-        added.append("_fund_ret")
-    return out.select(*held, *added)
+        fund = F.lit(None).cast("double")
+        for sector, etf in SECTOR_ETF.items():
+            fund = F.when(F.col("Sector") == sector, F.col(f"_ret_{etf}")).otherwise(fund)
+        added.append(F.when(current, fund).alias("_fund_ret"))
+    return joined.select(*held, *added)
 
 
 def without_context(bars: DataFrame) -> DataFrame:

@@ -81,14 +81,14 @@ def bars_from_ticks(
     flat = ticks.select(
         symbol.cast("string").alias(KEY), date.cast("date").alias(TIME), price.alias("p"), size.alias("v"), key.alias("k")
     )
-    return flat.groupBy(KEY, TIME).agg(
+    daily = flat.groupBy(KEY, TIME).agg(
         F.min_by("p", "k").alias("Open"),
         F.max("p").alias("High"),
         F.min("p").alias("Low"),
         F.max_by("p", "k").alias("Close"),
-        F.max_by("p", "k").alias("Adj_Close"),
         F.sum("v").alias("Volume"),
     )
+    return daily.select(KEY, TIME, "Open", "High", "Low", "Close", F.col("Close").alias("Adj_Close"), "Volume")
 
 
 def wide_to_bars(wide: DataFrame, symbols: Sequence[str], separator: str = "|") -> DataFrame:

@@ -71,9 +71,9 @@ def context_by_day(ctx: DataFrame) -> DataFrame:
     )
     # days only: this single-partition window is bounded by the calendar
     following = F.lead(TIME).over(Window.partitionBy(F.lit(0)).orderBy(TIME))
-    until = F.coalesce(F.date_sub(following, 1), F.col(TIME))
+    days = days.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col(TIME)))
     spread = days.select(
-        "*", F.explode(F.sequence(F.col(TIME), until, F.expr("interval 1 day"))).alias("_day")
+        "*", F.explode(F.sequence(F.col(TIME), F.col("_until"), F.expr("interval 1 day"))).alias("_day")
     )
     own = F.col("_day") == F.col(TIME)
     exact = ["_market_ret"] + [f"_ret_{f}" for f in funds]

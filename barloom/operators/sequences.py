@@ -86,7 +86,7 @@ def with_batches(rows: DataFrame, batch_size: int = 64, shuffle: bool = False, s
     ranked = rows
     if shuffle:
         ranked = ranked.withColumn("_h", F.xxhash64(F.lit(seed), F.col(KEY), F.col(TIME)))
-        ranked = with_rank(ranked, F.shiftright("_h", 48), ["_h", KEY, TIME])
+        ranked = with_rank(ranked, F.shiftright("_h", 48), ["_h", KEY, TIME], name="_rank")
     else:
-        ranked = with_rank(ranked)
-    return ranked.select(*rows.columns, F.floor(F.col("rank") / batch_size).alias("batch_id"))
+        ranked = with_rank(ranked, name="_rank")
+    return ranked.select(*rows.columns, F.floor(F.col("_rank") / batch_size).alias("batch_id"))

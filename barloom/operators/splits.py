@@ -133,8 +133,10 @@ def walk_forward_splits(
     return marked.select(*panel.columns, taken).select(*panel.columns, "_fold.fold", "_fold.role")
 
 
-def with_rank(rows: DataFrame, bucket: Column | None = None, order: list[str] | None = None) -> DataFrame:
-    """0-based position as ``rank``, in (Date, Symbol) order by default.
+def with_rank(
+    rows: DataFrame, bucket: Column | None = None, order: list[str] | None = None, name: str = "rank"
+) -> DataFrame:
+    """0-based position as ``name``, in (Date, Symbol) order by default.
 
     Counts per bucket give the position a bucket starts at; rows are numbered
     within their bucket only.
@@ -147,7 +149,7 @@ def with_rank(rows: DataFrame, bucket: Column | None = None, order: list[str] |
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*(order or [KEY]))) - 1
     # one row per day or per 16-bit prefix
     ranked = marked.join(F.broadcast(starts), "_bucket")
-    return ranked.select(*rows.columns, (F.col("_before") + inside).alias("rank"))
+    return ranked.select(*rows.columns, (F.col("_before") + inside).alias(name))
 
 
 def in_order(panel: DataFrame) -> DataFrame:

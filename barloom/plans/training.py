@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators import metrics, scaling, splits
 from barloom.plans.panel import target_column
@@ -104,16 +105,20 @@ def walk_forward_validate(
     numbers = sorted({fold for fold, _ in sizes})
     if not numbers or sizes.get((numbers[0], "train"), 0) < min_train:
         raise ValueError("the first fold has too few train rows; use fewer folds or a smaller test_size")
-    results = None
+    results = []
     for fold in numbers:
-        part = folds.filter(F.col("fold") == fold)
+        # read by the scaler, the fit and the metrics
+        part = folds.filter(F.col("fold") == fold).drop("fold").persist()
         fitted = scaling.fit_scaler(part.filter("role = 'train'"), features, scaler)
         ready = fitted.transform(part)
         model = fit(ready.filter("role = 'train'"), features, target, kind, regression, **options)
-        scored = apply(model, ready.filter("role = 'test'"))
-        found = evaluate(scored, target, regression).withColumn("fold", F.lit(fold))
-        results = found if results is None else results.unionByName(found)
-    return results
+        scored = apply(model, ready.filter("role = 'test'")).select(target, "score").persist()
+        table = evaluate(scored, target, regression)
+        results.append((fold, *table.first()))  # one row per fold
+        scored.unpersist()
+        part.unpersist()
+    schema = T.StructType([T.StructField("fold", T.IntegerType()), *table.schema.fields])
+    return panel.sparkSession.createDataFrame(results, schema)
 
 
 def search(

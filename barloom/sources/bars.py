@@ -60,8 +60,9 @@ def one_bar_per_day(bars: DataFrame) -> DataFrame:
     values = [c for c in bars.columns if c not in (KEY, TIME)]
     grouped = bars.groupBy(KEY, TIME).agg(F.count("*").alias("_n"), *[F.first(v).alias(v) for v in values])
     message = F.concat(F.lit("more than one bar for "), F.col(KEY), F.lit(" on "), F.col(TIME).cast("string"))
-    checked = F.when(F.col("_n") == 1, F.col(TIME)).otherwise(F.raise_error(message).cast("date"))
-    return grouped.select(KEY, checked.alias(TIME), *values)
+    # in a filter, so that no column pruning removes it
+    single = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return grouped.filter(single).select(KEY, TIME, *values)
 
 
 def bars_from_ticks(

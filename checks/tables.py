@@ -843,9 +843,9 @@ MODEL_FEATURES = ["Return", "Close_to_MA_20", "Volatility_20", "Return_Mean_5",
 
 def _model_rows(spark, sf_dir):
     names = MODEL_FEATURES + ["Target_Return_1d"] + [f"Target_Direction_{h}d" for h in HORIZONS]
-    return panel.with_features(market.supplier_bars(spark, sf_dir), names).dropna(
-        subset=MODEL_FEATURES + ["Target_Return_1d"]
-    )
+    rows = panel.with_features(market.supplier_bars(spark, sf_dir), names)
+    # several passes read these rows; a real job would read a stored panel
+    return rows.select("Symbol", "Date", "Close", *names).dropna(subset=MODEL_FEATURES + ["Target_Return_1d"]).persist()
 
 
 @check(
@@ -870,7 +870,7 @@ def return_model(spark, sf_dir):
 
 @check("horizon_models", {"horizon": "i", "rows": "i", "roc_auc": 6})
 def horizon_models(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir).persist()
+    rows = _model_rows(spark, sf_dir)
     scaled = scaling.fit_scaler(rows, MODEL_FEATURES).transform(rows)
     models = training.fit_horizons(scaled, MODEL_FEATURES)
     scored = training.apply_horizons(models, scaled)
@@ -882,7 +882,7 @@ def horizon_models(spark, sf_dir):
 
 @check("walk_forward_validation", {"fold": "i", "rows": "i", "accuracy": 6, "roc_auc": 6, "loss": 6})
 def walk_forward_validation(spark, sf_dir):
-    return training.walk_forward_validate(_model_rows(spark, sf_dir).persist(), MODEL_FEATURES, n_splits=3)
+    return training.walk_forward_validate(_model_rows(spark, sf_dir), MODEL_FEATURES, n_splits=3)
 
 
 @check("model_search", {"options": "s", "mean": 6, "std": 6})
@@ -893,14 +893,14 @@ def model_search(spark, sf_dir):
 
 @check("feature_importance", {"Feature": "s", "Importance": 5, "place": "i", "share": 5})
 def feature_importance(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir).persist()
+    rows = _model_rows(spark, sf_dir)
     scaled = scaling.fit_scaler(rows, MODEL_FEATURES).transform(rows)
     return training.feature_importance(training.fit(scaled, MODEL_FEATURES, "Target_Direction_1d"), 25)
 
 
 @check("latest_predictions", {"Symbol": "s", "Date": "s", "Close": 2, "Pred_Prob": 4, "Direction": "s", "Confidence": 4})
 def latest_predictions(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir).persist()
+    rows = _model_rows(spark, sf_dir)
     scaler = scaling.fit_scaler(rows, MODEL_FEATURES)
     model = training.fit(scaler.transform(rows), MODEL_FEATURES, "Target_Direction_1d")
     newest = panel.with_features(market.supplier_bars(spark, sf_dir), MODEL_FEATURES)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
+from barloom.schema import KEY, TIME
 
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -46,6 +47,10 @@ _PIECES = {
 }
 
 
+# Finished columns are packed once there are this many of them.
+_PACK = 16
+
+
 @dataclass(frozen=True)
 class Feature:
     name: str
@@ -270,6 +275,27 @@ def add_features(df: DataFrame, names: Iterable[str], catalog: Catalog) -> DataF
 
     for name in names:
         place(name)
+
+    later: dict[int, set[str]] = {}
+    pending: set[str] = set()
+    for level in sorted(layers, reverse=True):
+        later[level] = set(pending)
+        for n in layers[level]:
+            pending |= catalog.reads(n)
+
+    wanted = set(given) | set(names)
+    live, packed = list(given), {}
     for level in sorted(layers):
-        df = df.select("*", *[catalog.expression(n) for n in layers[level]])
-    return df.select(*given, *names)
+        df = df.select(*live, *packed, *[catalog.expression(n) for n in layers[level]])
+        live += layers[level]
+        done = [n for n in live if n in wanted and n not in later[level] and n not in (KEY, TIME)]
+        live = [n for n in live if n in wanted or n in later[level]]
+        if len(done) >= _PACK and level != max(layers):
+            # a finished column costs a field copy at every further depth; a
+            # struct of them is one block of bytes
+            name = f"_done_{level}"
+            live = [n for n in live if n not in set(done)]
+            df = df.select(*live, *packed, F.struct(*done).alias(name))
+            packed[name] = done
+    place_of = {n: F.col(pack)[n].alias(n) for pack, fields in packed.items() for n in fields}
+    return df.select(*[place_of.get(n, F.col(n)) for n in given + names])

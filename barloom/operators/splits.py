@@ -17,12 +17,29 @@ from barloom.functions import windows as W
 from barloom.schema import KEY, TIME
 
 
+_SLICES = 64
+
+
+def _sliced(rows: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` plus ``_slice``: which of 64 ordered key ranges a row falls in.
+
+    The range edges are the 63 keys with the smallest hashes, a fixed number
+    whatever the table holds. They only decide how the work is cut up, so that
+    a bucket with a large share of all rows is not ordered by one task.
+    """
+    key = F.struct(*order)
+    few = keys.select(key.alias("_e")).orderBy(F.xxhash64("_e"), "_e").limit(_SLICES - 1)
+    edges = few.agg(F.array_sort(F.collect_list("_e"))).scalar()
+    marked = rows.withColumn("_edges", edges)
+    return marked.withColumn("_slice", F.size(F.filter("_edges", lambda e: e <= key))).drop("_edges")
+
+
 def rows_at(
     keys: DataFrame, bucket: Column, order: list[str], positions: Callable[[Column], Column]
 ) -> DataFrame:
     """``(k, position, *order)`` of the rows at given 0-based positions.
 
-    ``bucket`` must be monotone in ``order``. ``positions`` maps the total row
+    ``order`` is a unique key and ``bucket`` monotone in it. ``positions`` maps the total row
     count to an array of positions; those outside the table are left out.
     """
     keyed = keys.select(bucket.alias("_bucket"), *order)
@@ -41,12 +58,16 @@ def rows_at(
     ).filter((F.col("position") >= F.col("_before")) & (F.col("position") < F.col("_before") + F.col("_n")))
     # at most one row per asked position
     inside = keyed.join(F.broadcast(wanted), "_bucket")
-    place = F.row_number().over(Window.partitionBy("k").orderBy(*order)) - 1
-    return (
-        inside.withColumn("_place", place)
-        .filter(F.col("_place") == F.col("position") - F.col("_before"))
-        .select("k", "position", *order)
-    )
+    # within the bucket the same again, by slices of the key
+    inside = _sliced(inside.select("k", "position", "_before", *order), keyed, order)
+    sizes = inside.groupBy("k", "_slice").agg(F.count("*").alias("_m"))
+    in_bucket = Window.partitionBy("k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select("k", "_slice", (F.sum("_m").over(in_bucket) - F.col("_m")).alias("_skipped"), "_m")
+    at = F.col("position") - F.col("_before") - F.col("_skipped")
+    # 64 rows per asked position
+    inside = inside.join(F.broadcast(sizes), ["k", "_slice"]).filter((at >= 0) & (at < F.col("_m")))
+    place = F.row_number().over(Window.partitionBy("k", "_slice").orderBy(*order)) - 1
+    return inside.withColumn("_place", place).filter(F.col("_place") == at).select("k", "position", *order)
 
 
 def _boundaries(rows: DataFrame, fields: list[str]) -> Column:
@@ -138,17 +159,18 @@ def with_rank(
 ) -> DataFrame:
     """0-based position as ``name``, in (Date, Symbol) order by default.
 
-    Counts per bucket give the position a bucket starts at; rows are numbered
-    within their bucket only.
+    Counts per bucket and key slice give the position each starts at; rows are
+    numbered within theirs only.
     """
     bucket = F.col(TIME) if bucket is None else bucket
-    marked = rows.withColumn("_bucket", bucket)
-    counts = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    so_far = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    starts = counts.select("_bucket", (F.sum("_n").over(so_far) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*(order or [KEY]))) - 1
-    # one row per day or per 16-bit prefix
-    ranked = marked.join(F.broadcast(starts), "_bucket")
+    order = order or [TIME, KEY]
+    marked = _sliced(rows.withColumn("_bucket", bucket), rows, order)
+    counts = marked.groupBy("_bucket", "_slice").agg(F.count("*").alias("_n"))
+    # days (or 16-bit prefixes) times 64 rows
+    so_far = Window.partitionBy(F.lit(0)).orderBy("_bucket", "_slice").rowsBetween(Window.unboundedPreceding, 0)
+    starts = counts.select("_bucket", "_slice", (F.sum("_n").over(so_far) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket", "_slice").orderBy(*order)) - 1
+    ranked = marked.join(starts, ["_bucket", "_slice"])
     return ranked.select(*rows.columns, (F.col("_before") + inside).alias(name))
 
 

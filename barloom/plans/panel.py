@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.features import Catalog, add_features
 from barloom.operators import calendar, candles, context, recurrence, rolling, timeframe
 from barloom.schema import FUNDAMENTALS, KEY, MIN_BARS, MIN_ROWS, TIME, is_target
+from barloom.session import spread
 from barloom.sources import universe
 
 log = logging.getLogger(__name__)
@@ -32,6 +33,7 @@ def with_features(
     ctx: DataFrame | None = None,
     sectors: DataFrame | None = None,
     fundamentals: DataFrame | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """``bars`` plus the named columns, computing only what they need.
 
@@ -44,10 +46,12 @@ def with_features(
     out = bars
     recurrent = [n for n in recurrence.RECURRENCES if n in reads]
     if recurrent:
-        out = recurrence.with_recurrences(out, recurrent)
+        out = recurrence.with_recurrences(out, recurrent, placed)
     carried = [n for n in _CARRIED if n in reads]
     if carried:
         out = timeframe.with_timeframes(out, carried, source=bars)
+    elif recurrent:
+        out = spread(out, KEY)
     if "Sector" in reads or reads & {"_fund_ret"}:
         out = context.with_sector(out, sectors if sectors is not None else universe.sector_table(bars.sparkSession))
     if reads & {"VIX", "_market_ret", "_fund_ret"}:
@@ -96,7 +100,9 @@ def feature_panel(
     names += [n for n in WARM_UP + ([LABEL] if labelled else []) if n not in names]
     if symbols is not None:
         bars = bars.join(symbols.select(KEY), KEY, "left_semi")
-    panel = with_features(enough_history(bars, min_bars), names, ctx, sectors, fundamentals)
+    # the history count and the recurrences share this partitioning
+    placed = enough_history(spread(bars, KEY), min_bars)
+    panel = with_features(placed, names, ctx, sectors, fundamentals, placed=True)
     panel = panel.dropna(subset=WARM_UP + ([LABEL] if labelled else []))
     if labelled:
         panel = enough_history(panel, min_rows)

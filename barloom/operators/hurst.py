@@ -7,12 +7,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 
 
 def _rescaled_range(x: np.ndarray, lag: int) -> np.ndarray:
-    """Range of cumulative deviations over the deviation, for every chunk start."""
-    chunks = sliding_window_view(x, lag)
-    path = np.cumsum(chunks - chunks.mean(axis=1, keepdims=True), axis=1)
-    spread = chunks.std(axis=1)
+    """Range of cumulative deviations over the deviation, for every chunk start.
+
+    Chunks stand in columns, so each step works along the long axis.
+    """
+    chunks = np.ascontiguousarray(sliding_window_view(x, lag).T)
+    off = chunks - chunks.mean(axis=0)
+    spread = np.sqrt((off * off).mean(axis=0))
+    path = np.cumsum(off, axis=0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(spread > 0, (path.max(axis=1) - path.min(axis=1)) / spread, np.nan)
+        return np.where(spread > 0, (path.max(axis=0) - path.min(axis=0)) / spread, np.nan)
 
 
 def rolling_hurst(x: np.ndarray, window: int, max_lag: int) -> np.ndarray:
@@ -36,10 +40,10 @@ def rolling_hurst(x: np.ndarray, window: int, max_lag: int) -> np.ndarray:
     for row, lag in enumerate(range(2, max_lag)):
         chunk = _rescaled_range(values, lag)
         offsets = np.arange(0, window - lag, lag)
-        inside = chunk[starts[:, None] + offsets]
+        inside = chunk[starts + offsets[:, None]]
         counted = ~np.isnan(inside)
-        n = counted.sum(axis=1)
-        total = np.where(counted, inside, 0.0).sum(axis=1)
+        n = counted.sum(axis=0)
+        total = np.where(counted, inside, 0.0).sum(axis=0)
         with np.errstate(divide="ignore", invalid="ignore"):
             logs[row] = np.where(n > 0, np.log(total / n), np.nan)
     lags = np.log(np.arange(2, max_lag, dtype=float))[:, None]

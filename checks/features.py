@@ -12,8 +12,28 @@ from checks.market import SUPPLIER_BARS, TYPE_BARS, with_bars
 YEAR = "sqrt(252.0)"
 
 
+# Also run over the supplier universe: sparse histories, many one-trade bars.
+ON_SUPPLIERS = {
+    "adaptive_average",
+    "average_true_range",
+    "candlesticks",
+    "cci",
+    "directional_movement",
+    "hurst_exponent",
+    "macd",
+    "parabolic_sar",
+    "relative_strength",
+    "skew_and_correlation",
+    "stochastic",
+    "stochastic_rsi",
+    "volume_flow",
+}
+
+
 def feature_check(name, spec, layers, final, source="type", recursive=False):
     """Compare features added to the bars with SQL over the same bars."""
+    if source == "type" and name in ON_SUPPLIERS:
+        feature_check(f"{name}_suppliers", spec, layers, final, "supplier", recursive)
     bars_sql = TYPE_BARS if source == "type" else SUPPLIER_BARS
     bars = market.type_bars if source == "type" else market.supplier_bars
     columns = {**KEY_COLUMNS, **spec}

@@ -783,6 +783,16 @@ def best_epoch(spark, sf_dir):
     return metrics.best_epoch(folds, "rmse", larger_is_better=False)
 
 
+@metric_check(
+    "last_epochs",
+    {"epoch": "i", "rmse": 6},
+    "SELECT fold AS epoch, sqrt(avg((y - score) * (y - score))) AS rmse FROM scored GROUP BY fold ORDER BY fold DESC LIMIT 3",
+)
+def last_epochs(spark, sf_dir):
+    folds = metrics.regression_metrics(scored_rows(spark, sf_dir), ["fold"]).withColumnRenamed("fold", "epoch")
+    return metrics.last_epochs(folds, 3)
+
+
 @check(
     "multi_horizon_loss",
     {"loss": 7},

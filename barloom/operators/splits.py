@@ -70,10 +70,16 @@ def rows_at(
     return inside.withColumn("_place", place).filter(F.col("_place") == at).select("k", "position", *order)
 
 
-def _boundaries(rows: DataFrame, fields: list[str]) -> Column:
-    """The rows as one scalar: a map from k to its key."""
-    pairs = F.collect_list(F.struct("k", F.struct(*fields)))
-    return rows.agg(F.map_from_entries(pairs)).scalar()
+def _boundaries(rows: DataFrame, fields: list[str]) -> dict[int, Column]:
+    """The found rows' keys as literals, by k.
+
+    At most one short row per asked position comes to the driver, once; plans
+    built on the split stay small and do not look the position up again.
+    """
+    types = dict(rows.dtypes)
+    return {
+        r["k"]: F.struct(*[F.lit(r[f]).cast(types[f]).alias(f) for f in fields]) for r in rows.collect()
+    }
 
 
 def _whole(x: Column) -> Column:
@@ -98,13 +104,15 @@ def split_train_test(
         return _random_split(panel, test_size, seed)
     share = 1 - test_size
     cut = rows_at(panel, F.col(TIME), [TIME, KEY], lambda n: F.array(_whole(n * F.lit(share))))
-    marked = panel.withColumn("_cut", _boundaries(cut, [TIME, KEY])[F.lit(0)])
-    own = F.col(TIME) if by_date else F.struct(TIME, KEY)
-    edge = F.col("_cut")[TIME] if by_date else F.col("_cut")
-    side = F.when(edge.isNull() | (own < edge), "train").otherwise("test")
+    edge = _boundaries(cut, [TIME, KEY]).get(0)
+    if edge is None:
+        return panel.withColumn("split", F.lit("train"))
+    before = F.col(TIME) < edge[TIME] if by_date else F.struct(TIME, KEY) < edge
+    side = F.when(before, "train").otherwise("test")
+    marked = panel
     if embargo:
         marked = marked.withColumn("_ends", F.lead(TIME, embargo).over(W.by_symbol()))
-        reaches = (side == "train") & F.coalesce(F.col("_ends") >= F.col("_cut")[TIME], F.lit(False))
+        reaches = (side == "train") & F.coalesce(F.col("_ends") >= edge[TIME], F.lit(False))
         marked = marked.filter(~reaches)
     return marked.select(*panel.columns, side.alias("split"))
 
@@ -116,9 +124,11 @@ def _random_split(panel: DataFrame, test_size: float, seed: int) -> DataFrame:
     edge_rows = rows_at(
         keys, F.shiftright("_h", 48), fields, lambda n: F.array(F.ceil(n * F.lit(test_size)).cast("long"))
     )
-    marked = panel.withColumn("_h", drawn).withColumn("_cut", _boundaries(edge_rows, fields)[F.lit(0)])
-    test = F.col("_cut").isNull() | (F.struct(*fields) < F.col("_cut"))
-    return marked.select(*panel.columns, F.when(test, "test").otherwise("train").alias("split"))
+    edge = _boundaries(edge_rows, fields).get(0)
+    if edge is None:
+        return panel.withColumn("split", F.lit("test"))
+    test = F.struct(drawn.alias("_h"), KEY, TIME) < edge
+    return panel.select(*panel.columns, F.when(test, "test").otherwise("train").alias("split"))
 
 
 def walk_forward_splits(
@@ -137,19 +147,22 @@ def walk_forward_splits(
 
     fields = [TIME, KEY]
     edges = _boundaries(rows_at(panel, F.col(TIME), fields, starts).filter("position > 0"), fields)
-    marked = panel.withColumn("_edges", edges)
+    marked = panel
     if embargo:
         marked = marked.withColumn("_ends", F.lead(TIME, embargo).over(W.by_symbol()))
     own = F.struct(*fields)
     roles = []
-    for k in range(n_splits):
-        start, stop = F.col("_edges")[F.lit(k)], F.col("_edges")[F.lit(k + 1)]
+    for k in sorted(edges):
+        start, stop = edges[k], edges.get(k + 1)
         train = own < start
         if embargo:
             train &= F.coalesce(F.col("_ends") < start[TIME], F.lit(True))
-        test = (own >= start) & (F.lit(k == n_splits - 1) | (own < stop))
+        test = own >= start if stop is None else (own >= start) & (own < stop)
         role = F.when(train, "train").when(test, "test")
         roles.append(F.when(role.isNotNull(), F.struct(F.lit(k + 1).alias("fold"), role.alias("role"))))
+    if not roles:
+        empty = [F.lit(None).cast("int").alias("fold"), F.lit(None).cast("string").alias("role")]
+        return panel.limit(0).select(*panel.columns, *empty)
     taken = F.explode(F.array_compact(F.array(*roles))).alias("_fold")
     return marked.select(*panel.columns, taken).select(*panel.columns, "_fold.fold", "_fold.role")
 

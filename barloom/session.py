@@ -15,6 +15,8 @@ SETTINGS = {
     # Above 8000 bytes of bytecode the JVM interprets a method for good; fused
     # stages of wide projections get there, split ones do not.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Descriptions of wide plans are written at every re-plan; nobody reads megabytes.
+    "spark.sql.maxPlanStringLength": "20000",
     # Call-site capture costs several round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",

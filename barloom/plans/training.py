@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from statistics import fmean, pstdev
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -78,6 +79,37 @@ def evaluate(scored: DataFrame, target: str, regression: bool = False, by: list[
     return table
 
 
+def _prepared_folds(panel, features, target, n_splits, test_size, scaler, embargo, min_train):
+    """``(fold, train rows, test rows)``, scaled by the fold's train rows.
+
+    Each fold is kept in memory or on disk while the caller works on it.
+    """
+    rows = panel.select(KEY, TIME, *features, target).filter(F.col(target).isNotNull())
+    folds = splits.walk_forward_splits(rows, n_splits, test_size, embargo)
+    sizes = {
+        (r["fold"], r["role"]): r["count"] for r in folds.groupBy("fold", "role").count().collect()
+    }  # two rows per fold
+    numbers = sorted({fold for fold, _ in sizes})
+    if not numbers or sizes.get((numbers[0], "train"), 0) < min_train:
+        raise ValueError("the first fold has too few train rows; use fewer folds or a smaller test_size")
+    for fold in numbers:
+        part = folds.filter(F.col("fold") == fold).drop("fold")
+        fitted = scaling.fit_scaler(part.filter("role = 'train'"), features, scaler)
+        ready = fitted.transform(part).persist()
+        yield fold, ready.filter("role = 'train'"), ready.filter("role = 'test'")
+        ready.unpersist()
+
+
+def _fit_and_measure(train, test, features, target, kind, regression, options):
+    """Metric table's schema and its one row."""
+    model = fit(train, features, target, kind, regression, **options)
+    scored = apply(model, test).select(target, "score").persist()
+    table = evaluate(scored, target, regression)
+    row = table.first()
+    scored.unpersist()
+    return table.schema, row
+
+
 def walk_forward_validate(
     panel: DataFrame,
     features: list[str],
@@ -97,28 +129,14 @@ def walk_forward_validate(
     table. Raises when the first train part is too small to mean anything.
     """
     target = target_column(panel, horizon, regression)
-    rows = panel.select(KEY, TIME, *features, target).filter(F.col(target).isNotNull())
-    folds = splits.walk_forward_splits(rows, n_splits, test_size, embargo)
-    sizes = {
-        (r["fold"], r["role"]): r["count"] for r in folds.groupBy("fold", "role").count().collect()
-    }  # two rows per fold
-    numbers = sorted({fold for fold, _ in sizes})
-    if not numbers or sizes.get((numbers[0], "train"), 0) < min_train:
-        raise ValueError("the first fold has too few train rows; use fewer folds or a smaller test_size")
-    results = []
-    for fold in numbers:
-        # read by the scaler, the fit and the metrics
-        part = folds.filter(F.col("fold") == fold).drop("fold").persist()
-        fitted = scaling.fit_scaler(part.filter("role = 'train'"), features, scaler)
-        ready = fitted.transform(part)
-        model = fit(ready.filter("role = 'train'"), features, target, kind, regression, **options)
-        scored = apply(model, ready.filter("role = 'test'")).select(target, "score").persist()
-        table = evaluate(scored, target, regression)
-        results.append((fold, *table.first()))  # one row per fold
-        scored.unpersist()
-        part.unpersist()
-    schema = T.StructType([T.StructField("fold", T.IntegerType()), *table.schema.fields])
-    return panel.sparkSession.createDataFrame(results, schema)
+    results, schema = [], None
+    for fold, train, test in _prepared_folds(
+        panel, features, target, n_splits, test_size, scaler, embargo, min_train
+    ):
+        schema, row = _fit_and_measure(train, test, features, target, kind, regression, options)
+        results.append((fold, *row))
+    fields = [T.StructField("fold", T.IntegerType()), *schema.fields]
+    return panel.sparkSession.createDataFrame(results, T.StructType(fields))
 
 
 def search(
@@ -133,21 +151,25 @@ def search(
 ) -> tuple[dict, DataFrame]:
     """Best options by mean walk-forward AUC (or RMSE), and all results.
 
-    Give it train rows only; the held-out rows are scored once, afterwards.
+    Every fold is prepared once and serves all options. Give it train rows only;
+    the held-out rows are scored once, afterwards.
     """
     builder = ParamGridBuilder()
     model = _estimator(kind, regression)
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), values)
+    choices = [{p.name: v for p, v in params.items()} for params in builder.build()]
     metric = "rmse" if regression else "roc_auc"
-    trials = []
-    for params in builder.build():
-        options = {p.name: v for p, v in params.items()}
-        folds = walk_forward_validate(
-            panel, features, horizon, n_splits, test_size, kind, regression, **options
-        )
-        row = metrics.fold_summary(folds, metric).first()
-        trials.append((json.dumps(options, sort_keys=True), float(row["mean"]), float(row["std"])))
+    target = target_column(panel, horizon, regression)
+    found: list[list[float]] = [[] for _ in choices]
+    for _, train, test in _prepared_folds(panel, features, target, n_splits, test_size, "robust", 0, 50):
+        for values, options in zip(found, choices):
+            row = _fit_and_measure(train, test, features, target, kind, regression, options)[1]
+            values.append(float(row[metric]))
+    trials = [
+        (json.dumps(options, sort_keys=True), fmean(values), pstdev(values))
+        for options, values in zip(choices, found)
+    ]
     table = panel.sparkSession.createDataFrame(trials, "options string, mean double, std double")
     best = (min if regression else max)(trials, key=lambda t: t[1])
     return json.loads(best[0]), table

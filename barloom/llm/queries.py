@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, mixing, packing, token_counts
+from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, mixing, packing, quality, token_counts, toxicity
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.select("doc_id", "lang", F.col("n").alias("n_symbols"), "perplexity", "limit", "keep")
+
+
 @query
 def op2_embedding_near_dedup(spark, sf_dir):
     return binary_codes.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
@@ -127,6 +134,14 @@ def op8_nearest_neighbours(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), fold != 0)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)

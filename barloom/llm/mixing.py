@@ -35,6 +35,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, factor: float = FACTOR, mo
     # Sources in the order in which a rising level stops them.
     rise = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
+    whole = rise.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = rise.rowsBetween(Window.unboundedPreceding, -1)
     t = t.select(
         "*",
@@ -42,7 +43,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, factor: float = FACTOR, mo
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("open"),
     )
     level = F.col("left") / F.col("open")
-    t = t.withColumn("level", F.min(F.when(level * F.col("weight") < F.col("cap"), level)).over(everything))
+    t = t.withColumn("level", F.first(F.when(level * F.col("weight") < F.col("cap"), level), ignorenulls=True).over(whole))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return t.select("source", F.col("source_size").cast("long").alias("source_size"), "weight", target.alias("target"))
 

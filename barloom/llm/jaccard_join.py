@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent:
         seen = shared.value
         for batch in batches:
             rows = []
-            for key, t in zip(batch["id"], batch["text"]):
+            for key, t in zip(batch["id"].astype("Int64"), batch["text"]):
                 h = shingle_set(t, width)
                 n = len(h)
                 if not n:
@@ -71,7 +71,9 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent:
                 order = np.lexsort((h, seen[(h & np.uint64(CELLS - 1)).astype(np.int64)]))[:first]
                 counts = np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4")
                 rows.append((key, n, _node(h), counts.tobytes(), h[order].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n", "node", "counts", "keys"]).astype({"node": "Int64"})
+            ids, n, nodes, counts, keys = zip(*rows) if rows else [()] * 5
+            # Nullable integers: 64-bit hashes would lose digits as floats.
+            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": pd.array(n, "int64"), "node": pd.array(nodes, "Int64"), "counts": list(counts), "keys": list(keys)})
 
     made = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     return made.mapInPandas(sign, "id bigint, n bigint, node bigint, counts binary, keys array<bigint>")

@@ -119,12 +119,12 @@ def model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = stored(every)
     n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     spread = every.groupBy("k", "lang").agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def discount(i):
-        d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        d = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
         # Too few counts to estimate from: halves.
-        return F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0) & (d > 0) & (d < i), d).otherwise(i / 2).alias(f"d{i}")
+        return F.when((F.col("n1") > 0) & (d > 0) & (d < i), d).otherwise(i / 2).alias(f"d{i}")
 
     spread = spread.select("k", "lang", discount(1), discount(2), discount(3))
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))

@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         cells,
         F.col(f"r.{source}").eqNullSafe(F.col("c._source")) & (F.col("r._class") == F.col("c._class")) & (F.col("r._salt") == F.col("c._salt")),
     )
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST))).otherwise(0.0)
+    rate = F.when(F.col("source_size") > 0, F.least(F.try_divide("target", "source_size"), F.lit(MOST))).otherwise(0.0)
     at = F.col("_before") + F.col("_rank")
     offset = _unit(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_source"), F.lit(""))))
     crossed = F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)

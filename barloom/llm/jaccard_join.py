@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import components, cross_pairs, partitions, shared_buckets, shingle_set, star_pairs, stored, with_ids
 
-GROUPS = 64
+GROUPS = 512
+FULL = 255  # a group count that stands for itself or more
 CELLS = 1 << 18  # of the frequency sketch that orders shingles; any size gives the same result
 _CHUNK = 1 << 10
 LEAF = 16
@@ -69,7 +70,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent:
                     continue
                 first = n - -(-percent * n // 100) + 1
                 order = np.lexsort((h, seen[(h & np.uint64(CELLS - 1)).astype(np.int64)]))[:first]
-                counts = np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4")
+                counts = np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(max=FULL).astype(np.uint8)
                 rows.append((key, n, _node(h), counts.tobytes(), h[order].view(np.int64)))
             ids, n, nodes, counts, keys = zip(*rows) if rows else [()] * 5
             # Nullable integers: 64-bit hashes would lose digits as floats.
@@ -80,7 +81,10 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent:
 
 
 def _matrix(x: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(x), "<u4").reshape(len(x), GROUPS).astype(np.int64)
+    counts = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), GROUPS)
+    if counts.max(initial=0) < FULL:
+        return counts
+    return np.where(counts < FULL, counts, 1 << 20).astype(np.int32)  # nothing is known above a full count
 
 
 def _close(n1, n2, percent: int) -> np.ndarray:
@@ -112,7 +116,7 @@ def tree_pairs(c1, n1, c2, n2, percent: int) -> tuple[np.ndarray, np.ndarray]:
         near = (100 * ahi[i] >= percent * blo[j]) & (100 * bhi[j] >= percent * alo[i])
         i, j = i[near], j[near]
         keep = [
-            np.minimum(a[i[s : s + 65536]], b[j[s : s + 65536]]).sum(1) * (100 + percent) >= percent * (alo[i[s : s + 65536]] + blo[j[s : s + 65536]])
+            np.minimum(a[i[s : s + 65536]], b[j[s : s + 65536]]).sum(1, dtype=np.int64) * (100 + percent) >= percent * (alo[i[s : s + 65536]] + blo[j[s : s + 65536]])
             for s in range(0, len(i), 65536)
         ]
         keep = np.concatenate(keep) if keep else np.zeros(0, bool)
@@ -179,7 +183,7 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     def bound(b):
         return _close(b["n"], b["first_n"], percent).to_numpy() & (
-            np.minimum(_matrix(b["counts"]), _matrix(b["first_counts"])).sum(1) * (100 + percent) >= percent * (b["n"] + b["first_n"]).to_numpy()
+            np.minimum(_matrix(b["counts"]), _matrix(b["first_counts"])).sum(1, dtype=np.int64) * (100 + percent) >= percent * (b["n"] + b["first_n"]).to_numpy()
         )
 
     def pairs(x, y):

@@ -123,26 +123,48 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
             out[at[may]] = np.einsum("ij,ij->i", v[may], w[may]) >= threshold
         return out
 
+    def prepare(rows):
+        """Per vector length: the rows' places, unit vectors, and their codes."""
+        dims, place = rows["v"].map(len).to_numpy(), np.empty(len(rows), np.int64)
+        held = {}
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            place[at] = np.arange(len(at))
+            u = unit_rows(rows["v"].iloc[at])
+            held[dim] = (u, *coded(u))
+        return dims, place, held
+
+    def judge(arrays, i, j):
+        dims, place, held = arrays
+        out = np.zeros(len(i), bool)
+        for dim, (u, r, s, f) in held.items():
+            at = np.flatnonzero((dims[i] == dim) & (dims[j] == dim))
+            p, q = place[i[at]], place[j[at]]
+            estimate = np.einsum("ij,ij->i", s[p], r[q]) / math.sqrt(dim) / f[p]
+            may = estimate + SIGMAS * np.sqrt(np.maximum(1 - f[p] ** 2, 0)) / f[p] / math.sqrt(max(dim - 1, 1)) >= threshold
+            out[at[may]] = np.einsum("ij,ij->i", u[p[may]], u[q[may]]) >= threshold
+        return out
+
     def cross(x, y):
-        links = set()
+        links = []
         for dim in sorted({len(v) for v in x["v"]}):
             p, q = x[x["v"].map(len) == dim], y[y["v"].map(len) == dim]
             if not len(q):
                 continue
-            u, w = unit_rows(p["v"]), (unit_rows(q["v"]))
+            u, w = unit_rows(p["v"]), unit_rows(q["v"])
             a, b, ca, cb = p["node"].to_numpy(), q["node"].to_numpy(), p["component"].to_numpy(), q["component"].to_numpy()
             for s in range(0, len(u), BLOCK):
                 i, j = exact_pairs(u[s : s + BLOCK], w, threshold)
                 i = i + s
                 other = ca[i] != cb[j]
                 i, j = i[other], j[other]
-                # One link for two components is enough to join them.
-                _, first = np.unique(np.stack([np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])]), axis=1, return_index=True) if len(i) else (None, [])
-                links.update((min(a[i[k]], b[j[k]]), max(a[i[k]], b[j[k]])) for k in first)
-        return links
+                if len(i):  # one link for two components is enough to join them
+                    first = np.unique(np.stack([np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])]), axis=1, return_index=True)[1]
+                    links.append(np.stack([a[i[first]], b[j[first]]], axis=1))
+        return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
 
     star = stored(star_pairs(buckets, ["v"], 64, same))
-    rest = stored(cross_pairs(buckets, components(star), ["v"], cross))
+    rest = stored(cross_pairs(buckets, components(star), ["v"], prepare, judge, cross))
     found = stored(components(star.union(rest)).withColumnRenamed("id", "node"))
 
     # Links within components: every two blocks meet once.

@@ -147,7 +147,31 @@ def components(edges: DataFrame) -> DataFrame:
 # --- groups, streamed --------------------------------------------------------------
 
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], Iterable[tuple]], schema: str, within: tuple[str, ...] = ()) -> DataFrame:
+def whole_groups(batches, keys: list[str]) -> Iterable[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches, cut anew so that each holds whole groups of ``keys``, with the groups' bounds."""
+    held = None
+
+    def bounds(batch):
+        new = np.zeros(len(batch), bool)
+        for k in keys:
+            v = batch[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(new)])
+
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        starts = bounds(batch)
+        held = batch.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield batch.iloc[: starts[-1]], starts
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], Iterable[tuple]], schema: str) -> DataFrame:
     """``work`` on each group of ``keys``; a task holds one batch and the group at its end.
 
     Groups must be bounded by the caller. ``work`` yields tuples of ``schema``.
@@ -155,27 +179,12 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], Iter
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            new = np.zeros(len(batch), bool)
-            for k in keys:
-                v = batch[k].to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            starts = np.concatenate([[0], np.flatnonzero(new)])
-            rows = [r for a, b in zip(starts[:-1], starts[1:]) for r in work(batch.iloc[a:b])]
-            held = batch.iloc[starts[-1] :]
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-        if held is not None and len(held):
-            rows = list(work(held))
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-
-    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *within).mapInPandas(run, schema)
+        for rows, bounds in whole_groups(batches, keys):
+            out = [r for a, b in zip(bounds[:-1], bounds[1:]) for r in work(rows.iloc[a:b])]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 # --- candidate pairs in buckets ------------------------------------------------------
@@ -222,12 +231,28 @@ def star_pairs(buckets: DataFrame, payload: list[str], least: int, test: Callabl
     return both.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
-def cross_pairs(buckets: DataFrame, found: DataFrame, payload: list[str], pairs: Callable[[pd.DataFrame, pd.DataFrame], Iterable[tuple]]) -> DataFrame:
-    """Distinct (a, b) that ``pairs`` yields for bucket mates of different components of ``found`` (id, component).
+SMALL = 32  # groups up to this size are paired together, array by array
+
+
+def small_pairs(bounds: np.ndarray) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j within groups of at most ``SMALL`` rows, one distance after the other."""
+    sizes = np.diff(bounds)
+    ends = np.repeat(np.where(sizes <= SMALL, bounds[1:], bounds[:-1]), sizes)
+    at = np.arange(bounds[-1])
+    for s in range(1, SMALL):
+        i = at[at + s < ends]
+        if not len(i):
+            break
+        yield i, i + s
+
+
+def cross_pairs(buckets: DataFrame, found: DataFrame, payload: list[str], prepare: Callable[[pd.DataFrame], object], judge: Callable, pairs: Callable) -> DataFrame:
+    """Distinct (a, b) of bucket mates of different components of ``found`` (id, component) that may be, or are, links.
 
     Large buckets are cut into blocks of about ``BLOCK`` rows and every two blocks
     meet in a group of their own, so no pair is lost and no group is larger than two blocks.
-    ``pairs`` gets two frames with node, component and payload, and must skip pairs of one component.
+    ``prepare`` turns rows into arrays; ``judge(arrays, i, j)`` tests the pairs of small groups, ``pairs(x, y)`` finds those of
+    two frames with node, component and payload, which may be one and the same, and skips pairs of one component.
     """
     b = buckets.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = b.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1")
@@ -236,12 +261,31 @@ def cross_pairs(buckets: DataFrame, found: DataFrame, payload: list[str], pairs:
     b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     b = b.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", *payload)
 
-    def work(g):
-        x, y = g["x"].iat[0], g["y"].iat[0]
-        if x == y:
-            yield from pairs(g, g)
-        else:
-            inside = g["block"].to_numpy() == x
-            yield from pairs(g[inside], g[~inside])
-
-    return by_group(b, ["key", "x", "y"], work, "a bigint, b bigint").distinct()
+    def run(batches):
+        for rows, bounds in whole_groups(batches, ["key", "x", "y"]):
+            out = []
+            node, component = rows["node"].to_numpy(), rows["component"].to_numpy()
+            block, x = rows["block"].to_numpy(), rows["x"].to_numpy()
+            arrays = prepare(rows)
+            cut = (x != rows["y"].to_numpy())[bounds[:-1]]
+            for i, j in small_pairs(bounds):
+                # Two blocks of a cut bucket meet here; those within a block meet elsewhere too.
+                other = component[i] != component[j]
+                i, j = i[other], j[other]
+                for s in range(0, len(i), 65536):
+                    p, q = i[s : s + 65536], j[s : s + 65536]
+                    good = judge(arrays, p, q)
+                    out.append(np.stack([node[p[good]], node[q[good]]], axis=1))
+            for k in np.flatnonzero(np.diff(bounds) > SMALL):
+                g = rows.iloc[bounds[k] : bounds[k + 1]]
+                if cut[k]:
+                    inside = (block == x)[bounds[k] : bounds[k + 1]]
+                    out.append(pairs(g[inside], g[~inside]))
+                else:
+                    out.append(pairs(g, g))
+            found_here = np.concatenate([o for o in out if len(o)]) if any(len(o) for o in out) else np.zeros((0, 2), np.int64)
+            found_here = np.unique(np.sort(found_here, axis=1), axis=0)
+            yield pd.DataFrame({"a": found_here[:, 0], "b": found_here[:, 1]})
+
+    keys = ["key", "x", "y"]
+    return b.repartition(partitions(b.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint").distinct()

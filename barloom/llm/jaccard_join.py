@@ -186,18 +186,27 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             np.minimum(_matrix(b["counts"]), _matrix(b["first_counts"])).sum(1, dtype=np.int64) * (100 + percent) >= percent * (b["n"] + b["first_n"]).to_numpy()
         )
 
+    def prepare(rows):
+        return _matrix(rows["counts"]), rows["n"].to_numpy()
+
+    def judge(arrays, i, j):
+        c, n = arrays
+        out = _close(n[i], n[j], percent)
+        at = np.flatnonzero(out)
+        out[at] = np.minimum(c[i[at]], c[j[at]]).sum(1, dtype=np.int64) * (100 + percent) >= percent * (n[i[at]] + n[j[at]])
+        return out
+
     def pairs(x, y):
         i, j = tree_pairs(_matrix(x["counts"]), x["n"].to_numpy(), _matrix(y["counts"]), y["n"].to_numpy(), percent)
         cx, cy = x["component"].to_numpy()[i], y["component"].to_numpy()[j]
         a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
         other = cx != cy
-        a, b = a[other], b[other]
-        yield from set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+        return np.stack([a[other], b[other]], axis=1)
 
     star = stored(star_pairs(buckets, ["n", "counts"], 2, bound))
     links = stored(verified(star, nodes, docs, id_column, text, width, percent))
     found = components(links)
-    rest = cross_pairs(buckets, found, ["n", "counts"], pairs).join(star, ["a", "b"], "left_anti")
+    rest = cross_pairs(buckets, found, ["n", "counts"], prepare, judge, pairs).join(star, ["a", "b"], "left_anti")
     more = stored(verified(stored(rest), nodes, docs, id_column, text, width, percent))
     found = components(links.union(more))
     linked = found.withColumnRenamed("id", "node").join(copies, "node")

@@ -67,7 +67,8 @@ def exact_pairs(v1, v2, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     _, s, f = coded(v1)
     r, _, _ = coded(v2)
     i, j = np.nonzero(may_reach(s, f, r, threshold))
-    good = np.einsum("ij,ij->i", v1[i], v2[j]) >= threshold
+    good = [np.einsum("ij,ij->i", v1[i[s : s + 65536]], v2[j[s : s + 65536]]) >= threshold for s in range(0, len(i), 65536)]
+    good = np.concatenate(good) if good else np.zeros(0, bool)
     return i[good], j[good]
 
 

@@ -152,7 +152,7 @@ class Inputs:
 
     # Moments of return-like series (mean small against the spread) come from
     # sliding power sums: several statistics share them, and a plain sum is the
-    # cheapest thing a frame can hold. Prices use the built-in aggregates.
+    # cheapest thing a frame can hold. Prices use merged blocks.
 
     def _power_sum(self, factors: tuple[str, ...], n: int) -> Column:
         if len(factors) == 1:

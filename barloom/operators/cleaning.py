@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
@@ -35,5 +35,4 @@ def fill_with_mean(df: DataFrame, columns: Sequence[str], key: str = KEY) -> Dat
 def row_counts(df: DataFrame) -> DataFrame:
     """Rows per symbol and in all."""
     per_symbol = df.groupBy(KEY).agg(F.count("*").alias("rows"))
-    everything = Window.partitionBy(F.lit(0))
-    return per_symbol.withColumn("total", F.sum("rows").over(everything))
+    return per_symbol.withColumn("total", df.agg(F.count("*").alias("total")).scalar())

@@ -34,25 +34,36 @@ def _share(a, b) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on ``by`` in which NULL meets NULL; the left side's keys stay."""
+    right = right.withColumnsRenamed({c: f"_{c}_of_right" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_of_right")) for c in by]
+    return left.join(right, same).drop(*[f"_{c}_of_right" for c in by])
+
+
 def _count(condition) -> Column:
     return F.count_if(condition).cast("double")
 
 
 def classification_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Accuracy, precision, recall, F1 (0 when undefined) per group."""
+    """Accuracy, precision, recall, F1 (0 when undefined) per group.
+
+    Rows without a label or a score count in ``rows`` only.
+    """
     by = by or []
     hit, real = F.col("score") > 0, F.col("label") > 0.5
     counts = scored.groupBy(*by).agg(
         F.count("*").alias("rows"),
+        _count(F.col("score").isNotNull() & F.col("label").isNotNull()).alias("known"),
         _count(hit & real).alias("tp"),
         _count(hit & ~real).alias("fp"),
         _count(~hit & real).alias("fn"),
     )
-    tp, fp, fn, n = (F.col(c) for c in ("tp", "fp", "fn", "rows"))
+    tp, fp, fn, n = (F.col(c) for c in ("tp", "fp", "fn", "known"))
     return counts.select(
         *by,
         "rows",
-        ((n - fp - fn) / n).alias("accuracy"),
+        _share(n - fp - fn, n).alias("accuracy"),
         _share(tp, tp + fp).alias("precision"),
         _share(tp, tp + fn).alias("recall"),
         _share(2 * tp, 2 * tp + fp + fn).alias("f1"),
@@ -73,7 +84,7 @@ def roc_auc(scored: DataFrame, by: list[str] | None = None, buckets: int = 256)
     probs = [i / buckets for i in range(1, buckets)]
     edges = distinct.groupBy(*by).agg(F.percentile_approx("score", probs, 4 * buckets).alias("_edges"))
     if by:
-        placed = distinct.join(edges, by)
+        placed = null_safe_join(distinct, edges, by)
     else:
         placed = distinct.withColumn("_edges", edges.scalar())
     bucket = F.size(F.filter("_edges", lambda e: e < F.col("score")))

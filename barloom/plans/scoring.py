@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.operators import cleaning, splits
 from barloom.operators.scaling import Scaler
 from barloom.plans import training
-from barloom.schema import KEY, TIME
+from barloom.schema import DOWN_LABEL, KEY, TIME, UP_LABEL
 
 LOOKBACK_DAYS = 500
 UP, LOW = 0.55, 0.45
@@ -38,7 +38,7 @@ def prediction_columns(score) -> dict[str, F.Column]:
     chance = 1 / (1 + F.exp(-score))
     return {
         "Pred_Prob": F.round(chance, 4),
-        "Direction": F.when(chance > 0.5, "UP ▲").otherwise("DOWN ▼"),
+        "Direction": F.when(chance > 0.5, UP_LABEL).otherwise(DOWN_LABEL),
         "Confidence": F.round(F.abs(chance - 0.5) * 2, 4),
     }
 

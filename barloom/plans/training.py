@@ -73,7 +73,7 @@ def evaluate(scored: DataFrame, target: str, regression: bool = False, by: list[
     table = metrics.classification_metrics(rows, by)
     for other in (metrics.roc_auc(rows, by), metrics.loss(rows, "bce", by)):
         if by:
-            table = table.join(other, by)
+            table = metrics.null_safe_join(table, other, by)
         else:
             table = table.withColumn(other.columns[0], other.scalar())
     return table
@@ -96,8 +96,10 @@ def _prepared_folds(panel, features, target, n_splits, test_size, scaler, embarg
         part = folds.filter(F.col("fold") == fold).drop("fold")
         fitted = scaling.fit_scaler(part.filter("role = 'train'"), features, scaler)
         ready = fitted.transform(part).persist()
-        yield fold, ready.filter("role = 'train'"), ready.filter("role = 'test'")
-        ready.unpersist()
+        try:
+            yield fold, ready.filter("role = 'train'"), ready.filter("role = 'test'")
+        finally:
+            ready.unpersist()
 
 
 def _fit_and_measure(train, test, features, target, kind, regression, options):

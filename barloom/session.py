@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,8 +12,6 @@ SETTINGS = {
     # Above 8000 bytes of bytecode the JVM interprets a method for good; fused
     # stages of wide projections get there, split ones do not.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Descriptions of wide plans are written at every re-plan; nobody reads megabytes.
-    "spark.sql.maxPlanStringLength": "20000",
     # Call-site capture costs several round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
@@ -47,15 +42,12 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int | N
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for written intermediates.
 
-    Read from the session; a local folder is used only when the session names
-    none and runs in local mode.
+    Read from the session, in local mode too.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return os.path.join(tempfile.gettempdir(), "barloom")
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach, or name a root")
+    return path
 
 
 def spread(df, *keys):

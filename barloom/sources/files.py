@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -42,19 +43,28 @@ def write_panel(panel: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 
 def reuse(
-    spark: SparkSession, name: str, parameters: dict, build: Callable[[], DataFrame], root: str | None = None
+    spark: SparkSession,
+    name: str,
+    parameters: dict,
+    build: Callable[[], DataFrame],
+    root: str | None = None,
+    inputs: Sequence[DataFrame] = (),
 ) -> DataFrame:
-    """A stored table for exactly these parameters, built and written on first use.
+    """A stored table for exactly these parameters and ``inputs``, built and written on first use.
 
-    The folder name hashes every parameter, so a changed option is a new table.
-    A half-written table has no success marker and is built again.
+    The folder name hashes every parameter and the files ``inputs`` are read from, so
+    a changed option or other input is a new table. A second, one-row table is written
+    after the first; without it the first was left half-written and is built again.
     """
-    digest = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
-    path = f"{root or shared_dir(spark)}/{name}-{digest}"
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+    key = json.dumps([parameters, [sorted(df.inputFiles()) for df in inputs]], sort_keys=True, default=str)
+    path = f"{root or shared_dir(spark)}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:16]}"
+    try:
+        spark.read.parquet(f"{path}-done")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         build().write.mode("overwrite").parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
     return spark.read.parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.schema import DEFAULT_SYMBOLS, FUNDAMENTALS, KEY, SECTOR_ETF, SECTOR_MEMBERS
+from barloom.schema import DEFAULT_SYMBOLS, FUNDAMENTALS, KEY, SECTOR_ETF, SYMBOL_SECTOR
 
 
 def _clean(name: str) -> F.Column:
@@ -15,9 +15,15 @@ def _clean(name: str) -> F.Column:
 
 
 def symbols_from_file(spark: SparkSession, path: str) -> DataFrame:
-    """One symbol per line; trimmed, upper-cased, blanks dropped, each once."""
-    lines = spark.read.text(path)
-    return lines.select(_clean("value").alias(KEY)).filter(F.col(KEY) != "").distinct()
+    """One symbol per line, trimmed and upper-cased, blanks dropped, first mention wins: ``(Symbol, pos)``."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "part"))
+    return first_mention(lines.select("pos", _clean("part").alias(KEY)).filter(F.col(KEY) != ""))
+
+
+def joined_symbols(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two ordered ``(Symbol, pos)`` lists, one after the other, first mention wins."""
+    last = first.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last")).scalar()
+    return first_mention(first.union(second.select(KEY, (F.col("pos") + 1 + last).alias("pos"))))
 
 
 def symbols_from_text(spark: SparkSession, text: str) -> DataFrame:
@@ -40,8 +46,7 @@ def first_mention(symbols: DataFrame) -> DataFrame:
 
 def sector_table(spark: SparkSession) -> DataFrame:
     """The fixed ``(Symbol, Sector)`` assignment."""
-    rows = [(s, sector) for sector, members in SECTOR_MEMBERS.items() for s in members.split()]
-    return spark.createDataFrame(rows, f"{KEY} string, Sector string")
+    return spark.createDataFrame(list(SYMBOL_SECTOR.items()), f"{KEY} string, Sector string")
 
 
 def sector_etf_table(spark: SparkSession) -> DataFrame:

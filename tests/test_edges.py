@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import context, hurst, metrics, recurrence, scaling, splits, timeframe
 from barloom.plans import panel
-from barloom.schema import DEFAULT_SYMBOLS, FUNDAMENTALS, SECTOR_MEMBERS
+from barloom.schema import DEFAULT_SYMBOLS, FUNDAMENTALS, SYMBOL_SECTOR
 from barloom.sources import bars as B
 from barloom.sources import universe
 from checks import market
@@ -197,7 +197,7 @@ def test_symbol_lists(spark, tmp_path):
     text = universe.symbols_from_text(spark, "b, a,,B ").orderBy("pos").collect()
     assert [r.Symbol for r in text] == ["B", "A"]
     assert universe.symbols_from_list(spark).count() == len(DEFAULT_SYMBOLS) == 30
-    assert universe.sector_table(spark).count() == sum(len(m.split()) for m in SECTOR_MEMBERS.values())
+    assert universe.sector_table(spark).count() == len(SYMBOL_SECTOR)
 
 
 def brute_hurst(x, max_lag):
@@ -291,3 +291,30 @@ def test_scaler_ignores_test_rows(spark):
     moved = parts.withColumn("Close", F.when(F.col("split") == "test", F.col("Close") * 100).otherwise(F.col("Close")))
     fit = lambda df: scaling.fit_scaler(df.filter("split = 'train'"), ["Close"])
     assert fit(parts).stats == fit(moved).stats
+
+
+def test_metrics_know_only_known_rows(spark):
+    scored = spark.createDataFrame(
+        [("a", 1.0, 2.0), ("a", 0.0, 1.0), ("a", None, 3.0), (None, 1.0, 1.0), (None, 0.0, -1.0), (None, None, -2.0)],
+        "fold string, label double, score double",
+    )
+    whole = metrics.classification_metrics(scored).first()
+    assert (whole.rows, whole.accuracy) == (6, 0.75)
+    per_fold = {r.fold: r.accuracy for r in metrics.classification_metrics(scored, ["fold"]).collect()}
+    assert per_fold == {"a": 0.5, None: 1.0}
+    assert {r.fold: r.roc_auc for r in metrics.roc_auc(scored, ["fold"]).collect()} == {"a": 1.0, None: 1.0}
+
+
+def test_hull_average_skips_unknown_bars(spark):
+    pdf = pd.DataFrame({"Close": [1.0, 2.0, np.nan, 3.0, 4.0]})
+    got = recurrence._place(pdf, ["Close"], lambda c: [recurrence.hull(c, 20)], ["HMA_20"])["HMA_20"]
+    full = recurrence.hull(np.array([1.0, 2.0, 3.0, 4.0]), 20)
+    assert np.isnan(got[2]) and (got[[0, 1, 3, 4]] == full).all()
+
+
+def test_symbol_file_keeps_its_order(spark, tmp_path):
+    (tmp_path / "s.txt").write_text(" msft \n\nAAPL\nmsft\n")
+    listed = universe.symbols_from_file(spark, str(tmp_path / "s.txt"))
+    assert [r.Symbol for r in listed.orderBy("pos").collect()] == ["MSFT", "AAPL"]
+    both = universe.joined_symbols(listed, universe.symbols_from_text(spark, "ibm,aapl"))
+    assert [r.Symbol for r in both.orderBy("pos").collect()] == ["MSFT", "AAPL", "IBM"]

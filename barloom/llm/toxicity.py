@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel restoration.
 
 Disguised words (leetspeak, spaced letters, repeated letters) become a lattice of what each character may
-stand for. A character trigram model counted over all texts and the channel's costs find the best path (Viterbi);
+stand for. A character trigram model counted over all texts and the channel's costs find the best paths (Viterbi);
 the restored words are scored by a lexicon and a small logistic model learned from labels.
 """
 
@@ -25,7 +25,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
 
 # Channel costs in nats.
-SWAP, DROP, KEEP, DOUBLE = 0.5, 1.0, 3.0, 0.7
+SWAP, DROP, KEEP, DOUBLE = 0.5, 1.0, 8.0, 0.7
 LETTERS = 28  # boundary, a to z, other
 _TRAIL = ".,;:!?)]}>\"'`%&*#$+|/\\-_~^=…»”’"
 _LEAD = "([{<\"'`#*&%/\\~^=-_«“‘¿¡"
@@ -96,23 +96,25 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The best path through a token's lattice: states are the last two letters."""
-    states = {(0, 0): (0.0, "")}
+PATHS = 4  # best paths kept of a token: a short word's letters alone may not settle i against l
+
+
+def decode(token: str, model: np.ndarray, paths: int = PATHS) -> list[str]:
+    """The best paths through a token's lattice, best first: states are the last two letters."""
+    states = {(0, 0): [(0.0, "")]}
     for options in lattice(token):
         new: dict = {}
-        for (a, b), (score, said) in states.items():
+        for (a, b), held in states.items():
             for piece, cost in options:
-                s, x, y = score - cost, a, b
+                gain, x, y = -cost, a, b
                 for c in piece:
                     z = 0 if c == " " else letter(c)
-                    s += model[x, y, z]
+                    gain += model[x, y, z]
                     x, y = y, z
-                best = new.get((x, y))
-                if best is None or s > best[0] or (s == best[0] and said + piece < best[1]):
-                    new[(x, y)] = (s, said + piece)
-        states = new
-    return max((s + model[a, b, 0], said) for (a, b), (s, said) in states.items())[1]
+                new.setdefault((x, y), []).extend((score + gain, said + piece) for score, said in held)
+        states = {k: sorted(set(v), key=lambda e: (-e[0], e[1]))[:paths] for k, v in new.items()}
+    ends = [(score + model[a, b, 0], said) for (a, b), held in states.items() for score, said in held]
+    return list(dict.fromkeys(said for _, said in sorted(ends, key=lambda e: (-e[0], e[1]))))[:paths]
 
 
 class Restorer:
@@ -129,9 +131,8 @@ class Restorer:
             found = (core,) if core else ()
             letters = sum(map(str.isalpha, core))
             if core and letters >= 2 and not core.isalpha() or core and _DISGUISED.search(core) and letters >= 2:
-                disguised = decode(core, self.model) if len(core) <= 64 and letters * 2 >= len(core) else core
-                if disguised != core:
-                    found = (core, *disguised.split())
+                disguised = decode(core, self.model) if self.wordlike(core, letters) else [core]
+                found = tuple(dict.fromkeys([core, *(w for path in disguised for w in path.split())]))
                 parts = tuple(p for p in re.split(r"[\W\d_]+", core) if len(p) > 1)
                 if parts != (core,):
                     found += parts
@@ -140,6 +141,11 @@ class Restorer:
             self.cache[t] = found
         return found
 
+    @staticmethod
+    def wordlike(core: str, letters: int) -> bool:
+        """Whether a token may be a disguised word: mostly letters, or short and nothing but letters and signs for them."""
+        return len(core) <= 64 and letters * 2 >= len(core) or len(core) <= 16 and all(c.isalpha() or LEET.get(c) for c in core)
+
     def words(self, text: str | None) -> Counter:
         """Counts of restored words; a disguised token also counts as it stands."""
         if not text:
@@ -161,8 +167,9 @@ class Restorer:
             if j - i >= 3 and len(set(tokens[i:j])) > 2:
                 # Overlapping windows bound a lattice; a spaced word is far shorter than a window.
                 for s in range(i, j, 32):
-                    for w in decode(" ".join(tokens[s : min(j, s + 64)]), self.model).split():
-                        out[w] += 1
+                    for path in decode(" ".join(tokens[s : min(j, s + 64)]), self.model):
+                        for w in path.split():
+                            out[w] += 1
             i = j
         return out
 

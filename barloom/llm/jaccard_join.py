@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, cross_pairs, partitions, shared_buckets, shingle_set, star_pairs, stored, with_ids
+from barloom.llm.common import components, cross_pairs, partitions, shared_buckets, shingle_set, stored, with_ids
 
 GROUPS = 512
 FULL = 255  # a group count that stands for itself or more
@@ -131,6 +131,26 @@ def tree_pairs(c1, n1, c2, n2, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return o1[i], o2[j]
 
 
+def near_first(buckets: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): nodes of ``buckets`` (key, node) with their bucket's smallest, where the bound allows a link.
+
+    Pairs are made distinct before the ``points`` (node, n, counts) join them.
+    """
+    first = buckets.groupBy("key").agg(F.min("node").alias("a"))
+    both = buckets.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    of_b = points.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("counts").alias("c2"))
+    of_a = points.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("counts").alias("c1"))
+    sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    both = both.join(of_b, "b").join(of_a, "a").filter(sizes)
+
+    def test(batches):
+        for b in batches:
+            overlap = np.minimum(_matrix(b["c1"]), _matrix(b["c2"])).sum(1, dtype=np.int64)
+            yield b.loc[overlap * (100 + percent) >= percent * (b["n1"] + b["n2"]).to_numpy(), ["a", "b"]]
+
+    return both.mapInPandas(test, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets reach the similarity. Each b's text goes to its a, in slices."""
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1024).cast("int").alias("slices"))
@@ -179,12 +199,8 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     copies = known.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
     nodes = stored(known.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
     postings = nodes.select(F.explode("keys").alias("key"), "node")
-    buckets = stored(shared_buckets(postings).join(nodes.select("node", "n", "counts"), "node"))
-
-    def bound(b):
-        return _close(b["n"], b["first_n"], percent).to_numpy() & (
-            np.minimum(_matrix(b["counts"]), _matrix(b["first_counts"])).sum(1, dtype=np.int64) * (100 + percent) >= percent * (b["n"] + b["first_n"]).to_numpy()
-        )
+    buckets = stored(shared_buckets(postings))
+    points = nodes.select("node", "n", "counts")
 
     def prepare(rows):
         return _matrix(rows["counts"]), rows["n"].to_numpy()
@@ -203,10 +219,10 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         other = cx != cy
         return np.stack([a[other], b[other]], axis=1)
 
-    star = stored(star_pairs(buckets, ["n", "counts"], 2, bound))
+    star = stored(near_first(buckets, points, percent))
     links = stored(verified(star, nodes, docs, id_column, text, width, percent))
     found = components(links)
-    rest = cross_pairs(buckets, found, ["n", "counts"], prepare, judge, pairs).join(star, ["a", "b"], "left_anti")
+    rest = cross_pairs(buckets, found, ["n", "counts"], prepare, judge, pairs, points).join(star, ["a", "b"], "left_anti")
     more = stored(verified(stored(rest), nodes, docs, id_column, text, width, percent))
     found = components(links.union(more))
     linked = found.withColumnRenamed("id", "node").join(copies, "node")

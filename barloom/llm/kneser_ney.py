@@ -1,9 +1,9 @@
 """Quality by an interpolated modified Kneser-Ney model of character n-grams of trusted text.
 
 An n-gram is a number: ``BITS`` bits a character, so suffixes and contexts are bit operations. Counts, continuation
-counts and context sums are shuffled aggregates, spread by n-gram. Documents go to blocks; a
-block asks for its distinct n-grams, which meet the counts in joins spread by n-gram, and gets their
-log-probabilities back. Nothing of the model is broadcast, and what moves are distinct n-grams, not occurrences.
+counts and context sums are shuffled aggregates, spread by n-gram. Documents stay where they are read: a bounded table
+of frequent n-grams is broadcast with their log-probabilities, and each document's distinct other n-grams
+meet the counts in joins spread by n-gram. The model itself is as large as the trusted text makes it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, stored
+from barloom.llm.common import stored
 
 ORDER = 5
 BITS = 12
@@ -22,6 +22,9 @@ PAD, END, FIRST = 0, 1, 2
 _SPACE, _DIGIT = 32 + FIRST, 48 + FIRST
 _KEPT = 2048  # code points up to here have a symbol of their own, the others share the rest
 _BATCH = 2_000_000  # characters scored at a time
+FREQUENT = 1 << 20  # n-grams looked up in memory, at most; the joins answer for all others
+_COUNTED, _SENT = 21, 1 << 18  # bits of the slots in which a task counts, n-grams it names
+_TABLE = 22  # bits of the table of frequent n-grams
 
 
 def _symbols() -> np.ndarray:
@@ -146,63 +149,112 @@ def log_probabilities(wanted: DataFrame, known: DataFrame, contexts: DataFrame)
     return p.select("lang", "gram", F.log("p").alias("lp"))
 
 
-def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(id, row_hash, lang, n, surprise): nats per character of documents (id, row_hash, lang, text)."""
-    n = partitions(docs.sparkSession)
+def _slots(g: np.ndarray, code: int, bits: int) -> np.ndarray:
+    h = (g.view(np.uint64) ^ np.uint64(code * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
-    def shrink(batches):
-        import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            b["z"] = [press.compress(t.encode()) for t in b["text"]]
-            yield b[["block", "id", "row_hash", "lang", "z"]]
-
-    block = F.pmod(F.xxhash64("id", "row_hash"), F.lit(n)).cast("int")
-    small = docs.withColumn("block", block).mapInPandas(shrink, "block int, id bigint, row_hash bigint, lang string, z binary").repartition(n, "block")
-
-    def texts_of(rows):
-        import zstandard
-
-        unpress = zstandard.ZstdDecompressor()
-        held, size = [], 0
-        for z in rows:
-            held.append(unpress.decompress(z).decode())
-            size += len(held[-1])
-            if size >= _BATCH:
-                yield held
-                held, size = [], 0
-        if held:
-            yield held
+def _by_language(batch: pd.DataFrame):
+    """(lang, row positions, texts) with a bounded number of characters each."""
+    for lang, rows in batch.reset_index(drop=True).groupby("lang", sort=False):
+        texts = rows["text"].tolist()
+        for at in _batches(texts):
+            yield lang, rows.index[at], [texts[i] for i in at]
+
+
+def frequent_grams(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """(lang, gram, c): at most ``most`` n-grams that are frequent in documents (lang, text).
+
+    Tasks count over all texts in hash slots and name one n-gram of each; the choice decides which n-grams are looked up
+    in memory, never what a document scores.
+    """
 
-    def ask(key, rows):
-        out = []
-        for lang, part in rows.groupby("lang", sort=False):
-            found = []
-            for texts in texts_of(part["z"]):
-                found.append(pd.unique(grams(texts)[0]))
-                if len(found) > 8:
-                    found = [pd.unique(np.concatenate(found))]
-            out.append(pd.DataFrame({"block": key[0], "lang": lang, "gram": pd.unique(np.concatenate(found))}))
-        return pd.concat(out, ignore_index=True)
-
-    asked = small.groupBy("block").applyInPandas(ask, "block int, lang string, gram bigint").repartition(n, "lang", "gram")
-    answers = log_probabilities(asked.select("lang", "gram").distinct(), known, contexts)
-    answered = asked.join(answers, ["lang", "gram"]).select("block", "lang", "gram", "lp")
-
-    def score(key, rows, lps):
-        out = []
-        lps = dict(tuple(lps.groupby("lang", sort=False)))
-        for lang, part in rows.groupby("lang", sort=False):
-            index, lp = pd.Index(lps[lang]["gram"].to_numpy()), lps[lang]["lp"].to_numpy()
-            sums, ns = [], []
-            for texts in texts_of(part["z"]):
+    def count(batches):
+        keys, codes, n = np.zeros(1 << _COUNTED, np.int64), np.zeros(1 << _COUNTED, np.int32), np.zeros(1 << _COUNTED, np.int64)
+        langs: dict[str, int] = {}
+        for b in batches:
+            for lang, _, texts in _by_language(b):
+                code = langs.setdefault(lang, len(langs))
+                g = grams(texts)[0]
+                at = _slots(g, code, _COUNTED)
+                n += np.bincount(at, minlength=1 << _COUNTED)
+                keys[at], codes[at] = g, code
+        at = np.flatnonzero(n > 1)
+        if len(at) > _SENT:
+            at = at[np.argpartition(-n[at], _SENT)[:_SENT]]
+        yield pd.DataFrame({"lang": np.array(list(langs), object)[codes[at]] if langs else [], "gram": keys[at], "c": n[at]})
+
+    counted = stored(docs.select("lang", "text").mapInPandas(count, "lang string, gram bigint, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c")))
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)  # at most 8 x 63 rows
+    low, room = 8 * 64, most
+    for r in sizes:
+        room -= r.n
+        if room < 0:
+            break
+        low = r.level
+    return counted.filter(level >= low)
+
+
+class Frequent:
+    """Log-probabilities of frequent n-grams in one hash table; a slot holds its most frequent one."""
+
+    def __init__(self, langs: list[str], codes: np.ndarray, keys: np.ndarray, lps: np.ndarray):
+        self.codes, self.keys, self.lps = codes, keys, lps
+        self.code = {x: i for i, x in enumerate(langs)}
+        self.slots = np.zeros(1 << _TABLE, np.int32)
+        for x, code in self.code.items():
+            at = np.flatnonzero(codes == code)
+            self.slots[_slots(keys[at], code, _TABLE)] = at
+
+    def find(self, lang: str, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each n-gram is here, and its log-probability or 0."""
+        code = self.code.get(lang)
+        if code is None:
+            return np.zeros(len(g), bool), np.zeros(len(g))
+        at = self.slots[_slots(g, code, _TABLE)]
+        hit = (self.keys[at] == g) & (self.codes[at] == code)
+        return hit, np.where(hit, self.lps[at], 0.0)
+
+
+def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """(id, row_hash, lang, n, surprise): nats per character of documents (id, row_hash, lang, text).
+
+    Two tiers: at most ``most`` frequent n-grams are broadcast with their log-probabilities, so documents do not travel; the distinct other
+    n-grams of each document meet the counts in joins and come back as sums.
+    """
+    spark = docs.sparkSession
+    frequent = frequent_grams(docs, most)
+    answers = log_probabilities(frequent.select("lang", "gram"), known, contexts)
+    got = answers.join(frequent, ["lang", "gram"]).select("lang", "gram", "c", "lp").toArrow().to_pandas().sort_values(["c", "lang", "gram"])  # at most ``most`` rows
+    codes, langs = pd.factorize(got["lang"])
+    table = spark.sparkContext.broadcast((list(langs), codes.astype(np.int32), got["gram"].to_numpy(np.int64), got["lp"].to_numpy(float)))
+
+    def look(batches):
+        here = Frequent(*table.value) if len(table.value[0]) else None
+        for b in batches:
+            out = []
+            for lang, at, texts in _by_language(b):
                 g, lengths = grams(texts)
-                values = lp[index.get_indexer(g)]
-                sums.append(np.add.reduceat(values, np.cumsum(lengths) - lengths))
-                ns.append(lengths)
-            total, number = np.concatenate(sums), np.concatenate(ns)
-            out.append(part[["id", "row_hash", "lang"]].assign(n=number, surprise=-total / number))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["id", "row_hash", "lang", "n", "surprise"])
-
-    return small.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, "id bigint, row_hash bigint, lang string, n bigint, surprise double")
+                hit, lps = here.find(lang, g) if here else (np.zeros(len(g), bool), np.zeros(len(g)))
+                ends = np.cumsum(lengths)
+                rows = b.iloc[at][["id", "row_hash", "lang"]].assign(n=lengths, part=np.add.reduceat(lps, ends - lengths))
+                left = np.flatnonzero(~hit)
+                doc, g = np.searchsorted(ends, left, side="right"), g[left]
+                order = np.lexsort((g, doc))
+                doc, g = doc[order], g[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, np.int64)
+                times = np.diff(first, append=len(g)).astype(np.int32)
+                cuts = np.searchsorted(doc[first], np.arange(1, len(texts)))
+                rows["grams"], rows["times"] = pd.Series(np.split(g[first], cuts), rows.index, object), pd.Series(np.split(times, cuts), rows.index, object)
+                out.append(rows)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    looked = docs.select("id", "row_hash", "lang", "text").mapInPandas(look, "id bigint, row_hash bigint, lang string, n bigint, part double, grams array<bigint>, times array<int>")
+    looked = stored(looked.withColumn("row", F.monotonically_increasing_id()))
+    rare = looked.select("row", "lang", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", "lang", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
+    found = log_probabilities(rare.select("lang", "gram").distinct(), known, contexts)
+    rest = rare.join(found, ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("rest"))
+    total = F.col("part") + F.coalesce("rest", F.lit(0.0))
+    return looked.select("id", "row_hash", "lang", "n", "part", "row").join(rest, "row", "left").select("id", "row_hash", "lang", "n", F.round(-total / F.col("n"), 9).alias("surprise"))

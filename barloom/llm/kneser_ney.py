@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import mix, stored
 
 ORDER = 5
 BITS = 12
@@ -21,10 +21,9 @@ SYMBOLS = 1 << BITS
 PAD, END, FIRST = 0, 1, 2
 _SPACE, _DIGIT = 32 + FIRST, 48 + FIRST
 _KEPT = 2048  # code points up to here have a symbol of their own, the others share the rest
-_BATCH = 2_000_000  # characters scored at a time
+_BATCH = 500_000  # characters scored at a time
 FREQUENT = 1 << 20  # n-grams looked up in memory, at most; the joins answer for all others
-_COUNTED, _SENT = 21, 1 << 18  # bits of the slots in which a task counts, n-grams it names
-_TABLE = 22  # bits of the table of frequent n-grams
+LEAST = 8
 
 
 def _symbols() -> np.ndarray:
@@ -84,12 +83,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for lang, rows in b.groupby("lang", sort=False):
                 texts = rows["text"].tolist()
                 for at in _batches(texts):
-                    values = pd.Series(grams([texts[i] for i in at])[0]).value_counts(sort=False)
+                    values, times = np.unique(grams([texts[i] for i in at])[0], return_counts=True)
                     parts = held.setdefault(lang, [])
-                    parts.append(pd.DataFrame({"gram": values.index, "c": values.to_numpy()}))
-                    if len(parts) > 8:
+                    parts.append(pd.DataFrame({"gram": values, "c": times}))
+                    if len(parts) > 16:
                         parts[:] = [folded(parts)]
-                        if len(parts[0]) > 2_000_000:  # hand on what has gathered; sums come later
+                        if len(parts[0]) > 1_000_000:  # hand on what has gathered; sums come later
                             yield parts.pop().assign(lang=lang)
         for lang, parts in held.items():
             if parts:
@@ -149,9 +148,8 @@ def log_probabilities(wanted: DataFrame, known: DataFrame, contexts: DataFrame)
     return p.select("lang", "gram", F.log("p").alias("lp"))
 
 
-def _slots(g: np.ndarray, code: int, bits: int) -> np.ndarray:
-    h = (g.view(np.uint64) ^ np.uint64(code * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+def _slots(g: np.ndarray, code, bits: int, turn: int) -> np.ndarray:
+    return (mix(g.view(np.uint64) ^ (np.asarray(code + 64 * turn).astype(np.uint64) << np.uint64(40))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _by_language(batch: pd.DataFrame):
@@ -163,30 +161,14 @@ def _by_language(batch: pd.DataFrame):
 
 
 def frequent_grams(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """(lang, gram, c): at most ``most`` n-grams that are frequent in documents (lang, text).
+    """(lang, gram, c): the at most ``most`` n-grams most frequent in documents (lang, text), ties with the last left out.
 
-    Tasks count over all texts in hash slots and name one n-gram of each; the choice decides which n-grams are looked up
-    in memory, never what a document scores.
+    All texts are counted. An n-gram of fewer than ``LEAST`` occurrences is cheaper to join than to broadcast. The choice
+    decides which n-grams are looked up in memory, never what a document scores.
     """
-
-    def count(batches):
-        keys, codes, n = np.zeros(1 << _COUNTED, np.int64), np.zeros(1 << _COUNTED, np.int32), np.zeros(1 << _COUNTED, np.int64)
-        langs: dict[str, int] = {}
-        for b in batches:
-            for lang, _, texts in _by_language(b):
-                code = langs.setdefault(lang, len(langs))
-                g = grams(texts)[0]
-                at = _slots(g, code, _COUNTED)
-                n += np.bincount(at, minlength=1 << _COUNTED)
-                keys[at], codes[at] = g, code
-        at = np.flatnonzero(n > 1)
-        if len(at) > _SENT:
-            at = at[np.argpartition(-n[at], _SENT)[:_SENT]]
-        yield pd.DataFrame({"lang": np.array(list(langs), object)[codes[at]] if langs else [], "gram": keys[at], "c": n[at]})
-
-    counted = stored(docs.select("lang", "text").mapInPandas(count, "lang string, gram bigint, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c")))
+    counted = stored(count_grams(docs.select("lang", "text")).filter(F.col("c") >= LEAST))
     level = F.floor(F.log2("c") * 8).cast("int")
-    sizes = sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)  # at most 8 x 63 rows
+    sizes = sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)  # at most 8 x 64 rows
     low, room = 8 * 64, most
     for r in sizes:
         room -= r.n
@@ -197,24 +179,33 @@ def frequent_grams(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
 
 
 class Frequent:
-    """Log-probabilities of frequent n-grams in one hash table; a slot holds its most frequent one."""
+    """Log-probabilities of frequent n-grams in hash tables; what finds its slot taken goes to the next, smaller table."""
 
     def __init__(self, langs: list[str], codes: np.ndarray, keys: np.ndarray, lps: np.ndarray):
         self.codes, self.keys, self.lps = codes, keys, lps
         self.code = {x: i for i, x in enumerate(langs)}
-        self.slots = np.zeros(1 << _TABLE, np.int32)
-        for x, code in self.code.items():
-            at = np.flatnonzero(codes == code)
-            self.slots[_slots(keys[at], code, _TABLE)] = at
+        self.tables: list[tuple[int, int, np.ndarray]] = []
+        left = np.arange(len(keys))
+        while len(left):
+            bits, turn = max(int(len(left) * 2).bit_length(), 8), len(self.tables)
+            slots = np.zeros(1 << bits, np.int32)
+            at = _slots(keys[left], codes[left], bits, turn)
+            slots[at] = left
+            self.tables.append((bits, turn, slots))
+            left = left[slots[at] != left]
 
     def find(self, lang: str, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each n-gram is here, and its log-probability or 0."""
+        hits, lps = np.zeros(len(g), bool), np.zeros(len(g))
         code = self.code.get(lang)
-        if code is None:
-            return np.zeros(len(g), bool), np.zeros(len(g))
-        at = self.slots[_slots(g, code, _TABLE)]
-        hit = (self.keys[at] == g) & (self.codes[at] == code)
-        return hit, np.where(hit, self.lps[at], 0.0)
+        left = np.arange(len(g) if code is not None else 0)
+        for bits, turn, slots in self.tables:
+            asked = g[left]
+            at = slots[_slots(asked, np.int32(code or 0), bits, turn)]
+            hit = (self.keys[at] == asked) & (self.codes[at] == code)
+            hits[left[hit]], lps[left[hit]] = True, self.lps[at[hit]]
+            left = left[~hit]
+        return hits, lps
 
 
 def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: int = FREQUENT) -> DataFrame:

@@ -410,6 +410,18 @@ def test_perplexity_is_kneser_neys(spark):
     for i, t in enumerate(asked):
         assert got[i].n == len(t) + 1 and got[i].surprise == pytest.approx(brute_surprise(train, t), rel=1e-9)
     assert got[9].surprise == pytest.approx(np.log(kneser_ney.SYMBOLS))
+    # What is looked up in memory changes no result.
+    for most in (0, 12):
+        again = {r.id: r for r in kneser_ney.perplexities(docs, known, contexts, most).collect()}
+        assert all(again[i].surprise == pytest.approx(got[i].surprise, rel=1e-9) for i in got)
+
+
+def test_frequent_table_finds_what_it_holds():
+    keys = np.arange(5000, dtype=np.int64) * 4099
+    table = kneser_ney.Frequent(["en", "de"], (np.arange(5000) % 2).astype(np.int32), keys, keys / 7.0)
+    hit, lp = table.find("de", keys)
+    assert np.array_equal(hit, np.arange(5000) % 2 == 1) and np.array_equal(lp[hit], keys[hit] / 7.0) and not lp[~hit].any()
+    assert not table.find("fr", keys)[0].any()
 
 
 def test_quality_keeps_good_text(spark, taught):

@@ -21,7 +21,8 @@ SYMBOLS = 1 << BITS
 PAD, END, FIRST = 0, 1, 2
 _SPACE, _DIGIT = 32 + FIRST, 48 + FIRST
 _KEPT = 2048  # code points up to here have a symbol of their own, the others share the rest
-_BATCH = 500_000  # characters scored at a time
+_BATCH = 200_000  # characters held as n-grams at a time
+_HELD = 400_000  # distinct n-grams a task holds for a language before it hands them on
 FREQUENT = 1 << 20  # n-grams looked up in memory, at most; the joins answer for all others
 LEAST = 8
 
@@ -70,29 +71,37 @@ def _batches(texts):
         yield held
 
 
+def _by_language(batch: pd.DataFrame):
+    """(lang, row positions, texts) with a bounded number of characters each."""
+    for lang, rows in batch.reset_index(drop=True).groupby("lang", sort=False):
+        texts = rows["text"].tolist()
+        for at in _batches(texts):
+            yield lang, rows.index[at], [texts[i] for i in at]
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, c) of documents (lang, text): tasks add up their own before anything is shuffled."""
 
-    def count(batches):
-        held: dict[str, list] = {}
+    def added(x, y):
+        gram, c = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+        order = np.argsort(gram, kind="stable")  # two sorted runs: a merge
+        gram, c = gram[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        return gram[first], np.add.reduceat(c, first)
 
-        def folded(parts):
-            return pd.concat(parts, ignore_index=True).groupby("gram", sort=False, as_index=False)["c"].sum()
+    def frame(lang, counted):
+        return pd.DataFrame({"gram": counted[0], "c": counted[1], "lang": lang})
 
+    def count(batches):
+        held: dict[str, tuple] = {}
         for b in batches:
-            for lang, rows in b.groupby("lang", sort=False):
-                texts = rows["text"].tolist()
-                for at in _batches(texts):
-                    values, times = np.unique(grams([texts[i] for i in at])[0], return_counts=True)
-                    parts = held.setdefault(lang, [])
-                    parts.append(pd.DataFrame({"gram": values, "c": times}))
-                    if len(parts) > 16:
-                        parts[:] = [folded(parts)]
-                        if len(parts[0]) > 1_000_000:  # hand on what has gathered; sums come later
-                            yield parts.pop().assign(lang=lang)
-        for lang, parts in held.items():
-            if parts:
-                yield folded(parts).assign(lang=lang)
+            for lang, _, texts in _by_language(b):
+                new = np.unique(grams(texts)[0], return_counts=True)
+                held[lang] = added(held[lang], new) if lang in held else new
+                if len(held[lang][0]) > _HELD:  # hand on what has gathered; sums come later
+                    yield frame(lang, held.pop(lang))
+        for lang, counted in held.items():
+            yield frame(lang, counted)
 
     return docs.mapInPandas(count, "gram bigint, c bigint, lang string").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -152,14 +161,6 @@ def _slots(g: np.ndarray, code, bits: int, turn: int) -> np.ndarray:
     return (mix(g.view(np.uint64) ^ (np.asarray(code + 64 * turn).astype(np.uint64) << np.uint64(40))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _by_language(batch: pd.DataFrame):
-    """(lang, row positions, texts) with a bounded number of characters each."""
-    for lang, rows in batch.reset_index(drop=True).groupby("lang", sort=False):
-        texts = rows["text"].tolist()
-        for at in _batches(texts):
-            yield lang, rows.index[at], [texts[i] for i in at]
-
-
 def frequent_grams(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
     """(lang, gram, c): the at most ``most`` n-grams most frequent in documents (lang, text), ties with the last left out.
 
@@ -224,7 +225,6 @@ def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: i
     def look(batches):
         here = Frequent(*table.value) if len(table.value[0]) else None
         for b in batches:
-            out = []
             for lang, at, texts in _by_language(b):
                 g, lengths = grams(texts)
                 hit, lps = here.find(lang, g) if here else (np.zeros(len(g), bool), np.zeros(len(g)))
@@ -238,9 +238,7 @@ def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: i
                 times = np.diff(first, append=len(g)).astype(np.int32)
                 cuts = np.searchsorted(doc[first], np.arange(1, len(texts)))
                 rows["grams"], rows["times"] = pd.Series(np.split(g[first], cuts), rows.index, object), pd.Series(np.split(times, cuts), rows.index, object)
-                out.append(rows)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                yield rows
 
     looked = docs.select("id", "row_hash", "lang", "text").mapInPandas(look, "id bigint, row_hash bigint, lang string, n bigint, part double, grams array<bigint>, times array<int>")
     looked = stored(looked.withColumn("row", F.monotonically_increasing_id()))

@@ -92,35 +92,67 @@ def _close(n1, n2, percent: int) -> np.ndarray:
     return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
 
 
-def _tree(counts: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels from points to root: upper corners, smallest and largest size; a node's children are ``LEAF`` in a row."""
-    levels = [(counts, n, n)]
+def _coarse(counts: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring groups: a looser bound that takes an eighth of the work."""
+    return counts.reshape(len(counts), -1, 8).sum(2, dtype=np.int16 if counts.dtype == np.uint8 else np.int32)
+
+
+def _allows(c1, c2, n, i, j, percent: int) -> np.ndarray:
+    """Whether the overlap bound of points or boxes i and j reaches what their sizes ``n`` together need."""
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), 32768):
+        at = slice(s, s + 32768)
+        overlap = np.minimum(c1[i[at]], c2[j[at]]).sum(1, dtype=np.int32).astype(np.int64)
+        out[at] = overlap * (100 + percent) >= percent * n[at]
+    return out
+
+
+def _order(counts: np.ndarray, n: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Points by size, those of a component that fills tree nodes together."""
+    _, label, members = np.unique(component, return_inverse=True, return_counts=True)
+    return np.lexsort((counts[:, 0], n, np.where(members[label] > LEAF, label, -1)))
+
+
+def _tree(counts: np.ndarray, n: np.ndarray, component: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Levels from points to root: upper corners, smallest and largest size and component; a node's children are ``LEAF`` in a row."""
+    levels = [(counts, n, n, component, component)]
     while len(levels[-1][1]) > LEAF:
-        top, low, high = levels[-1]
-        at = np.arange(0, len(low), LEAF)
-        levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+        at = np.arange(0, len(levels[-1][1]), LEAF)
+        levels.append(tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), levels[-1])))
     return levels
 
 
-def tree_pairs(c1, n1, c2, n2, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs of points whose bound on the overlap allows a link, by descending two trees."""
-    o1, o2 = np.lexsort((c1[:, 0], n1)), np.lexsort((c2[:, 0], n2))
-    t1, t2 = _tree(c1[o1], n1[o1]), _tree(c2[o2], n2[o2])
-    while len(t1) < len(t2):
-        t1.append((t1[-1][0].max(0, keepdims=True), t1[-1][1].min(keepdims=True), t1[-1][2].max(keepdims=True)))
-    while len(t2) < len(t1):
-        t2.append((t2[-1][0].max(0, keepdims=True), t2[-1][1].min(keepdims=True), t2[-1][2].max(keepdims=True)))
+def _raised(tree: list[tuple[np.ndarray, ...]], height: int) -> list[tuple[np.ndarray, ...]]:
+    while len(tree) < height:
+        top, low, high, first, last = tree[-1]
+        tree.append((top.max(0, keepdims=True), low.min(keepdims=True), high.max(keepdims=True), first.min(keepdims=True), last.max(keepdims=True)))
+    return tree
+
+
+def tree_pairs(c1, n1, c2, n2, percent: int, k1=None, k2=None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of points whose bound on the overlap allows a link, by descending two trees.
+
+    ``k1`` and ``k2`` are the points' components: pairs within one are left out, and tree nodes of the same component
+    are not descended together. For one set of points with itself each pair is found once.
+    """
+    same = c1 is c2
+    k1 = np.arange(len(n1)) if k1 is None else k1
+    k2 = (k1 if same else -1 - np.arange(len(n2))) if k2 is None else k2
+    o1 = _order(c1, n1, k1)
+    o2 = o1 if same else _order(c2, n2, k2)
+    t1, t2 = _tree(c1[o1], n1[o1], k1[o1]), _tree(c2[o2], n2[o2], k2[o2])
+    t1, t2 = _raised(t1, len(t2)), _raised(t2, len(t1))
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(t1[-1][1])), np.arange(len(t2[-1][1])), indexing="ij"))
     for level in range(len(t1) - 1, -1, -1):
-        (a, alo, ahi), (b, blo, bhi) = t1[level], t2[level]
+        (a, alo, ahi, afirst, alast), (b, blo, bhi, bfirst, blast) = t1[level], t2[level]
         near = (100 * ahi[i] >= percent * blo[j]) & (100 * bhi[j] >= percent * alo[i])
+        near &= (afirst[i] != alast[i]) | (bfirst[j] != blast[j]) | (afirst[i] != bfirst[j])
+        if same:
+            near &= i <= j
         i, j = i[near], j[near]
-        keep = [
-            np.minimum(a[i[s : s + 65536]], b[j[s : s + 65536]]).sum(1, dtype=np.int64) * (100 + percent) >= percent * (alo[i[s : s + 65536]] + blo[j[s : s + 65536]])
-            for s in range(0, len(i), 65536)
-        ]
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        i, j = i[keep], j[keep]
+        for x, y in ((_coarse(a), _coarse(b)), (a, b)):
+            keep = _allows(x, y, alo[i] + blo[j], i, j, percent)
+            i, j = i[keep], j[keep]
         if level:
             below1, below2 = len(t1[level - 1][1]), len(t2[level - 1][1])
             wide1, wide2 = (LEAF if below1 > len(a) else 1), (LEAF if below2 > len(b) else 1)
@@ -213,18 +245,17 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         return out
 
     def pairs(x, y):
-        i, j = tree_pairs(_matrix(x["counts"]), x["n"].to_numpy(), _matrix(y["counts"]), y["n"].to_numpy(), percent)
-        cx, cy = x["component"].to_numpy()[i], y["component"].to_numpy()[j]
-        a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-        other = cx != cy
-        return np.stack([a[other], b[other]], axis=1)
+        cx = _matrix(x["counts"])
+        cy = cx if x is y else _matrix(y["counts"])
+        i, j = tree_pairs(cx, x["n"].to_numpy(), cy, y["n"].to_numpy(), percent, x["component"].to_numpy(), y["component"].to_numpy())
+        return np.stack([x["node"].to_numpy()[i], y["node"].to_numpy()[j]], axis=1)
 
     star = stored(near_first(buckets, points, percent))
     links = stored(verified(star, nodes, docs, id_column, text, width, percent))
     found = components(links)
     rest = cross_pairs(buckets, found, ["n", "counts"], prepare, judge, pairs, points).join(star, ["a", "b"], "left_anti")
     more = stored(verified(stored(rest), nodes, docs, id_column, text, width, percent))
-    found = components(links.union(more))
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     linked = found.withColumnRenamed("id", "node").join(copies, "node")
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = linked.join(lowest, "component").select("node", "component_id")

@@ -210,7 +210,16 @@ def test_tree_finds_what_all_pairs_find():
     i, j = jaccard_join.tree_pairs(c, n, c[:250], n[:250], 80)
     bound = np.minimum(c[:, None], c[None, :250]).sum(2) * 180 >= 80 * (n[:, None] + n[None, :250])
     sizes = 100 * np.minimum(n[:, None], n[None, :250]) >= 80 * np.maximum(n[:, None], n[None, :250])
-    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(bound & sizes))))
+    want = bound & sizes
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want))))
+    k = np.where(rng.random(400) < 0.6, 7, rng.integers(0, 90, 400))  # one large component, many small ones
+    i, j = jaccard_join.tree_pairs(c, n, c[:250], n[:250], 80, k, k[:250])
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want & (k[:, None] != k[None, :250])))))
+    d, m, k = c[:250], n[:250], k[:250]
+    i, j = jaccard_join.tree_pairs(d, m, d, m, 80, k, k)
+    got = np.sort(np.stack([i, j], axis=1), axis=1)
+    assert len(got) and len(np.unique(got, axis=0)) == len(got)
+    assert set(map(tuple, got.tolist())) == {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(want[:250] & (k[:, None] != k[None, :])))) if a < b}
 
 
 def test_word_hashes_follow_words():

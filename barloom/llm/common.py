@@ -246,7 +246,7 @@ def small_pairs(bounds: np.ndarray) -> Iterable[tuple[np.ndarray, np.ndarray]]:
         yield i, i + s
 
 
-def cross_pairs(buckets: DataFrame, found: DataFrame, payload: list[str], prepare: Callable[[pd.DataFrame], object], judge: Callable, pairs: Callable, details: DataFrame | None = None) -> DataFrame:
+def cross_pairs(buckets: DataFrame, found: DataFrame, payload: list[str], prepare: Callable[[pd.DataFrame], object], judge: Callable, pairs: Callable, details: DataFrame | None = None, least: int = 2) -> DataFrame:
     """Distinct (a, b) of bucket mates of different components of ``found`` (id, component) that may be, or are, links.
 
     Large buckets are cut into blocks of about ``BLOCK`` rows and every two blocks
@@ -254,9 +254,10 @@ def cross_pairs(buckets: DataFrame, found: DataFrame, payload: list[str], prepar
     ``prepare`` turns rows into arrays; ``judge(arrays, i, j)`` tests the pairs of small groups, ``pairs(x, y)`` finds those of
     two frames with node, component and payload, which may be one and the same, and skips pairs of one component.
     ``details`` (node, payload), if given, has the payload, which then joins only the buckets that are left.
+    Buckets of fewer than ``least`` rows are left out: 3 where the only pair of two rows is judged elsewhere.
     """
     b = buckets.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = b.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1")
+    mixed = b.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter((F.col("c0") != F.col("c1")) & (F.col("n") >= least))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     b = b.join(mixed.select("key", blocks.alias("blocks")), "key")
     if details is not None:

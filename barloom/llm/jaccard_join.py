@@ -164,16 +164,16 @@ def tree_pairs(c1, n1, c2, n2, percent: int, k1=None, k2=None) -> tuple[np.ndarr
 
 
 def near_first(buckets: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b): nodes of ``buckets`` (key, node) with their bucket's smallest, where the bound allows a link.
+    """Distinct (a, b): nodes of ``buckets`` (key, node, n) with their bucket's smallest, where the bound allows a link.
 
-    Pairs are made distinct before the ``points`` (node, n, counts) join them.
+    Pairs of fitting sizes are made distinct before the ``points`` (node, n, counts) join them.
     """
-    first = buckets.groupBy("key").agg(F.min("node").alias("a"))
-    both = buckets.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = buckets.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n1"))
+    sizes = F.least("n1", "n") * 100 >= F.greatest("n1", "n") * percent
+    both = buckets.join(first, "key").filter("node <> a").filter(sizes).select("a", F.col("node").alias("b")).distinct()
     of_b = points.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("counts").alias("c2"))
     of_a = points.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("counts").alias("c1"))
-    sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    both = both.join(of_b, "b").join(of_a, "a").filter(sizes)
+    both = both.join(of_b, "b").join(of_a, "a")
 
     def test(batches):
         for b in batches:
@@ -230,7 +230,7 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     known = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     copies = known.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
     nodes = stored(known.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
-    postings = nodes.select(F.explode("keys").alias("key"), "node")
+    postings = nodes.select(F.explode("keys").alias("key"), "node", "n")
     buckets = stored(shared_buckets(postings))
     points = nodes.select("node", "n", "counts")
 
@@ -253,7 +253,8 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     star = stored(near_first(buckets, points, percent))
     links = stored(verified(star, nodes, docs, id_column, text, width, percent))
     found = components(links)
-    rest = cross_pairs(buckets, found, ["n", "counts"], prepare, judge, pairs, points).join(star, ["a", "b"], "left_anti")
+    # A bucket of two has no pair but the one with its smallest.
+    rest = cross_pairs(buckets.drop("n"), found, ["n", "counts"], prepare, judge, pairs, points, least=3).join(star, ["a", "b"], "left_anti")
     more = stored(verified(stored(rest), nodes, docs, id_column, text, width, percent))
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     linked = found.withColumnRenamed("id", "node").join(copies, "node")

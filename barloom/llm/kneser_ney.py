@@ -210,12 +210,13 @@ class Frequent:
 
 
 def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """(id, row_hash, lang, n, surprise): nats per character of documents (id, row_hash, lang, text).
+    """(id, row_hash, lang, n, surprise): nats per character of documents (id, row_hash, lang, text); other columns are carried along.
 
     Two tiers: at most ``most`` frequent n-grams are broadcast with their log-probabilities, so documents do not travel; the distinct other
     n-grams of each document meet the counts in joins and come back as sums.
     """
     spark = docs.sparkSession
+    own = [c for c in docs.columns if c != "text"]
     frequent = frequent_grams(docs, most)
     answers = log_probabilities(frequent.select("lang", "gram"), known, contexts)
     got = answers.join(frequent, ["lang", "gram"]).select("lang", "gram", "c", "lp").toArrow().to_pandas().sort_values(["c", "lang", "gram"])  # at most ``most`` rows
@@ -229,7 +230,7 @@ def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: i
                 g, lengths = grams(texts)
                 hit, lps = here.find(lang, g) if here else (np.zeros(len(g), bool), np.zeros(len(g)))
                 ends = np.cumsum(lengths)
-                rows = b.iloc[at][["id", "row_hash", "lang"]].assign(n=lengths, part=np.add.reduceat(lps, ends - lengths))
+                rows = b.iloc[at][own].assign(n=lengths, part=np.add.reduceat(lps, ends - lengths))
                 left = np.flatnonzero(~hit)
                 doc, g = np.searchsorted(ends, left, side="right"), g[left]
                 order = np.lexsort((g, doc))
@@ -240,10 +241,11 @@ def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: i
                 rows["grams"], rows["times"] = pd.Series(np.split(g[first], cuts), rows.index, object), pd.Series(np.split(times, cuts), rows.index, object)
                 yield rows
 
-    looked = docs.select("id", "row_hash", "lang", "text").mapInPandas(look, "id bigint, row_hash bigint, lang string, n bigint, part double, grams array<bigint>, times array<int>")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own)
+    looked = docs.mapInPandas(look, f"{kinds}, n bigint, part double, grams array<bigint>, times array<int>")
     looked = stored(looked.withColumn("row", F.monotonically_increasing_id()))
     rare = looked.select("row", "lang", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", "lang", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
     found = log_probabilities(rare.select("lang", "gram").distinct(), known, contexts)
     rest = rare.join(found, ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("rest"))
     total = F.col("part") + F.coalesce("rest", F.lit(0.0))
-    return looked.select("id", "row_hash", "lang", "n", "part", "row").join(rest, "row", "left").select("id", "row_hash", "lang", "n", F.round(-total / F.col("n"), 9).alias("surprise"))
+    return looked.select(*own, "n", "part", "row").join(rest, "row", "left").select(*own, "n", F.round(-total / F.col("n"), 9).alias("surprise"))

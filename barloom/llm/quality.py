@@ -13,6 +13,7 @@ QUANTILE = 0.99
 STEP = 0.005  # nats per character: quantiles are exact up to this
 FOLDS = 5
 _FEW = 50  # trusted documents a class needs for a quantile of its own
+_ALL = "\uffff"  # stands for all languages together
 
 
 def _row_hash(text: str):
@@ -27,7 +28,7 @@ def thresholds(trusted: DataFrame, quantile: float) -> DataFrame:
     """(lang, class, limit) from trusted (lang, class, surprise): the language's quantile in each length class.
 
     Short texts scatter more, so every doubling of the length has its own; a class of few documents
-    joins the next longer ones. Counts of rounded values stand for the documents.
+    joins the next longer ones; ``nearest_limits`` serves the classes between and beyond. Counts of rounded values stand for the documents.
     """
     bins = trusted.groupBy("lang", "class", F.ceil(F.col("surprise") / STEP).alias("bin")).agg(F.count("*").alias("c"))
     # Classes with few documents are joined downwards from the longest.
@@ -42,28 +43,57 @@ def thresholds(trusted: DataFrame, quantile: float) -> DataFrame:
     return size.join(limit, ["lang", "group"]).select("lang", "class", "limit")
 
 
+def nearest_limits(asked: DataFrame, limits: DataFrame) -> DataFrame:
+    """(lang, class, limit) for every (lang, class) of ``asked`` whose language has a limit: that of the nearest class.
+
+    Longer texts than any trusted one take the longest class's limit, shorter ones the shortest's, those between two the nearer's,
+    and the longer's where both are as near. Rows are classes, not documents.
+    """
+    every = asked.select("lang", "class").distinct().join(limits, ["lang", "class"], "full")
+    at = F.when(F.col("limit").isNotNull(), F.struct("class", "limit"))
+    below = F.last(at, ignorenulls=True).over(Window.partitionBy("lang").orderBy("class"))
+    above = F.last(at, ignorenulls=True).over(Window.partitionBy("lang").orderBy(F.desc("class")))
+    every = every.select("lang", "class", below.alias("below"), above.alias("above"))
+    lower = F.col("above").isNull() | (F.col("class") - F.col("below.class") < F.col("above.class") - F.col("class"))
+    return every.select("lang", "class", F.when(lower, F.col("below.limit")).otherwise(F.col("above.limit")).alias("limit")).filter("limit IS NOT NULL")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """(id, row_hash, lang, n, perplexity, limit, keep) for each row of ``docs``.
 
     Trusted text is that of documents labelled (id, quality) 1. A hash holds one in ``FOLDS`` of them back: the
     model is counted on the others and the quantiles are taken on those held back, as a model
     flatters the texts it has counted. A document stays if its perplexity per character
-    is at most its language's and length's quantile among trusted documents. A null or empty text is one end
-    mark; a null language is a language of its own; one without trusted text has no limit and keeps its documents, as do texts of
-    lengths below any trusted one. Ids may repeat or be null: ``row_hash``, a hash of the text, tells rows apart, and equal rows
+    is at most its language's quantile among trusted documents of its length, or of the nearest length that has them. A null or empty text is one end
+    mark; a null language is a language of its own. A language without trusted documents of both kinds is judged by
+    the model and the quantiles of all trusted text together; only if no text is trusted is there no limit, and all stay. If the hash
+    holds none back, or all, the same documents serve for both. Ids may repeat or be null: ``row_hash``, a hash of the text, tells rows apart, and equal rows
     get equal results. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), _row_hash(text).alias("row_hash"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     good = labels.filter("quality = 1").select(F.col(id_column).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
     back = F.pmod(F.xxhash64("id", F.lit("held back")), F.lit(FOLDS)) == 0
-    taught = good.filter(~back)
+    here = stored(with_ids(rows.select("id", "lang"), "id", good).join(good, "id", "left_semi").select("id", "lang", back.alias("back")))
+    kinds = here.groupBy("lang").agg(F.max("back").alias("held"), F.min("back").alias("all")).collect()  # a row per language
+    whole = [r.lang for r in kinds if r.held and not r.all]
+    held, taught = here.filter("back").select("id").distinct(), here.filter("NOT back").select("id").distinct()
+    if not any(r.held for r in kinds):
+        held = taught
+    elif all(r.all for r in kinds):
+        taught = held
     counts = stored(count_grams(with_ids(rows, "id", taught).join(taught, "id", "left_semi").select("lang", "text")))
+    rows = rows.select("id", "row_hash", F.when(F.col("lang").isin(whole), F.col("lang")).otherwise(F.lit(_ALL)).alias("lang"), F.col("lang").alias("said"), "text")
+    if rows.filter(F.col("lang") == _ALL).limit(1).count():
+        counts = stored(counts.filter(F.col("lang").isin(whole)).unionByName(counts.groupBy("gram").agg(F.sum("c").alias("c")).withColumn("lang", F.lit(_ALL))))
+        # Trusted rows of other languages are scored once more, for the quantiles of all languages.
+        again = with_ids(rows.filter(F.col("lang") != _ALL), "id", held).join(held, "id", "left_semi")
+        rows = rows.unionByName(again.select("id", "row_hash", F.lit(_ALL).alias("lang"), F.lit(None).cast("string").alias("said"), "text"))
     known, contexts = model(counts)
     scored = stored(perplexities(rows, known, contexts)).withColumn("class", _length_class(F.col("n")))
-    limits = thresholds(scored.join(good.filter(back), "id", "left_semi"), quantile)
-    joined = scored.join(limits, ["lang", "class"], "left")
+    limits = nearest_limits(scored, thresholds(scored.join(held, "id", "left_semi"), quantile))
+    joined = scored.filter("said IS NOT NULL").join(limits, ["lang", "class"], "left")
     return joined.select(
-        F.col("id").alias(id_column), "row_hash", "lang", "n", F.exp("surprise").alias("perplexity"), F.exp("limit").alias("limit"), F.coalesce(F.col("surprise") <= F.col("limit"), F.lit(True)).alias("keep")
+        F.col("id").alias(id_column), "row_hash", F.col("said").alias("lang"), "n", F.exp("surprise").alias("perplexity"), F.exp("limit").alias("limit"), F.coalesce(F.col("surprise") <= F.col("limit"), F.lit(True)).alias("keep")
     )
 
 

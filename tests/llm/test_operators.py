@@ -447,6 +447,23 @@ def test_quality_keeps_good_text(spark, taught):
     assert quality.score_quality(mixed, labels.limit(0)).filter("NOT keep").count() == 0
 
 
+def test_every_length_and_language_has_a_limit(spark):
+    trusted = [(i, "the cat sat on the mat and the dog ran to the old house by the sea "[: 40 + i % 20] * 3, "en") for i in range(120)]
+    junk = "zq&&% xv### "
+    asked = [(1000, "zqx", "en"), (1001, junk * 3000, "en"), (1002, junk * 30, "en"), (1003, junk * 20, "xx"), (1004, junk * 20, None), (1005, trusted[0][1], "xx"), (1006, trusted[0][1], None)]
+    df = spark.createDataFrame(trusted + asked, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(t[0], 1) for t in trusted], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(df, labels).collect()}
+    assert len(got) == len(trusted) + len(asked) and all(r.limit is not None for r in got.values())
+    assert [got[i].keep for i in range(1000, 1007)] == [False] * 5 + [True] * 2
+    assert got[1003].lang == "xx" and got[1004].lang == ""
+    few = quality.score_quality(df, labels.filter("doc_id = 1")).collect()  # held back or taught, not both
+    assert len(few) == len(got) and all(r.limit is not None for r in few)
+    limits = spark.createDataFrame([("en", 5, 1.0), ("en", 9, 2.0)], "lang string, class int, limit double")
+    classes = spark.createDataFrame([(x, c) for x in ("en", "xx") for c in range(3, 12)], "lang string, class int")
+    assert rows_of(quality.nearest_limits(classes, limits), "lang", "class", "limit") == [("en", c, 1.0 if c < 7 else 2.0) for c in range(3, 12)]
+
+
 def test_toxicity_separates_and_restores(spark, taught):
     docs, labels = taught
     own = [(10_000 + i, f"the of and {w} in on to {i}") for i, w in enumerate(["1d10t", "i d i o t", "idiiiiot", "m0r0n", "$tupid", "the", "cl0wn!!", "i.d.i.o.t", "tr@sh"])]

@@ -30,7 +30,10 @@ LETTERS = 28  # boundary, a to z, other
 _TRAIL = ".,;:!?)]}>\"'`%&*#$+|/\\-_~^=…»”’"
 _LEAD = "([{<\"'`#*&%/\\~^=-_«“‘¿¡"
 _HARD = re.compile(r"[^\W\d_]")
-_DISGUISED = re.compile(r"[\d@$!|+€£*_.'^~-]|(.)\1\1|(.)\2.*(.)\3")
+_DISGUISED = re.compile(r"[\d@$!|+€£*_.'^~-]|(.)\1")
+_SIGNS = "".join(c for c, x in LEET.items() if x)  # signs that stand for letters
+_AROUND = "".join(c for c in _TRAIL + _LEAD if c not in _SIGNS)
+WINDOW = 64  # lattice steps decoded at once; windows overlap by half
 _CACHE_ENTRIES = 300_000
 
 
@@ -76,8 +79,11 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each character, or run of one letter, what it may stand for and at which cost."""
+def lattice(token: str, phrase: bool = False) -> list[list[tuple[str, float]]]:
+    """For each character, or run of one letter, what it may stand for and at which cost.
+
+    A long run of one sign is like one of three. In a ``phrase`` separators may end words, as spaces do.
+    """
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i + 1
@@ -85,11 +91,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             j += 1
         if _HARD.match(c):
             out.append([(c, 0.0)] if j - i == 1 else [(c * 2, 0.0 if j - i == 2 else DOUBLE), (c, DOUBLE)])
-        elif c == " ":
+        elif c == " " or phrase and LEET.get(c) == "":
             out.append([("", 0.2), (" ", 0.2)])
         elif c in LEET:
-            for _ in range(j - i if LEET[c] else 1):
-                out.append([(x, SWAP) for x in LEET[c]] + [("", DROP if j == len(token) or not LEET[c] else KEEP)])
+            for k in range(min(j - i, 3) if LEET[c] else 1):
+                out.append([(x, SWAP) for x in LEET[c]] + [("", DOUBLE if k else DROP if j == len(token) or not LEET[c] else KEEP)])
         else:
             out.append([("", DROP), (" ", KEEP)])
         i = j
@@ -100,9 +106,14 @@ PATHS = 4  # best paths kept of a token: a short word's letters alone may not se
 
 
 def decode(token: str, model: np.ndarray, paths: int = PATHS) -> list[str]:
-    """The best paths through a token's lattice, best first: states are the last two letters."""
+    """The best paths through a token's lattice, best first."""
+    return best_paths(lattice(token), model, paths)
+
+
+def best_paths(steps: list[list[tuple[str, float]]], model: np.ndarray, paths: int = PATHS) -> list[str]:
+    """The best paths through a lattice, best first: states are the last two letters."""
     states = {(0, 0): [(0.0, "")]}
-    for options in lattice(token):
+    for options in steps:
         new: dict = {}
         for (a, b), held in states.items():
             for piece, cost in options:
@@ -129,22 +140,37 @@ class Restorer:
         if found is None:
             core = t.strip(_TRAIL + _LEAD) if t[-1] in _TRAIL or t[0] in _LEAD else t
             found = (core,) if core else ()
-            letters = sum(map(str.isalpha, core))
-            if core and letters >= 2 and not core.isalpha() or core and _DISGUISED.search(core) and letters >= 2:
-                disguised = decode(core, self.model) if self.wordlike(core, letters) else [core]
-                found = tuple(dict.fromkeys([core, *(w for path in disguised for w in path.split())]))
-                parts = tuple(p for p in re.split(r"[\W\d_]+", core) if len(p) > 1)
-                if parts != (core,):
-                    found += parts
+            # Signs at the ends may be letters of the word.
+            for c in dict.fromkeys((core, t.strip(_AROUND))):
+                if self.disguised(c):
+                    found = tuple(dict.fromkeys([*found, *(w for path in self.paths(c) for w in path.split())]))
+            # Words between signs that stand for no letter are disguised each on its own.
+            parts = [p for p in re.split(r"[^\w@$!|+€£]+|_+", core) if len(p) > 1]
+            if parts and parts != [core]:
+                found = tuple(dict.fromkeys([*found, *(w for p in parts for w in self.token(p))]))
+            if core and not core.isalpha():
+                plain = tuple(p for p in re.split(r"[\W\d_]+", core) if len(p) > 1)
+                found += tuple(p for p in plain if p not in found)
             if len(self.cache) >= _CACHE_ENTRIES:
                 self.cache.clear()
             self.cache[t] = found
         return found
 
     @staticmethod
-    def wordlike(core: str, letters: int) -> bool:
-        """Whether a token may be a disguised word: mostly letters, or short and nothing but letters and signs for them."""
-        return len(core) <= 64 and letters * 2 >= len(core) or len(core) <= 16 and all(c.isalpha() or LEET.get(c) for c in core)
+    def disguised(core: str) -> bool:
+        """Whether a token may be a disguised word: not plain letters, and at least half letters, signs for them and separators."""
+        if not (_DISGUISED.search(core) or core and not core.isalpha()):
+            return False
+        letters = sum(c.isalpha() or bool(LEET.get(c)) for c in core)
+        return letters >= 2 and 2 * sum(c.isalpha() or c in LEET for c in core) >= len(core)
+
+    def paths(self, core: str) -> list[str]:
+        """The best paths of a token; of a long one, those of overlapping windows."""
+        steps = lattice(core)
+        if len(steps) <= WINDOW:
+            return best_paths(steps, self.model)
+        steps = lattice(core, phrase=True)
+        return [p for s in range(0, len(steps), WINDOW // 2) for p in best_paths(steps[s : s + WINDOW], self.model)]
 
     def words(self, text: str | None) -> Counter:
         """Counts of restored words; a disguised token also counts as it stands."""

@@ -480,3 +480,17 @@ def test_toxicity_separates_and_restores(spark, taught):
     assert scores.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0 and scores.count() == docs.count()
     assert toxicity.score_toxicity(odd(spark).limit(0), labels, F.lit(True)).count() == 0
     assert toxicity.score_toxicity(odd(spark), labels.limit(0), F.lit(True)).filter("predicted = 1").count() == 0
+
+
+def test_disguises_reach_the_lattice(spark, docs):
+    more = spark.createDataFrame([("loser idiot stupid moron fool clown trash " * 400,)], "text string")
+    restorer = toxicity.Restorer(toxicity.letter_model(toxicity.trigram_counts(docs.select("text").union(more), "text")))
+    few = ["1053r", "1d107", "!d!0+"]  # fewer than two letters
+    runs = ["l" + 70 * "o" + "ser", "l" + 70 * "0" + "ser", "i-d-i-o-t-" * 30]
+    apart = ["i--d--i--o--t", "1-d-1-0-t", "i***d***i***o***t", "you-1d10t"]
+    doubled = ["idioot", "stuupid", "$tupid!"]
+    for tokens, wanted in ((few, ["loser", "idiot", "idiot"]), (runs, ["loser", "loser", "idiot"]), (apart, ["idiot"] * 4), (doubled, ["idiot", "stupid", "stupid"])):
+        for t, w in zip(tokens, wanted):
+            assert w in restorer.words(f"the {t} of"), t
+    assert restorer.token("house") == ("house",) and restorer.token("...") == ()
+    assert restorer.words("x" * 5000 + " " + "7" * 5000).total() < 20

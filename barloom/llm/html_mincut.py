@@ -32,13 +32,71 @@ _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|alert|nav\w*|menu\w*|side ?bar|side|footer|header|masthead|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|breadcrumbs?|subscribe|newsletter|popup|modal|overlay|widget|login|signup|pagination|pager|tags|copyright|legal|search|complementary|contentinfo|toolbar)(?=$|[\s_-])",
     re.I,
 )
+# Parts of a token that make it a state of the page or the subject of its text, not the role of a section: has-sidebar, category-legal, menu-open.
+_STATE = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without|is|in|category|cat|tag|topic|subject|type|format|status|template|theme|layout|supports?|open|opened|closed|enabled|disabled|active|inactive|on|off|visible|hidden|shown|collapsed|expanded|loaded|ready|sticky|fixed)(?=$|[_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])", re.I)
 
 
+def marked(said: str) -> bool:
+    """Whether a token of class, id or role names boilerplate; ``side bar`` is one name."""
+    return bool(_BAD.search(" ".join(x for x in said.split() if not _STATE.search(x))))
+
+
+def weights_of(blocks: list[tuple], sections: dict[int, tuple[str, float, bool, bool]]) -> dict[tuple[int, ...], float]:
+    """The context weight of each section path of ``blocks`` (text, links, path, tag).
+
+    ``sections`` has name, weight without marks, marked and central (main, article or the like) of each. A mark says nothing about a body, main or article, nor about
+    a section with the page's main text in it: it holds a main, or most of the text outside other boilerplate while what is central,
+    if anything, lies inside it or around little more than it. Comments and lists of related pages hold articles too, so an
+    article alone does not redeem them.
+    """
+    size: dict[int, int] = {}
+    inside: dict[int, set[int]] = {}  # central sections with text in each section
+    around: dict[int, tuple[int, ...]] = {}
+    for text, _, path, _ in blocks:
+        for i, s in enumerate(path):
+            size[s] = size.get(s, 0) + len(text)
+            around[s] = path[:i]
+            inside.setdefault(s, set()).update(c for c in path[i + 1 :] if sections[c][3])
+    suspects = [s for s in size if sections[s][2] and sections[s][0] not in ("body", "main", "article")]
+    exempt = set()
+    if suspects:
+        central = sorted(s for s in size if sections[s][3])
+        exempt = {s for s in suspects if any(sections[c][0] == "main" for c in inside[s])}
+        poor = {s for s in size if sections[s][1] < 0 or s in suspects and s not in exempt}
+        own = None
+        for s in sorted(set(suspects) - exempt, key=lambda x: (-size[x], x)):
+            if own is None:  # text by the innermost boilerplate it lies in
+                own = {}
+                for text, _, path, _ in blocks:
+                    at = next((c for c in reversed(path) if c in poor), None)
+                    own[at] = own.get(at, 0) + len(text)
+            # Text counts unless it lies in boilerplate that neither holds this section nor lies in it.
+            rest = size[s] + own.get(None, 0) + sum(own.get(c, 0) for c in around[s] if c in poor)
+            if 2 * size[s] <= rest:
+                continue
+            beside = any(c not in inside[s] and not any(x in poor and x not in around[s] for x in (*around[c], c)) if c not in around[s] else size[s] < 0.9 * size[c] for c in central)
+            if not beside:
+                exempt.add(s)
+                poor.discard(s)
+                own = None
+    out = {}
+    for _, _, path, _ in blocks:
+        weight = 0.0
+        for s in path:
+            name, plain, bad, _ = sections[s]
+            mine = -8.0 if bad and name not in ("body", "main", "article") and s not in exempt else plain
+            # A bad section keeps its hold on what it contains; a good one does not redeem it.
+            weight = min(weight, mine) if weight < 0 or mine < 0 else max(weight, mine)
+        out[path] = weight
+    return out
+
+
 def blocks_of(page: str) -> list[tuple[str, float, float, tuple[int, ...], str]]:
     """(text, share of link characters, context weight, section path, tag) of every block with text."""
     out = []
-    stack = [("", 0.0, ())]  # tag, context weight, section path
+    stack = [("", ())]  # tag, section path
+    sections = {}  # of each section: name, weight without marks, marked, central
     pieces: list[str] = []
     in_link = linked = serial = at = 0
     tag = ""
@@ -47,7 +105,7 @@ def blocks_of(page: str) -> list[tuple[str, float, float, tuple[int, ...], str]]
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            out.append((text, min(1.0, linked / len(text)), stack[-1][1], stack[-1][2], tag))
+            out.append((text, min(1.0, linked / len(text)), stack[-1][1], tag))
         pieces.clear()
         linked = 0
 
@@ -82,26 +140,24 @@ def blocks_of(page: str) -> list[tuple[str, float, float, tuple[int, ...], str]]
                 stack.pop()
             elif stack[-1][0] == "p":
                 stack.pop()
-            _, weight, path = stack[-1]
+            path = stack[-1][1]
             if name in _SECTIONS:
                 serial += 1
                 path = (*path, serial)
                 own = _BOILER.get(name, 0.0)
                 said = " ".join(x or y or z for x, y, z in _ATTRIBUTE.findall(m.group(4) or ""))
-                if said:
-                    if _BAD.search(said):
-                        own = -8.0
-                    elif own == 0.0 and _GOOD.search(said):
-                        own = 3.0
-                # A bad section keeps its hold on what it contains; a good one does not redeem it.
-                weight = min(weight, own) if weight < 0 or own < 0 else max(weight, own)
+                if own == 0.0 and _GOOD.search(said):
+                    own = 3.0
+                bad = marked(said)
+                sections[serial] = (name, own, bad, own > 0 and not bad or name in ("main", "article"))
             if name not in _VOID:
-                stack.append((name, weight, path))
+                stack.append((name, path))
         tag = stack[-1][0]
     if at < len(page):
         pieces.append(page[at:])
     flush()
-    return out
+    weights = weights_of(out, sections)
+    return [(text, links, weights[path], path, tag) for text, links, path, tag in out]
 
 
 def log_odds(text: str, links: float, context: float, tag: str) -> float:

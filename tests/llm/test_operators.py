@@ -340,6 +340,35 @@ def test_main_text(spark):
     assert html_mincut.extract(spark.createDataFrame([], "page_id bigint, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "head,tail",
+    [
+        ("<body class='home has-sidebar'><article>", "</article>"),
+        ("<body class='search'><main>", "</main>"),
+        ("<body><article class='post category-legal'>", "</article>"),
+        ("<body><div id='page' class='menu-open'>", "</div>"),
+        ("<body><article class='post comments-open'>", "</article>"),
+        ("<body><main class='widget'>", "</main>"),
+        ("<body><div class='widget'><main>", "</main></div>"),
+        ("<body><div class='overlay'><div class='content'>", "</div></div>"),
+        ("<body><div id=page class='sidebar'><article>", "</article></div>"),
+        ("<body><div id=content><div class='social'>", "</div></div>"),
+    ],
+)
+def test_marks_of_outer_sections_leave_the_article(head, tail):
+    words = " ".join(["Plain words of the article itself, more than a few of them."] * 9)
+    comment = "A comment of a reader who liked it very much indeed and says so. " * 4
+    low = f"<div class='cookie-notice'><p>{words}</p></div><section id=comments><article><p>{comment}</p></article></section><div class='google-ad'><p>Buy this now, it is cheap today and will not be tomorrow.</p></div><footer><p>{comment}</p></footer></body>"
+    assert html_mincut.main_text(f"{head}<h1>Title</h1><p>{words}</p><p>{words}</p>{tail}{low}") == f"Title\n{words}\n{words}"
+
+
+def test_long_comments_stay_marked():
+    words, comment = "Plain words of the article itself, more than a few. " * 5, "A comment of a reader who liked it very much indeed. " * 30
+    for a, b, c in (("<article>", "</article>", ""), ("<article>", "", "</article>"), ("<div class=content>", "</div>", "")):
+        page = f"<body>{a}<p>{words}</p>{b}<section id=comments><article><p>{comment}</p></article></section>{c}</body>"
+        assert html_mincut.main_text(page) == words.strip()
+
+
 def test_pages_give_their_articles(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").toPandas()
     for h in pages.html:

@@ -134,7 +134,8 @@ def nearest(vectors: DataFrame, queries, id_column: str = "vec_id", column: str
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row of ``vectors`` where ``queries`` holds.
 
     Euclidean distance of the original vectors in double precision, nearest first, ties to the smaller id;
-    fewer rows if there are fewer candidates. A row is no candidate of a query with its id. Vectors that are null, zero or hold null or
+    fewer rows only if the table has fewer candidates: a query whose parts hold fewer than ``k`` goes to all others too. A query id of several
+    rows is one query, with the vector of the smallest components. A row is no candidate of a query with its id. Vectors that are null, zero or hold null or
     non-finite components, rows without id and vectors of another length than the query take no part. Repeated rows are
     candidates of their own; other columns are ignored; an empty table gives no rows.
     A part or a query group that many rows share is cut into blocks that meet pairwise.
@@ -162,11 +163,20 @@ def nearest(vectors: DataFrame, queries, id_column: str = "vec_id", column: str
                 if router is None:
                     order = np.zeros((len(b), 1), np.int64)
                 else:
-                    order = router.order(np.array(b["v"].tolist()))[:, :visits]
-                yield pd.DataFrame({"id": b["id"], "v": b["v"], "part": order[:, 0], "asks": b["asks"], "visits": [o.tolist() if a else [] for o, a in zip(order, b["asks"])]})
+                    order = router.order(np.array(b["v"].tolist()))
+                yield pd.DataFrame({"id": b["id"], "v": b["v"], "part": order[:, 0], "asks": b["asks"], "visits": [o[:visits].tolist() if a else [] for o, a in zip(order, b["asks"])]})
 
         routed = stored(own.mapInPandas(route, "id bigint, v array<double>, part bigint, asks boolean, visits array<bigint>"))
-        asked = routed.filter("asks").select("id", "v", F.explode("visits").alias("part"))
+        # A query id whose row is repeated asks once.
+        asking = routed.filter("asks").groupBy("id").agg(F.min(F.struct("v", "visits")).alias("q")).select("id", "q.v", "q.visits")
+        # Candidates are counted by part; rows with the query's own id are none.
+        own_id = routed.select("id", "part").join(asking.select("id"), "id", "left_semi").groupBy("id", "part").agg(F.count("*").alias("same"))
+        held = routed.groupBy("part").agg(F.count("*").alias("rows"))  # at most 256 parts
+        seen = asking.select("id", F.explode("visits").alias("part")).join(F.broadcast(held), "part").join(own_id, ["id", "part"], "left")
+        enough = seen.groupBy("id").agg(F.sum(F.col("rows") - F.coalesce("same", F.lit(0))).alias("n")).filter(F.col("n") >= k).select("id", F.lit(True).alias("enough"))
+        whole = F.lit(list(range(parts if router else 1))).cast("array<bigint>")
+        asking = asking.join(enough, "id", "left").withColumn("visits", F.when(F.col("enough"), F.col("visits")).otherwise(whole))
+        asked = stored(asking.select("id", "v", F.explode("visits").alias("part")))
         blocks = routed.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("cs"))
         waiting = asked.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("qs"))
         shape = blocks.join(waiting, "part")
@@ -198,6 +208,5 @@ def nearest(vectors: DataFrame, queries, id_column: str = "vec_id", column: str
     near = found[0]
     for f in found[1:]:
         near = near.union(f)
-    # A query whose row is repeated asks once.
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("d").alias("score"))

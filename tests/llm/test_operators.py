@@ -523,3 +523,19 @@ def test_disguises_reach_the_lattice(spark, docs):
             assert w in restorer.words(f"the {t} of"), t
     assert restorer.token("house") == ("house",) and restorer.token("...") == ()
     assert restorer.words("x" * 5000 + " " + "7" * 5000).total() < 20
+
+
+def test_nearest_asks_once_and_finds_k(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((600, 8)) + 30 * np.repeat(np.eye(8)[:6], [595, 1, 1, 1, 1, 1], axis=0)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(0, v[0].tolist())] * 2 + [(597, v[597].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id").isin(0, 100, 597), k=10).toPandas()
+    for q in (0, 100, 597):
+        mine = got[got.query_id == q]
+        assert len(mine) == 10 and q not in set(mine.vec_id)
+        assert (mine.vec_id.value_counts() <= [3 if i == 0 else 2 if i == 597 else 1 for i in mine.vec_id.value_counts().index]).all()  # repeated rows are candidates of other queries
+    # More neighbours than the visited parts hold.
+    every = ann.nearest(df, F.col("vec_id") == 597, k=590).toPandas()
+    assert len(every) == 590 and sorted(every["rank"]) == list(range(1, 591))

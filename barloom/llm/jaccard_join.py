@@ -54,8 +54,8 @@ def _node(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
-    """(id, n, node, counts, keys) per document: set size, the set's hash, group counts, first shingles."""
+def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent: int, row_hash: str | None = None) -> DataFrame:
+    """(id, n, node, counts, keys) per document: set size, the set's hash, group counts, first shingles; with ``row_hash`` also the text's hash."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, width))
 
     def sign(batches):
@@ -74,10 +74,12 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent:
                 rows.append((key, n, _node(h), counts.tobytes(), h[order].view(np.int64)))
             ids, n, nodes, counts, keys = zip(*rows) if rows else [()] * 5
             # Nullable integers: 64-bit hashes would lose digits as floats.
-            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": pd.array(n, "int64"), "node": pd.array(nodes, "Int64"), "counts": list(counts), "keys": list(keys)})
+            out = pd.DataFrame({"id": pd.array(ids, "Int64"), "n": pd.array(n, "int64"), "node": pd.array(nodes, "Int64"), "counts": list(counts), "keys": list(keys)})
+            yield out.assign(**{row_hash: batch[row_hash].to_numpy()}) if row_hash else out
 
-    made = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    return made.mapInPandas(sign, "id bigint, n bigint, node bigint, counts binary, keys array<bigint>")
+    own = [F.xxhash64(text).alias(row_hash)] if row_hash else []
+    made = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), *own)
+    return made.mapInPandas(sign, "id bigint, n bigint, node bigint, counts binary, keys array<bigint>" + (f", {row_hash} bigint" if row_hash else ""))
 
 
 def _matrix(x: pd.Series) -> np.ndarray:
@@ -213,8 +215,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str
     return rows.repartition(partitions(pairs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", "kind").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """(id, n_shingles, component_id, n_copies) per row of ``docs``.
+def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90, row_hash: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, n_copies) per row of ``docs``; with ``row_hash`` also a column of that name, the xxhash64 of its text.
 
     Sets are the distinct ``width``-word shingles of the whole text (A-Z lower-cased,
     words ``WORD``); a shorter text is one shingle. Two sets link when
@@ -226,7 +228,7 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     Links are looked for in two rounds over the same buckets: each node against its bucket's smallest, which
     settles groups of copies in one step, then all pairs of different components the trees let through.
     """
-    signed = stored(signatures(docs, id_column, text, width, percent))
+    signed = stored(signatures(docs, id_column, text, width, percent, row_hash))
     known = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     copies = known.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
     nodes = stored(known.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
@@ -264,5 +266,5 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     kind = docs.schema[id_column].dataType.simpleString()
     return signed.join(groups, "node", "left").select(
-        F.col("id").cast(kind).alias(id_column), F.col("n").alias("n_shingles"), alone.cast(kind).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")
+        F.col("id").cast(kind).alias(id_column), F.col("n").alias("n_shingles"), alone.cast(kind).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), *([row_hash] if row_hash else [])
     )

@@ -28,9 +28,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A row without doc_id or words is a group of its own; of equal rows one stays.
     """
-    groups = jaccard_join.jaccard_groups(docs, width=5, percent=80)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # An id may be on rows of different texts: a row goes by its id and its text, not by its id alone.
+    groups = jaccard_join.jaccard_groups(docs, width=5, percent=80, row_hash="_hash")
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), "_hash").distinct()
+    mine = docs.withColumn("_text", F.xxhash64("text"))
+    left = mine.join(gone, (mine["doc_id"] == gone["_gone"]) & (mine["_text"] == gone["_hash"]), "left_anti").drop("_text")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
     return left.withColumn("_row", F.row_number().over(same)).filter("_row = 1 OR doc_id IS NULL OR text IS NULL").drop("_row")
 

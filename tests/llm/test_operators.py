@@ -539,3 +539,12 @@ def test_nearest_asks_once_and_finds_k(spark):
     # More neighbours than the visited parts hold.
     every = ann.nearest(df, F.col("vec_id") == 597, k=590).toPandas()
     assert len(every) == 590 and sorted(every["rank"]) == list(range(1, 591))
+
+
+def test_one_id_on_two_texts_loses_no_group(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (9, a), (3, b), (5, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert rows_of(corpus_pipeline.keep_one_of_each(spark, df, ""), "doc_id", "text") == [(3, b), (5, a)]

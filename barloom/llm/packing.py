@@ -1,11 +1,11 @@
-"""Best-fit packing of tokenized documents into sequences, in bulk-synchronous supersteps.
-
-Documents and gaps are sorted by size and kept as runs: a size and a range of
-ranks. A superstep takes the longest run of documents and sweeps it along the gaps from
-its successor upwards (the smallest gap that holds it), many documents at a time; ranks decide who gets
-which gap; the gaps shrink and are sorted in again. What has no gap opens new sequences.
-Sizes are integers up to the sequence length, so the runs are bounded by
-it and not by the number of documents, which stay distributed: they learn their place
+"""Best-fit packing of tokenized documents into sequences by run-length matching on the driver.
+
+Spark counts the pieces of each size; documents and gaps are runs: a size and a range of
+ranks. ``place_runs``, a loop on the driver, takes the longest run of documents and matches it with the gaps from
+its successor upwards (the smallest gap that holds it), many documents at a time; what has no gap opens new
+sequences. This replaces distributed successor sweeps with conflicts resolved by rank: a run has one successor, so there are no conflicts, and
+sizes are integers up to the sequence length, so the runs are bounded by
+it and not by the number of documents. Those stay distributed: they learn their place
 from their rank within their length by a join with the runs.
 """
 

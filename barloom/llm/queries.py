@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, mixing, packing, quality, token_counts, toxicity
+from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, merkle, mixing, packing, quality, token_counts, toxicity
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -145,3 +145,50 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+
+    def digest(text):
+        return merkle.row_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    shouted = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 0, F.lit(False))
+    leaves = docs.select("doc_id", "lang", digest(F.col("text")).alias("leaf"), digest(F.when(tampered, shouted).otherwise(F.col("text"))).alias("seen"))
+    made = merkle.manifest(leaves, leaf="leaf", tree="lang", order="doc_id")
+    made = made.withColumn("proof_sha256", merkle.proof_digest(F.col("path"))).withColumn("folded_root", merkle.fold(F.col("seen"), F.col("path")))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE tab(b, k, v) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) r(i)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM tab WHERE k < 8),
+crc(doc_id, i, c) AS (SELECT DISTINCT doc_id, 0, CAST(4294967295 AS BIGINT) FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, i + 1, xor(v, c >> 8) FROM crc, tab WHERE k = 8 AND i < strlen(CAST(doc_id AS VARCHAR)) AND b = xor(c, ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1))) & 255),
+bad AS (SELECT doc_id FROM crc WHERE i = strlen(CAST(doc_id AS VARCHAR)) AND xor(c, 4294967295) % 3 = 0),
+t AS (SELECT d.*, CASE WHEN b.doc_id IS NULL THEN text ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS other FROM documents d LEFT JOIN bad b ON d.doc_id = b.doc_id),
+f AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+  || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM t),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS seen FROM f),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+up(lang, lev, pos, n, h) AS (SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT lang, lev + 1, pos // 8, max((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lang, lev, pos // 8),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+over(lev, pos, n, h) AS (SELECT 0, pos, n, h FROM subroots
+  UNION ALL SELECT lev + 1, pos // 8, max((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY lev, pos // 8),
+kids AS (SELECT lang, lev, pos // 8 AS parent, list(h ORDER BY pos) AS hs FROM up WHERE n > 1 GROUP BY ALL),
+tops AS (SELECT lev, pos // 8 AS parent, list(h ORDER BY pos) AS hs FROM over WHERE n > 1 GROUP BY ALL),
+go(id, lang, lev, pos, said, seen) AS (SELECT row_number() OVER (ORDER BY lang, pos), lang, 0, pos, '', seen FROM leaves
+  UNION ALL SELECT id, g.lang, g.lev + 1, g.pos // 8, said || array_to_string(hs[:g.pos % 8], '') || array_to_string(hs[g.pos % 8 + 2:], ''),
+    sha256(array_to_string(hs[:g.pos % 8], '') || seen || array_to_string(hs[g.pos % 8 + 2:], '')) FROM go g JOIN kids k ON k.lang IS NOT DISTINCT FROM g.lang AND k.lev = g.lev AND k.parent = g.pos // 8),
+mid AS (SELECT g.id, s.pos, g.said, g.seen, s.h AS subroot FROM (SELECT * FROM go QUALIFY lev = max(lev) OVER (PARTITION BY id)) g JOIN subroots s ON s.lang IS NOT DISTINCT FROM g.lang),
+rise(id, lev, pos, said, seen) AS (SELECT id, 0, pos, said, seen FROM mid
+  UNION ALL SELECT id, r.lev + 1, r.pos // 8, said || array_to_string(hs[:r.pos % 8], '') || array_to_string(hs[r.pos % 8 + 2:], ''),
+    sha256(array_to_string(hs[:r.pos % 8], '') || seen || array_to_string(hs[r.pos % 8 + 2:], '')) FROM rise r JOIN tops k ON k.lev = r.lev AND k.parent = r.pos // 8),
+final AS (SELECT * FROM rise QUALIFY lev = max(lev) OVER (PARTITION BY id)),
+named AS (SELECT *, row_number() OVER (ORDER BY lang, pos) AS id FROM leaves)
+SELECT n.doc_id, n.leaf, m.subroot, o.h AS root, sha256(f.said) AS proof_sha256, f.seen AS folded_root, f.seen = o.h AS verified
+FROM named n JOIN mid m ON m.id = n.id JOIN final f ON f.id = n.id JOIN over o ON o.n = 1
+"""

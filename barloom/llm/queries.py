@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, merkle, mixing, packing, quality, token_counts, toxicity
+from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, merkle, mixing, packing, quality, spelling, token_counts, toxicity
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -192,3 +192,31 @@ named AS (SELECT *, row_number() OVER (ORDER BY lang, pos) AS id FROM leaves)
 SELECT n.doc_id, n.leaf, m.subroot, o.h AS root, sha256(f.said) AS proof_sha256, f.seen AS folded_root, f.seen = o.h AS verified
 FROM named n JOIN mid m ON m.id = n.id JOIN final f ON f.id = n.id JOIN over o ON o.n = 1
 """
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), shortest=5, least=3)
+    return spelling.variants(words, ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE tab(b, k, v) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) r(i)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM tab WHERE k < 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x FROM runs GROUP BY doc_id, run),
+ids AS (SELECT *, row_number() OVER () AS id FROM c),
+crc(id, x, i, h) AS (SELECT id, x, 0, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL SELECT id, x, i + 2, xor(v, h >> 8) FROM crc, tab WHERE k = 8 AND i < length(x) AND b = xor(h, ('0x' || substr(x, i + 1, 2))::BIGINT) & 255),
+h AS (SELECT id, xor(h, 4294967295) AS h FROM crc WHERE i = length(x)),
+noisy AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM ids JOIN h USING (id)),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+del AS (SELECT word, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word AS word, b.word AS other FROM del a JOIN del b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM del d JOIN w ON d.v = w.word UNION SELECT w.word, d.word FROM del d JOIN w ON d.v = w.word),
+best AS (SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other, o.n AS m FROM near JOIN w o ON o.word = near.other
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, encode(other)) = 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+walk(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.tip WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.tip AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f l ON l.word = walk.tip WHERE l.form IS NULL
+"""

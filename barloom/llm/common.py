@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -35,6 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver has collected their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,20 +89,24 @@ def _tables(n: int):
     return _TABLE
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a whole text, A-Z lower-cased, in order."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
+def hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in UTF-8 bytes, in order, with their starts and ends."""
     inside = ~_BLANK[raw]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), start, end
     up, down = _tables(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a whole text, A-Z lower-cased, in order."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    return hashed_words(_LOWER[np.frombuffer(text.encode(), np.uint8)])[0]
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:

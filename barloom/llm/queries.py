@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, merkle, mixing, packing, quality, spelling, token_counts, toxicity
+from barloom.llm import ann, binary_codes, chat, html_mincut, jaccard_join, merkle, mixing, packing, quality, repeats, spelling, token_counts, toxicity
 from barloom.llm.common import table
 
 QUERIES = {}
@@ -220,3 +220,20 @@ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n TH
 walk(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.tip WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, walk.tip AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f l ON l.word = walk.tip WHERE l.form IS NULL
 """
+
+
+@query
+def op12_substring_dedup(spark, sf_dir):
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op12_substring_dedup"] = r"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT row, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+first AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g),
+bad AS (SELECT row, list(DISTINCT i + k) AS gone FROM (SELECT row, i, unnest(range(0, 13)) AS k FROM g JOIN first USING (g) WHERE doc_id > low) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(coalesce(gone, [])) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN bad USING (row)
+"""

@@ -14,7 +14,7 @@ def test_matches_sql(spark, sf_dir, name):
     assert ok, note
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_has_a_query(n):
     assert sum(name.startswith(f"op{n}_") for name in QUERIES) == 1
 

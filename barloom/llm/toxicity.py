@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,9 @@ _DISGUISED = re.compile(r"[\d@$!|+€£*_.'^~-]|(.)\1")
 _SIGNS = "".join(c for c, x in LEET.items() if x)  # signs that stand for letters
 _AROUND = "".join(c for c in _TRAIL + _LEAD if c not in _SIGNS)
 WINDOW = 64  # lattice steps decoded at once; windows overlap by half
-_CACHE_ENTRIES = 300_000
+_CACHED = 1 << 25  # characters of tokens and words a worker remembers
+_REMEMBERED = 256  # longest token that is worth remembering
+_FEW_PATHS = 16
 
 
 def letter(c: str) -> int:
@@ -107,43 +110,110 @@ PATHS = 4  # best paths kept of a token: a short word's letters alone may not se
 
 def decode(token: str, model: np.ndarray, paths: int = PATHS) -> list[str]:
     """The best paths through a token's lattice, best first."""
-    return best_paths(lattice(token), model, paths)
+    return best_paths(lattice(token), flat(model), paths)
 
 
-def best_paths(steps: list[list[tuple[str, float]]], model: np.ndarray, paths: int = PATHS) -> list[str]:
-    """The best paths through a lattice, best first: states are the last two letters."""
-    states = {(0, 0): [(0.0, "")]}
+class _Letters(dict):
+    """Letter codes of characters, worked out once each."""
+
+    def __missing__(self, c: str) -> int:
+        found = self[c] = 0 if c == " " else letter(c)
+        return found
+
+
+_LETTER = _Letters()
+_STRIDE = LETTERS * LETTERS
+
+
+def flat(model: np.ndarray) -> list[float]:
+    """The model as a plain list, entry (a * LETTERS + b) * LETTERS + c: single look-ups in it are far cheaper than in an array."""
+    return model.ravel().tolist()
+
+
+def best_paths(steps: list[list[tuple[str, float]]], model: list[float], paths: int = PATHS) -> list[str]:
+    """The best paths through a lattice, best first: a state is the code of the last two letters."""
+    codes = _LETTER
+    number = 1
+    for options in steps:
+        number *= len(options)
+        if number > _FEW_PATHS:
+            break
+    states = {0: [(0.0, "")]}
     for options in steps:
         new: dict = {}
-        for (a, b), held in states.items():
+        for state, held in states.items():
             for piece, cost in options:
-                gain, x, y = -cost, a, b
+                gain, at = -cost, state
                 for c in piece:
-                    z = 0 if c == " " else letter(c)
-                    gain += model[x, y, z]
-                    x, y = y, z
-                new.setdefault((x, y), []).extend((score + gain, said + piece) for score, said in held)
-        states = {k: sorted(set(v), key=lambda e: (-e[0], e[1]))[:paths] for k, v in new.items()}
-    ends = [(score + model[a, b, 0], said) for (a, b), held in states.items() for score, said in held]
-    return list(dict.fromkeys(said for _, said in sorted(ends, key=lambda e: (-e[0], e[1]))))[:paths]
+                    z = at * LETTERS + codes[c]
+                    gain += model[z]
+                    at = z % _STRIDE
+                new.setdefault(at, []).extend([(score + gain, said + piece) for score, said in held])
+        if number > _FEW_PATHS:
+            for k, v in new.items():
+                if len(v) > paths:
+                    new[k] = sorted(set(v), key=lambda e: (-e[0], e[1]))[:paths]
+        states = new
+    ends = [(score + model[at * LETTERS], said) for at, held in states.items() for score, said in held]
+    return list(dict.fromkeys([said for _, said in sorted(ends, key=lambda e: (-e[0], e[1]))]))[:paths]
+
+
+def spaced_letters(tokens: list[str]) -> Iterator[str]:
+    """Windows of runs of at least three tokens of one letter or sign: they overlap by half, a spaced word is far shorter."""
+    single = [len(t) == 1 or (len(t) == 2 and not t[1].isalnum()) for t in tokens]
+    i = 0
+    while i < len(tokens):
+        try:
+            i = j = single.index(True, i)
+        except ValueError:
+            return
+        while j < len(tokens) and single[j]:
+            j += 1
+        if j - i >= 3:
+            for s in range(i, j, 32):
+                yield " ".join(tokens[s : min(j, s + 64)])
+        i = j
 
 
 class Restorer:
     """Words of whole texts after restoration, with a cache of decoded tokens."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model
+    def __init__(self, model: np.ndarray | list[float]):
+        self.model = model if isinstance(model, list) else flat(model)
         self.cache: dict[str, tuple[str, ...]] = {}
+        self.decoded: dict[str, tuple[str, ...]] = {}
+        self.held = 0
+
+    def remember(self, cache: dict, key: str, found: tuple[str, ...]) -> tuple[str, ...]:
+        """Keep what was worked out; memory is bounded by characters, long tokens are not kept."""
+        if len(key) <= _REMEMBERED:
+            self.held += 100 + len(key) + sum(map(len, found))
+            if self.held > _CACHED:
+                self.cache.clear()
+                self.decoded.clear()
+                self.held = 0
+            cache[key] = found
+        return found
+
+    def read(self, core: str) -> tuple[str, ...]:
+        """Words of the best paths of a token that may be disguised, none of another."""
+        found = self.decoded.get(core)
+        if found is None:
+            words = [w for path in self.paths(core) for w in path.split()] if self.disguised(core) else []
+            found = self.remember(self.decoded, core, tuple(dict.fromkeys(words)))
+        return found
 
     def token(self, t: str) -> tuple[str, ...]:
         found = self.cache.get(t)
         if found is None:
+            if t.isalpha() and not _DISGUISED.search(t):
+                return (t,)
             core = t.strip(_TRAIL + _LEAD) if t[-1] in _TRAIL or t[0] in _LEAD else t
             found = (core,) if core else ()
             # Signs at the ends may be letters of the word.
             for c in dict.fromkeys((core, t.strip(_AROUND))):
-                if self.disguised(c):
-                    found = tuple(dict.fromkeys([*found, *(w for path in self.paths(c) for w in path.split())]))
+                if c:
+                    found = tuple(dict.fromkeys([*found, *self.read(c)]))
             # Words between signs that stand for no letter are disguised each on its own.
             parts = [p for p in re.split(r"[^\w@$!|+€£]+|_+", core) if len(p) > 1]
             if parts and parts != [core]:
@@ -151,9 +221,7 @@ class Restorer:
             if core and not core.isalpha():
                 plain = tuple(p for p in re.split(r"[\W\d_]+", core) if len(p) > 1)
                 found += tuple(p for p in plain if p not in found)
-            if len(self.cache) >= _CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[t] = found
+            self.remember(self.cache, t, found)
         return found
 
     @staticmethod
@@ -172,6 +240,13 @@ class Restorer:
         steps = lattice(core, phrase=True)
         return [p for s in range(0, len(steps), WINDOW // 2) for p in best_paths(steps[s : s + WINDOW], self.model)]
 
+    def spaced(self, line: str) -> tuple[str, ...]:
+        """Words of the best paths of letters with spaces between."""
+        found = self.decoded.get(line)
+        if found is None:
+            found = self.remember(self.decoded, line, tuple(w for path in best_paths(lattice(line), self.model) for w in path.split()))
+        return found
+
     def words(self, text: str | None) -> Counter:
         """Counts of restored words; a disguised token also counts as it stands."""
         if not text:
@@ -181,31 +256,73 @@ class Restorer:
         for t, n in Counter(tokens).items():
             for w in self.token(t):
                 out[w] += n
-        # Spaced letters: at least three tokens of one letter or sign in a row.
-        i, single = 0, [len(t) == 1 or (len(t) == 2 and not t[1].isalnum()) for t in tokens]
-        while i < len(tokens):
-            if not single[i]:
-                i += 1
-                continue
-            j = i
-            while j < len(tokens) and single[j]:
-                j += 1
-            if j - i >= 3 and len(set(tokens[i:j])) > 2:
-                # Overlapping windows bound a lattice; a spaced word is far shorter than a window.
-                for s in range(i, j, 32):
-                    for path in decode(" ".join(tokens[s : min(j, s + 64)]), self.model):
-                        for w in path.split():
-                            out[w] += 1
-            i = j
+        for line in spaced_letters(tokens):
+            for w in self.spaced(line):
+                out[w] += 1
         return out
 
 
-def features(words: Counter, lexicon: dict[str, float]) -> tuple[float, float, float]:
-    """Whether listed words occur, how much weight the different ones have, and their share of the text."""
-    hits = [w for w in words if w in lexicon]
-    if not hits:
-        return 0.0, 0.0, 0.0
-    return 1.0, math.log1p(sum(lexicon[w] for w in hits)), math.log(sum(words[w] for w in hits) / sum(words.values()))
+_RUNS = re.compile(r"(.)\1+")
+
+
+def bare(word: str) -> str:
+    """A word with each run of one letter as a single one."""
+    return _RUNS.sub(r"\1", word)
+
+
+class Scorer:
+    """Features of whole texts against a lexicon.
+
+    Restoring a token of letters only changes the lengths of its runs, so one whose ``bare`` form is no listed word's
+    needs no decoding to know that it restores to none.
+    """
+
+    def __init__(self, model: np.ndarray | list[float], lexicon: dict[str, float]):
+        self.restorer = Restorer(model)
+        self.lexicon = lexicon
+        self.listed = {bare(w) for w in lexicon}
+        self.hot: dict[str, tuple[str, ...]] = {}
+        self.cold: set[str] = set()
+        self.held = 0
+
+    def hits(self, token: str) -> tuple[str, ...]:
+        """Listed words a token stands for."""
+        found = self.hot.get(token)
+        if found is None:
+            core = token.strip(_AROUND)
+            if core.isalpha() and bare(core) not in self.listed:
+                found = ()
+            else:
+                found = tuple(w for w in self.restorer.token(token) if w in self.lexicon)
+            if len(token) <= _REMEMBERED:
+                self.held += 100 + len(token)
+                if self.held > _CACHED:
+                    self.hot.clear()
+                    self.cold.clear()
+                    self.held = 0
+                if found:
+                    self.hot[token] = found
+                else:
+                    self.cold.add(token)
+        return found
+
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Whether listed words occur, how much weight the different ones have, and how many there are for each token."""
+        tokens = text.lower().split() if text else []
+        times: Counter = Counter()
+        for t in set(tokens) - self.cold:
+            found = self.hits(t)
+            if found:
+                n = tokens.count(t)
+                for w in found:
+                    times[w] += n
+        for line in spaced_letters(tokens):
+            for w in self.restorer.spaced(line):
+                if w in self.lexicon:
+                    times[w] += 1
+        if not times:
+            return 0.0, 0.0, 0.0
+        return 1.0, math.log1p(sum(self.lexicon[w] for w in sorted(times))), math.log(sum(times.values()) / len(tokens))
 
 
 def learn_lexicon(counted: DataFrame, toxic: int, clean: int) -> dict[str, float]:
@@ -236,16 +353,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains, id_column: str =
     """``docs`` with score (0 to 1) and predicted.
 
     ``labels`` (id, toxic) where ``trains`` holds teach the lexicon and the logistic model; at most ``most`` of them
-    are used. The letter model is counted over all texts. Scores depend on the text alone. A null or empty
-    text has the score of a text without listed words; repeated rows stay; without labels of both kinds
+    are used. A word is listed if at least three toxic texts hold it and it has 64 characters or fewer; at most ``MOST_WORDS`` are. The letter model is counted over all texts. Scores depend on the text alone. A null or empty
+    text has the score of a text without listed words; repeated rows stay; an id with two labels counts as toxic; without labels of both kinds
     every score is the share of toxic ones (0 without labels). Columns named score or predicted are replaced; an empty
     table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("score", "predicted")
-    chosen = labels.filter(trains & F.col("toxic").isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
+    chosen = labels.filter(trains & F.col("toxic").isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))  # of two labels the toxic one
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)  # bounds what is broadcast
-    model = spark.sparkContext.broadcast(letter_model(trigram_counts(docs, text)))
+    model = spark.sparkContext.broadcast(flat(letter_model(trigram_counts(docs, text))))
     sample = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
 
     def presence(batches):
@@ -271,9 +388,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains, id_column: str =
     words = spark.sparkContext.broadcast(lexicon)
 
     def measure(batches):
-        restorer = Restorer(model.value)
+        scorer = Scorer(model.value, words.value)
         for b in batches:
-            rows = [features(restorer.words(t), words.value) for t in b["text"]]
+            rows = [scorer.features(t) for t in b["text"]]
             yield pd.DataFrame([(*r, int(y)) for r, y in zip(rows, b["toxic"])], columns=["f1", "f2", "f3", "y"])
 
     if toxic and clean:
@@ -284,16 +401,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains, id_column: str =
     else:
         share = toxic / max(toxic + clean, 1)
         weights = np.array([30.0 if share == 1 else -30.0, 0, 0, 0])
-    others = docs.columns
 
-    def score(batches):
-        restorer = Restorer(model.value)
-        for b in batches:
-            f = np.array([features(restorer.words(t), words.value) for t in b["_text"]]).reshape(-1, 3)
-            out = b[others].copy()
-            out["score"] = 1 / (1 + np.exp(-np.clip(weights[0] + f @ weights[1:], -30, 30)))
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            yield out
-
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + ["score double", "predicted int"])
-    return docs.select("*", F.col(text).alias("_text")).mapInPandas(score, schema)
+    @F.pandas_udf("score double, predicted int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model.value, words.value)
+        for texts in batches:
+            f = np.array([scorer.features(t) for t in texts]).reshape(-1, 3)
+            p = 1 / (1 + np.exp(-np.clip(weights[0] + f @ weights[1:], -30, 30)))
+            yield pd.DataFrame({"score": p, "predicted": (p >= 0.5).astype("int32")})
+
+    # The other columns stay out of Python: ids beside null ones would lose digits there.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), score(text).alias("made")).select("row.*", "made.score", "made.predicted")

@@ -139,7 +139,7 @@ def model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     spread = spread.select("k", "lang", discount(1), discount(2), discount(3))
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    known = every.join(spread, ["k", "lang"]).withColumn("d", d)
+    known = every.join(F.broadcast(spread), ["k", "lang"]).withColumn("d", d)  # ORDER rows for each language
     contexts = known.groupBy("k", "lang", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("mass"))
     return stored(known.select("k", "lang", "gram", (F.col("c") - F.col("d")).alias("excess"))), stored(contexts)
 
@@ -219,9 +219,12 @@ def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: i
     own = [c for c in docs.columns if c != "text"]
     frequent = frequent_grams(docs, most)
     answers = log_probabilities(frequent.select("lang", "gram"), known, contexts)
-    got = answers.join(frequent, ["lang", "gram"]).select("lang", "gram", "c", "lp").toArrow().to_pandas().sort_values(["c", "lang", "gram"])  # at most ``most`` rows
-    codes, langs = pd.factorize(got["lang"])
-    table = spark.sparkContext.broadcast((list(langs), codes.astype(np.int32), got["gram"].to_numpy(np.int64), got["lp"].to_numpy(float)))
+    got = answers.join(frequent, ["lang", "gram"]).select("lang", "gram", "c", "lp").toArrow()  # at most ``most`` rows
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    langs, codes, keys = lang.dictionary.to_pylist(), lang.indices.to_numpy().astype(np.int32), got["gram"].to_numpy()
+    order = np.lexsort((keys, np.argsort(np.argsort(langs))[codes], got["c"].to_numpy())) if len(keys) else np.zeros(0, np.int64)
+    table = spark.sparkContext.broadcast((langs, codes[order], keys[order], got["lp"].to_numpy()[order]))
+    del got, lang, codes, keys, order
 
     def look(batches):
         here = Frequent(*table.value) if len(table.value[0]) else None
@@ -241,8 +244,11 @@ def perplexities(docs: DataFrame, known: DataFrame, contexts: DataFrame, most: i
                 rows["grams"], rows["times"] = pd.Series(np.split(g[first], cuts), rows.index, object), pd.Series(np.split(times, cuts), rows.index, object)
                 yield rows
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own)
-    looked = docs.mapInPandas(look, f"{kinds}, n bigint, part double, grams array<bigint>, times array<int>")
+    # Own columns go through Python as text: whole numbers beside a null one would lose digits.
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in own}
+    passed = docs.select(*[F.col(c).cast("string").alias(c) for c in own], "text")
+    looked = passed.mapInPandas(look, ", ".join(f"{c} string" for c in own) + ", n bigint, part double, grams array<bigint>, times array<int>")
+    looked = looked.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], "n", "part", "grams", "times")
     looked = stored(looked.withColumn("row", F.monotonically_increasing_id()))
     rare = looked.select("row", "lang", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", "lang", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
     found = log_probabilities(rare.select("lang", "gram").distinct(), known, contexts)

@@ -101,5 +101,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
     """The rows of ``docs`` that ``score_quality`` keeps, with their columns as they were."""
     scored = score_quality(docs, labels, id_column, text, lang, quantile)
     good = scored.filter("keep").select(F.col(id_column).alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    mine = docs.withColumn("_row", _row_hash(text))
-    return mine.join(good, mine[id_column].cast("long").eqNullSafe(good["_id"]) & (mine["_row"] == good["_hash"]), "left_semi").drop("_row")
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("mine"), _row_hash(text).alias("hash"))
+    return mine.join(good, F.col("mine").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi").select("row.*")

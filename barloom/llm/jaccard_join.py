@@ -62,7 +62,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent:
         seen = shared.value
         for batch in batches:
             rows = []
-            for key, t in zip(batch["id"].astype("Int64"), batch["text"]):
+            for key, t in zip(batch["id"], batch["text"]):
                 h = shingle_set(t, width)
                 n = len(h)
                 if not n:
@@ -74,12 +74,14 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int, percent:
                 rows.append((key, n, _node(h), counts.tobytes(), h[order].view(np.int64)))
             ids, n, nodes, counts, keys = zip(*rows) if rows else [()] * 5
             # Nullable integers: 64-bit hashes would lose digits as floats.
-            out = pd.DataFrame({"id": pd.array(ids, "Int64"), "n": pd.array(n, "int64"), "node": pd.array(nodes, "Int64"), "counts": list(counts), "keys": list(keys)})
+            out = pd.DataFrame({"id": list(ids), "n": pd.array(n, "int64"), "node": pd.array(nodes, "Int64"), "counts": list(counts), "keys": list(keys)})
             yield out.assign(**{row_hash: batch[row_hash].to_numpy()}) if row_hash else out
 
     own = [F.xxhash64(text).alias(row_hash)] if row_hash else []
-    made = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), *own)
-    return made.mapInPandas(sign, "id bigint, n bigint, node bigint, counts binary, keys array<bigint>" + (f", {row_hash} bigint" if row_hash else ""))
+    # Ids go through Python as text: whole numbers beside a null one would lose digits.
+    made = docs.select(F.col(id_column).cast("long").cast("string").alias("id"), F.col(text).alias("text"), *own)
+    made = made.mapInPandas(sign, "id string, n bigint, node bigint, counts binary, keys array<bigint>" + (f", {row_hash} bigint" if row_hash else ""))
+    return made.withColumn("id", F.col("id").cast("long"))
 
 
 def _matrix(x: pd.Series) -> np.ndarray:

@@ -13,6 +13,7 @@ import math
 import re
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -249,16 +250,13 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     A null or empty page has an empty text. Repeated rows stay; columns named text or n_chars are replaced; an empty table gives no rows.
     """
-    others = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
-    kept = pages.select(*others, F.col(html_column).alias("_html"))
+    others = [F.col(f"`{c}`") for c in pages.columns if c not in (html_column, "text", "n_chars")]
 
-    def run(batches):
-        for b in batches:
-            texts = [main_text(x) for x in b["_html"]]
-            out = b[others].copy()
-            out["text"] = texts
-            out["n_chars"] = pd.Series([len(t) for t in texts], index=out.index, dtype="int64")
-            yield out
+    @F.pandas_udf("text string, n_chars long")
+    def run(html: pd.Series) -> pd.DataFrame:
+        texts = [main_text(x) for x in html]
+        return pd.DataFrame({"text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
 
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others] + ["text string", "n_chars bigint"])
-    return kept.mapInPandas(run, schema)
+    # The other columns stay out of Python: ids beside null ones would lose digits there.
+    made = pages.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), run(html_column).alias("made"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c not in (html_column, "text", "n_chars")], "made.text", "made.n_chars")

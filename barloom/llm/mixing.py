@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import WORD
+from barloom.llm.common import WORD, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 FACTOR = 1.5
@@ -73,30 +73,31 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     no rows. Result columns replace columns of ``docs`` with the same names.
     """
     added = ("size", "source_size", "target", "copies")
-    rows = docs.drop(*added).withColumn("size", n_words(F.col(text)))
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    rows = docs.select(given.alias("row"), F.col(id_column).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))
     rows = rows.select(
         "*",
         _size_class(F.col("size")).alias("_class"),
         F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(SALTS)).cast("int").alias("_salt"),
     )
-    cells = rows.groupBy(F.col(source).alias("source"), "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("size"))
+    cells = stored(rows.groupBy("source", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("size")))  # read twice below, words counted once
     targets = source_targets(cells.select("source", "size"))
     line = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "_class", "_salt", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
     cells = cells.join(targets, cells["source"].eqNullSafe(targets["source"])).select(cells["source"].alias("_source"), "_class", "_salt", "_before", "source_size", "target")
-    inside = Window.partitionBy(source, "_class", "_salt").orderBy("size", F.col(id_column).asc_nulls_last())
+    inside = Window.partitionBy("source", "_class", "_salt").orderBy("size", F.col("id").asc_nulls_last())
     ranked = rows.withColumn("_rank", F.row_number().over(inside)).alias("r")
     cells = cells.alias("c")
     both = ranked.join(
         cells,
-        F.col(f"r.{source}").eqNullSafe(F.col("c._source")) & (F.col("r._class") == F.col("c._class")) & (F.col("r._salt") == F.col("c._salt")),
+        F.col("r.source").eqNullSafe(F.col("c._source")) & (F.col("r._class") == F.col("c._class")) & (F.col("r._salt") == F.col("c._salt")),
     )
     rate = F.when(F.col("source_size") > 0, F.least(F.try_divide("target", "source_size"), F.lit(MOST))).otherwise(0.0)
     at = F.col("_before") + F.col("_rank")
     offset = _unit(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_source"), F.lit(""))))
     crossed = F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)
-    return both.select(*[F.col(f"r.{c}") for c in docs.columns if c not in added], "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return both.select("r.row.*", F.col("r.size").alias("size"), "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:

@@ -95,15 +95,15 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     counts = {int(r[0]): int(r[1]) for r in cells.groupBy("length").agg(F.sum("_n")).collect()}  # at most `length` rows
     if any(size < 1 or size > length for size in counts):
         raise ValueError(f"pieces must have 1 to {length} tokens")
-    runs = spark.createDataFrame(place_runs(counts, length), "size bigint, low bigint, high bigint, first bigint, offset bigint")
+    runs = spark.createDataFrame(place_runs(counts, length), "_size bigint, _low bigint, _high bigint, _first bigint, offset bigint")
     line = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "_salt", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_salt").orderBy(*order)
     ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(cells, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_salt")
     # The runs of one size are few and bounded by the sequence length; equality on the size, then the range.
-    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("size")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
-    return placed.select(*pieces.drop("sequence_id", "offset").columns, (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
+    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_size")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
+    return placed.select(*pieces.drop("sequence_id", "offset").columns, (F.col("_first") + F.col("_rank") - F.col("_low")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None) -> DataFrame:

@@ -8,9 +8,10 @@ labelled by comparing their key with that row: no shuffle of the panel.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
@@ -34,16 +35,22 @@ def _sliced(rows: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
     return marked.withColumn("_slice", F.size(F.filter("_edges", lambda e: e <= key))).drop("_edges")
 
 
+def in_buckets(keys: DataFrame, bucket: Column, values: list) -> DataFrame:
+    """The rows of a few buckets; a plain column reaches the scan as a pushed filter."""
+    return keys.filter(bucket.isin(values))
+
+
 def rows_at(
     keys: DataFrame, bucket: Column, order: list[str], positions: Callable[[Column], Column]
-) -> DataFrame:
-    """``(k, position, *order)`` of the rows at given 0-based positions.
+) -> dict[int, Row]:
+    """The rows at given 0-based positions as ``{k: row of order}``, in two passes over ``keys``.
 
-    ``order`` is a unique key and ``bucket`` monotone in it. ``positions`` maps the total row
-    count to an array of positions; those outside the table are left out.
+    ``order`` is a unique key and ``bucket`` monotone in it. ``positions`` maps the total row count to an array of
+    positions; those outside the table are left out. The first pass counts buckets and tells which of them hold a position; the
+    second reads those buckets alone, a filter on ``bucket`` that reaches the scan, and orders them
+    in slices of the key. At most one short row per position comes to the driver.
     """
-    keyed = keys.select(bucket.alias("_bucket"), *order)
-    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    counts = keys.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     # one row per bucket; buckets are days or 16-bit prefixes
     everything = Window.partitionBy(F.lit(0))
     so_far = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -56,30 +63,37 @@ def rows_at(
     wanted = counts.select(
         "_bucket", "_n", "_before", F.posexplode(positions(F.col("_total"))).alias("k", "position")
     ).filter((F.col("position") >= F.col("_before")) & (F.col("position") < F.col("_before") + F.col("_n")))
-    # at most one row per asked position
-    inside = keyed.join(F.broadcast(wanted), "_bucket")
-    # within the bucket the same again, by slices of the key
-    inside = _sliced(inside.select("k", "position", "_before", *order), keyed, order)
-    sizes = inside.groupBy("k", "_slice").agg(F.count("*").alias("_m"))
-    in_bucket = Window.partitionBy("k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.select("k", "_slice", (F.sum("_m").over(in_bucket) - F.col("_m")).alias("_skipped"), "_m")
-    at = F.col("position") - F.col("_before") - F.col("_skipped")
-    # 64 rows per asked position
-    inside = inside.join(F.broadcast(sizes), ["k", "_slice"]).filter((at >= 0) & (at < F.col("_m")))
-    place = F.row_number().over(Window.partitionBy("k", "_slice").orderBy(*order)) - 1
-    return inside.withColumn("_place", place).filter(F.col("_place") == at).select("k", "position", *order)
-
-
-def _boundaries(rows: DataFrame, fields: list[str]) -> dict[int, Column]:
-    """The found rows' keys as literals, by k.
-
-    At most one short row per asked position comes to the driver, once; plans
-    built on the split stay small and do not look the position up again.
-    """
-    types = dict(rows.dtypes)
-    return {
-        r["k"]: F.struct(*[F.lit(r[f]).cast(types[f]).alias(f) for f in fields]) for r in rows.collect()
-    }
+    wanted = wanted.select("k", "_bucket", (F.col("position") - F.col("_before")).alias("_at")).collect()
+    if not wanted:
+        return {}
+    cut = sorted({r["_bucket"] for r in wanted})
+    inside = in_buckets(keys, bucket, cut).select(bucket.alias("_bucket"), *order).persist()
+    try:
+        sliced = _sliced(inside, inside, order)
+        sizes = sliced.groupBy("_bucket", "_slice").count().orderBy("_bucket", "_slice").collect()  # 64 rows per cut bucket
+        places = []
+        for r in wanted:
+            left = r["_at"]
+            for size in sizes:
+                if size["_bucket"] == r["_bucket"]:
+                    if left < size["count"]:
+                        places.append((r["k"], r["_bucket"], size["_slice"], left + 1))
+                        break
+                    left -= size["count"]
+        number = F.row_number().over(Window.partitionBy("_bucket", "_slice").orderBy(*order))
+        at = lambda p: (F.col("_bucket") == F.lit(p[1])) & (F.col("_slice") == p[2])
+        some = functools.reduce(Column.__or__, [at(p) for p in places])
+        k = F.array_compact(F.array(*[F.when(at(p) & (F.col("_number") == p[3]), F.lit(p[0])) for p in places]))
+        found = sliced.filter(some).withColumn("_number", number).select(F.explode(k).alias("k"), *order)
+        return {r["k"]: r for r in found.collect()}
+    finally:
+        inside.unpersist()
+
+
+def _boundaries(keys: DataFrame, found: dict[int, Row], fields: list[str]) -> dict[int, Column]:
+    """The found rows' keys as literals, by k."""
+    types = dict(keys.dtypes)
+    return {k: F.struct(*[F.lit(r[f]).cast(types[f]).alias(f) for f in fields]) for k, r in found.items()}
 
 
 def _whole(x: Column) -> Column:
@@ -103,8 +117,8 @@ def split_train_test(
     if not time_based:
         return _random_split(panel, test_size, seed)
     share = 1 - test_size
-    cut = rows_at(panel, F.col(TIME), [TIME, KEY], lambda n: F.array(_whole(n * F.lit(share))))
-    edge = _boundaries(cut, [TIME, KEY]).get(0)
+    cut = rows_at(panel.select(TIME, KEY), F.col(TIME), [TIME, KEY], lambda n: F.array(_whole(n * F.lit(share))))
+    edge = _boundaries(panel, cut, [TIME, KEY]).get(0)
     if edge is None:
         return panel.withColumn("split", F.lit("train"))
     before = F.col(TIME) < edge[TIME] if by_date else F.struct(TIME, KEY) < edge
@@ -121,16 +135,30 @@ def _random_split(panel: DataFrame, test_size: float, seed: int) -> DataFrame:
     drawn = F.xxhash64(F.lit(seed), F.col(KEY), F.col(TIME))
     keys = panel.select(KEY, TIME, drawn.alias("_h"))
     fields = ["_h", KEY, TIME]
-    edge_rows = rows_at(
+    cut = rows_at(
         keys, F.shiftright("_h", 48), fields, lambda n: F.array(F.ceil(n * F.lit(test_size)).cast("long"))
     )
-    edge = _boundaries(edge_rows, fields).get(0)
+    edge = _boundaries(keys, cut, fields).get(0)
     if edge is None:
         return panel.withColumn("split", F.lit("test"))
     test = F.struct(drawn.alias("_h"), KEY, TIME) < edge
     return panel.select(*panel.columns, F.when(test, "test").otherwise("train").alias("split"))
 
 
+def fold_edges(panel: DataFrame, n_splits: int, test_size: float) -> dict[int, Column]:
+    """The first test row's key of each walk-forward fold, by fold from 0; folds without a train row are left out."""
+
+    def starts(n):
+        size = _whole(n * F.lit(test_size))
+        first = n - n_splits * size
+        at = [first + k * size for k in range(n_splits)]
+        return F.array(*[F.when(x > 0, x).otherwise(F.lit(-1).cast("long")) for x in at])
+
+    fields = [TIME, KEY]
+    keys = panel.select(*fields)
+    return _boundaries(keys, rows_at(keys, F.col(TIME), fields, starts), fields)
+
+
 def walk_forward_splits(
     panel: DataFrame, n_splits: int = 5, test_size: float = 0.1, embargo: int = 0
 ) -> DataFrame:
@@ -139,14 +167,8 @@ def walk_forward_splits(
     Fold ``k`` trains on everything before its test block; blocks follow each
     other and end with the last row. Folds without a train row are left out.
     """
-
-    def starts(n):
-        size = _whole(n * F.lit(test_size))
-        first = n - n_splits * size
-        return F.array(*[first + k * size for k in range(n_splits)])
-
     fields = [TIME, KEY]
-    edges = _boundaries(rows_at(panel, F.col(TIME), fields, starts).filter("position > 0"), fields)
+    edges = fold_edges(panel, n_splits, test_size)
     marked = panel
     if embargo:
         marked = marked.withColumn("_ends", F.lead(TIME, embargo).over(W.by_symbol()))

@@ -85,6 +85,13 @@ def test_model_life_cycle(spark, stored, tmp_path):
     assert len(importance) == 2 and importance[0].share == 1.0
 
 
+def test_cut_days_are_a_pushed_filter(spark, stored):
+    day = stored.agg(F.min("Date")).first()[0]
+    plan = plan_of(splits.in_buckets(stored.select("Date", "Symbol"), F.col("Date"), [day]))
+    assert "PushedFilters: [" in plan and "Date" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "Close" not in plan.split("ReadSchema")[1]
+
+
 def test_walk_forward(spark, stored):
     folds = training.walk_forward_validate(stored, MODEL, n_splits=2).orderBy("fold").collect()
     assert [f.fold for f in folds] == [1, 2] and all(0 <= f.roc_auc <= 1 for f in folds)

@@ -37,7 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver has collected their handles."""
+    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver has collected their handles.
+
+    The last job's handles are free only after another, an empty one here.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -28,7 +28,8 @@ from barloom.llm.common import hashed_words, mix, partitions, release, stored, w
 
 LENGTH = 13
 GRAM = 7
-GROUP = 1 << 16  # suffixes that share a prefix, at most, before it is lengthened
+GROUP = 1 << 14  # suffixes that share a prefix, at most, before it is lengthened
+_SLICE = 1 << 20  # bytes of text read at once
 _SHIFT = 16  # a mark is the place of an anchor, and one bit for each window that holds it
 
 
@@ -45,8 +46,11 @@ def _chained(words: np.ndarray, width: int, at: np.ndarray | None = None) -> np.
     return h
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Grams and places of the anchors of all windows, with the first and last window start each serves."""
+def anchors(words: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grams and places of the anchors of all windows, with the first and last window start each serves.
+
+    ``doc`` tells which document a word is of, if there are several after each other; windows lie within one.
+    """
     m = len(words) - LENGTH + 1
     if m <= 0:
         none = np.zeros(0, np.int64)
@@ -57,24 +61,50 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         less = grams[i : i + m] < least
         least[less] = grams[i : i + m][less]
         place[less] = np.flatnonzero(less) + i
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    last = np.append(first[1:], m) - 1
+    whole = np.arange(m) if doc is None else np.flatnonzero(doc[:m] == doc[LENGTH - 1 :])
+    new = np.ones(len(whole), bool)
+    new[1:] = (place[whole][1:] != place[whole][:-1]) | (np.diff(whole) > 1)
+    at = np.flatnonzero(new)
+    first, last = whole[at], whole[np.append(at[1:], len(whole)) - 1] if len(at) else at
     return least[first], place[first], first, last
 
 
+def _slices(texts: pd.Series):
+    """(positions, bytes of their texts, a line each) of some documents at a time; a long document is one slice."""
+    held, at, size = [], [], 0
+    for i, t in enumerate(texts):
+        held.append((t or "").encode())
+        at.append(i)
+        size += len(held[-1])
+        if size > _SLICE:
+            yield at, held
+            held, at, size = [], [], 0
+    if at:
+        yield at, held
+
+
+def _read(held: list[bytes]):
+    """Hashes, starts and ends of the words of several texts, the text each is of, and all texts in one."""
+    joined = b"\n".join(held)
+    words, start, end = hashed_words(np.frombuffer(joined, np.uint8))
+    begins = np.cumsum([0, *[len(h) + 1 for h in held[:-1]]])
+    return words, start, end, np.searchsorted(begins, start, side="right") - 1, joined
+
+
 def _prefixes(docs: DataFrame) -> DataFrame:
     """(gram, id, n): how often each document has each anchor."""
 
     def run(batches):
         for b in batches:
-            grams, ids, counts = [], [], []
-            for i, t in zip(b["id"], b["text"]):
-                g, n = np.unique(anchors(hashed_words(_bytes(t))[0])[0], return_counts=True)
-                grams.append(g.view(np.int64))
-                counts.append(n)
-                ids.append(np.full(len(g), i, np.int64))
-            if grams:
-                yield pd.DataFrame({"gram": np.concatenate(grams), "id": np.concatenate(ids), "n": np.concatenate(counts)})
+            ids = b["id"].to_numpy()
+            for at, held in _slices(b["text"]):
+                words, _, _, doc, _ = _read(held)
+                grams, place, _, _ = anchors(words, doc)
+                own = doc[place] if len(place) else place
+                order = np.lexsort((grams, own))
+                grams, own = grams[order], own[order]
+                first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])])) if len(grams) else place
+                yield pd.DataFrame({"gram": grams[first].view(np.int64), "id": ids[np.asarray(at)[own[first]]], "n": np.diff(first, append=len(grams))})
 
     return docs.select("id", "text").mapInPandas(run, "gram bigint, id bigint, n bigint")
 
@@ -85,35 +115,37 @@ _SUFFIX = "prefix bigint, salt int, id bigint, text_hash bigint, place bigint, l
 def _suffixes(docs: DataFrame) -> DataFrame:
     """Suffixes at anchors whose gram other documents have too: ``left`` words before the anchor, ``right`` from it on.
 
-    ``docs`` has shared grams and how often each occurs in all documents.
+    ``docs`` has the document's shared grams and how often each occurs in all documents.
     """
 
     def run(batches):
         for b in batches:
-            out = []
-            for i, h, t, shared, often in zip(b["id"], b["text_hash"], b["text"], b["shared"], b["often"]):
-                raw = _bytes(t)
-                words, start, end = hashed_words(raw)
-                grams, place, first, last = anchors(words)
-                order = np.argsort(shared)
-                known = np.asarray(shared, np.int64)[order]
+            ids, hashes = b["id"].to_numpy(), b["text_hash"].to_numpy()
+            for at, held in _slices(b["text"]):
+                words, start, end, doc, joined = _read(held)
+                grams, place, first, last = anchors(words, doc)
+                # A gram that one document shares all documents share that have it.
+                known, one = np.unique(np.concatenate([b["shared"].iloc[i] for i in at]), return_index=True)
+                often = np.concatenate([b["often"].iloc[i] for i in at])[one]
                 where = np.minimum(np.searchsorted(known, grams.view(np.int64)), len(known) - 1)
-                found = np.flatnonzero(known[where] == grams.view(np.int64))
-                count = np.asarray(often, np.int64)[order][where]
-                for k in found:
-                    p, a, z = int(place[k]), int(first[k]), int(last[k])
-                    if count[k] <= GROUP:
-                        out.append((int(grams[k].view(np.int64)), 0, i, h, p, p - a, z + LENGTH - p, raw[start[a] : end[z + LENGTH - 1]].tobytes()))
-                        continue
-                    salts = -(-int(count[k]) // GROUP)
-                    whole = _chained(words, LENGTH, np.arange(a, z + 1)).view(np.int64)
-                    for s in range(a, z + 1):
-                        out.append((int(whole[s - a]), 1 + (h + p) % salts, i, h, p, p - s, s + LENGTH - p, raw[start[s] : end[s + LENGTH - 1]].tobytes()))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _SUFFIX.split(", ")])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _SUFFIX.split(", ")])
+                found = known[where] == grams.view(np.int64)
+                grams, place, first, last, often = grams[found].view(np.int64), place[found], first[found], last[found], often[where[found]]
+                row = np.asarray(at)[doc[place]] if len(place) else place
+                salt = np.zeros(len(grams), np.int64)
+                # Frequent grams: every window is a suffix of its own, under a prefix as long as the window.
+                times = np.where(often > GROUP, last - first + 1, 1)
+                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                grams, place, first, last, often, row, salt = (np.repeat(x, times) for x in (grams, place, first, last, often, row, salt))
+                hot = often > GROUP
+                first = first + step
+                last = np.where(hot, first, last)
+                grams[hot] = _chained(words, LENGTH, first[hot]).view(np.int64)
+                salt[hot] = 1 + (hashes[row[hot]] + place[hot]) % -(-often[hot] // GROUP)
+                base = np.searchsorted(doc, doc[place]) if len(place) else place  # places count from the document's first word
+                texts = [joined[x:y] for x, y in zip(start[first].tolist(), end[last + LENGTH - 1].tolist())] if len(place) else []
+                yield pd.DataFrame(
+                    {"prefix": grams, "salt": salt, "id": ids[row], "text_hash": hashes[row], "place": place - base, "left": place - first, "right": last + LENGTH - place, "words": pd.Series(texts, dtype=object)}
+                )
 
     return docs.mapInPandas(run, _SUFFIX)
 

@@ -189,6 +189,20 @@ def walk_forward_splits(
     return marked.select(*panel.columns, taken).select(*panel.columns, "_fold.fold", "_fold.role")
 
 
+def fold_rows(panel: DataFrame, edges: dict[int, Column], fold: int, embargo: int = 0) -> DataFrame:
+    """The rows of one fold, with ``role``: a filter on ``panel``, whose date bound reaches the scan."""
+    start, stop = edges[fold], edges.get(fold + 1)
+    own = F.struct(TIME, KEY)
+    rows = panel
+    if embargo:
+        rows = rows.withColumn("_ends", F.lead(TIME, embargo).over(W.by_symbol()))
+    if stop is not None:
+        rows = rows.filter((F.col(TIME) <= stop[TIME]) & (own < stop))
+    if embargo:
+        rows = rows.filter((own >= start) | F.coalesce(F.col("_ends") < start[TIME], F.lit(True)))
+    return rows.select(*panel.columns, F.when(own < start, "train").otherwise("test").alias("role"))
+
+
 def with_rank(
     rows: DataFrame, bucket: Column | None = None, order: list[str] | None = None, name: str = "rank"
 ) -> DataFrame:

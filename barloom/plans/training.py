@@ -28,6 +28,8 @@ from barloom.schema import HORIZONS, KEY, TIME
 def _estimator(kind: str, regression: bool, **options):
     if kind == "linear":
         made = LinearRegression if regression else LogisticRegression
+        if not regression:  # as near to the optimum as doubles allow, so that runs and engines agree
+            options = {"tol": 1e-10, "maxIter": 200} | options
     elif kind == "trees":
         made = GBTRegressor if regression else GBTClassifier
     else:
@@ -82,22 +84,20 @@ def evaluate(scored: DataFrame, target: str, regression: bool = False, by: list[
 def _prepared_folds(panel, features, target, n_splits, test_size, scaler, embargo, min_train):
     """``(fold, train rows, test rows)``, scaled by the fold's train rows.
 
-    Each fold is kept in memory or on disk while the caller works on it.
+    A fold is the panel filtered by its edges; it is kept in memory or on disk while the caller works on it.
     """
     rows = panel.select(KEY, TIME, *features, target).filter(F.col(target).isNotNull())
-    folds = splits.walk_forward_splits(rows, n_splits, test_size, embargo)
-    sizes = {
-        (r["fold"], r["role"]): r["count"] for r in folds.groupBy("fold", "role").count().collect()
-    }  # two rows per fold
-    numbers = sorted({fold for fold, _ in sizes})
-    if not numbers or sizes.get((numbers[0], "train"), 0) < min_train:
+    edges = splits.fold_edges(rows, n_splits, test_size)
+    if not edges:
         raise ValueError("the first fold has too few train rows; use fewer folds or a smaller test_size")
-    for fold in numbers:
-        part = folds.filter(F.col("fold") == fold).drop("fold")
+    for number, fold in enumerate(sorted(edges)):
+        part = splits.fold_rows(rows, edges, fold, embargo)
+        if not number and part.filter("role = 'train'").count() < min_train:
+            raise ValueError("the first fold has too few train rows; use fewer folds or a smaller test_size")
         fitted = scaling.fit_scaler(part.filter("role = 'train'"), features, scaler)
         ready = fitted.transform(part).persist()
         try:
-            yield fold, ready.filter("role = 'train'"), ready.filter("role = 'test'")
+            yield fold + 1, ready.filter("role = 'train'"), ready.filter("role = 'test'")
         finally:
             ready.unpersist()
 
@@ -106,10 +106,11 @@ def _fit_and_measure(train, test, features, target, kind, regression, options):
     """Metric table's schema and its one row."""
     model = fit(train, features, target, kind, regression, **options)
     scored = apply(model, test).select(target, "score").persist()
-    table = evaluate(scored, target, regression)
-    row = table.first()
-    scored.unpersist()
-    return table.schema, row
+    try:
+        table = evaluate(scored, target, regression)
+        return table.schema, table.first()
+    finally:
+        scored.unpersist()
 
 
 def walk_forward_validate(
@@ -150,11 +151,15 @@ def search(
     test_size: float = 0.1,
     kind: str = "linear",
     regression: bool = False,
+    scaler: str = "robust",
+    embargo: int = 0,
+    min_train: int = 50,
 ) -> tuple[dict, DataFrame]:
     """Best options by mean walk-forward AUC (or RMSE), and all results.
 
     Every fold is prepared once and serves all options. Give it train rows only;
-    the held-out rows are scored once, afterwards.
+    the held-out rows are scored once, afterwards. ``least_squares.search`` does penalties of a
+    linear regression without preparing folds.
     """
     builder = ParamGridBuilder()
     model = _estimator(kind, regression)
@@ -164,7 +169,7 @@ def search(
     metric = "rmse" if regression else "roc_auc"
     target = target_column(panel, horizon, regression)
     found: list[list[float]] = [[] for _ in choices]
-    for _, train, test in _prepared_folds(panel, features, target, n_splits, test_size, "robust", 0, 50):
+    for _, train, test in _prepared_folds(panel, features, target, n_splits, test_size, scaler, embargo, min_train):
         for values, options in zip(found, choices):
             row = _fit_and_measure(train, test, features, target, kind, regression, options)[1]
             values.append(float(row[metric]))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import cleaning, context, metrics, scaling, sequences, splits, timeframe
-from barloom.plans import panel, scoring, training
+from barloom.plans import least_squares, panel, scoring, training
 from barloom.schema import HORIZONS, SECTOR_ETF, SECTORS
 from barloom.sources import bars as B
 from barloom.sources import universe
 from checks import market
 from checks.catalog import KEY_COLUMNS, check, full, layer
+from checks import models_sql as M
 from checks.features import RETURN_LAYER, YEAR, recurrence_layers
 from checks.market import CONTEXT, SUPPLIER_BARS, TYPE_BARS, with_bars
 
@@ -858,9 +859,21 @@ def _model_rows(spark, sf_dir):
     return rows.select("Symbol", "Date", "Close", *names).dropna(subset=MODEL_FEATURES + ["Target_Return_1d"]).persist()
 
 
-@check(
+def model_check(name, columns, body, *layers):
+    """A check over the rows that models are fitted on."""
+    return check(name, columns, with_bars(body, SUPPLIER_BARS, ",\n".join([M.MODEL_ROWS, *layers])))
+
+
+_TESTED = M.QUALITY.format(rows="NOT tr")
+
+
+@model_check(
     "direction_model",
     {"rows": "i", "accuracy": 6, "precision": 6, "recall": 6, "f1": 6, "roc_auc": 6, "loss": 6},
+    "SELECT * FROM quality",
+    M.single(0.8, "d1"),
+    M.logistic(),
+    _TESTED,
 )
 def direction_model(spark, sf_dir):
     parts = splits.split_train_test(_model_rows(spark, sf_dir), 0.2)
@@ -870,7 +883,7 @@ def direction_model(spark, sf_dir):
     return training.evaluate(scored, "Target_Direction_1d")
 
 
-@check("return_model", {"rows": "i", "mse": 5, "rmse": 6, "r2": 6})
+@model_check("return_model", {"rows": "i", "mse": 5, "rmse": 6, "r2": 6}, M.ERRORS, M.single(0.8, "y"), M.least_squares())
 def return_model(spark, sf_dir):
     parts = splits.split_train_test(_model_rows(spark, sf_dir), 0.2)
     ready = scaling.normalize_split(parts, MODEL_FEATURES).persist()
@@ -878,7 +891,14 @@ def return_model(spark, sf_dir):
     return training.evaluate(training.apply(model, ready.filter("split = 'test'")), "Target_Return_1d", True)
 
 
-@check("horizon_models", {"horizon": "i", "rows": "i", "roc_auc": 6})
+@model_check(
+    "horizon_models",
+    {"horizon": "i", "rows": "i", "roc_auc": 6},
+    "SELECT fold AS horizon, rows, roc_auc FROM quality",
+    f"q AS MATERIALIZED (SELECT h AS fold, true AS tr, {', '.join(M.X)}, CASE h WHEN 1 THEN d1 WHEN 5 THEN d5 WHEN 10 THEN d10 ELSE d21 END AS label FROM o, (VALUES (1), (5), (10), (21)) v(h))",
+    M.logistic(),
+    M.QUALITY.format(rows="true"),
+)
 def horizon_models(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
     scaled = scaling.fit_scaler(rows, MODEL_FEATURES).transform(rows)
@@ -890,17 +910,52 @@ def horizon_models(spark, sf_dir):
     return counts.join(metrics.roc_auc(scored, ["horizon"]), "horizon")
 
 
-@check("walk_forward_validation", {"fold": "i", "rows": "i", "accuracy": 6, "roc_auc": 6, "loss": 6})
+@model_check(
+    "walk_forward_validation",
+    {"fold": "i", "rows": "i", "accuracy": 6, "roc_auc": 6, "loss": 6},
+    "SELECT * FROM quality",
+    M.folds(3, 0.1, "d1"),
+    M.logistic(),
+    _TESTED,
+)
 def walk_forward_validation(spark, sf_dir):
     return training.walk_forward_validate(_model_rows(spark, sf_dir), MODEL_FEATURES, n_splits=3)
 
 
-@check("model_search", {"options": "s", "mean": 6, "std": 6})
+def _searched(ridge, fit, quality, metric):
+    """The mean and deviation of a metric over folds for one penalty, a query of its own."""
+    train = "b AS MATERIALIZED (SELECT * REPLACE (floor(n * 0.8) AS n) FROM o WHERE rank < floor(n * 0.8))"
+    target = "d1" if fit is M.logistic else "y"
+    parts = ",\n".join(x for x in (train, M.folds(2, 0.1, target, "b"), fit(ridge), quality) if x)
+    table = "quality" if quality else f"({M.ERRORS})"
+    return f"SELECT '{{\"regParam\": {ridge}}}' AS options, avg({metric}) AS mean, stddev_pop({metric}) AS std FROM (WITH {parts}\nSELECT * FROM {table})"
+
+
+@check(
+    "model_search",
+    {"options": "s", "mean": 6, "std": 6},
+    with_bars(" UNION ALL ".join(_searched(r, M.logistic, _TESTED, "roc_auc") for r in (0.0, 0.1)), SUPPLIER_BARS, M.MODEL_ROWS),
+)
 def model_search(spark, sf_dir):
     rows = splits.split_train_test(_model_rows(spark, sf_dir), 0.2).filter("split = 'train'").drop("split").persist()
     return training.search(rows, MODEL_FEATURES, {"regParam": [0.0, 0.1]}, n_splits=2)[1]
 
 
+@model_check("least_squares_folds", {"fold": "i", "ridge": 1, "rows": "i", "mse": 5, "rmse": 6, "r2": 6}, f"SELECT *, 0.0 AS ridge FROM ({M.ERRORS})", M.folds(5, 0.1, "y"), M.least_squares())
+def least_squares_folds(spark, sf_dir):
+    return least_squares.validate(_model_rows(spark, sf_dir), MODEL_FEATURES)
+
+
+@check(
+    "regression_search",
+    {"options": "s", "mean": 6, "std": 6},
+    with_bars(" UNION ALL ".join(_searched(r, M.least_squares, "", "rmse") for r in (0.0, 0.1)), SUPPLIER_BARS, M.MODEL_ROWS),
+)
+def regression_search(spark, sf_dir):
+    rows = splits.split_train_test(_model_rows(spark, sf_dir), 0.2).filter("split = 'train'").drop("split")
+    return least_squares.search(rows, MODEL_FEATURES, [0.0, 0.1], n_splits=2)[1]
+
+
 @check("feature_importance", {"Feature": "s", "Importance": 5, "place": "i", "share": 5})
 def feature_importance(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
@@ -25,14 +25,11 @@ def align_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
 
 def fill_with_mean(df: DataFrame, columns: Sequence[str], key: str = KEY) -> DataFrame:
     """Unknown values become the symbol's mean, or 0 where it has none."""
-    means = df.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    filled = df.join(means, key, "left")
-    return filled.select(
-        *[F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns]
-    )
+    own = Window.partitionBy(key)
+    return df.select(*[F.coalesce(F.col(c), F.avg(c).over(own), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def row_counts(df: DataFrame) -> DataFrame:
     """Rows per symbol and in all."""
     per_symbol = df.groupBy(KEY).agg(F.count("*").alias("rows"))
-    return per_symbol.withColumn("total", df.agg(F.count("*").alias("total")).scalar())
+    return per_symbol.withColumn("total", per_symbol.agg(F.sum("rows").alias("total")).scalar())

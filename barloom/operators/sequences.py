@@ -42,13 +42,26 @@ def _windows(panel, features, length, label):
     return out.filter(F.size("sequence") == length)
 
 
-def _uniform(*parts: Column) -> Column:
-    """Repeatable draw in (0, 1] from a hash of ``parts``."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 1) / float(1 << 52)
+_WORD = 1 << 32
 
 
-def _gauss(*parts: Column) -> Column:
-    u, v = _uniform(*parts, F.lit("u")), _uniform(*parts, F.lit("v"))
+def sample_state(seed: int, use: str) -> Column:
+    """A 32-bit number for each sample and use: one hash, the same in every engine."""
+    key = F.concat_ws("|", F.lit(f"{seed}|{use}"), F.col(KEY), F.date_format(TIME, "yyyy-MM-dd"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+
+
+def draw(state: Column, counter: Column) -> Column:
+    """Number ``counter`` of a sample, in (0, 1]: steps of a fixed stride from its state, mixed twice."""
+    x = (state + counter.cast("bigint") * 2654435769) % _WORD
+    x = (x * 747796405 + 2891336453) % _WORD
+    x = x.bitwiseXOR(F.shiftright(x, 16)) * 668265263 % _WORD
+    return (x.bitwiseXOR(F.shiftright(x, 15)) + 1) / float(_WORD)
+
+
+def gauss(state: Column, counter: Column) -> Column:
+    """A normal number from two draws."""
+    u, v = draw(state, counter * 2), draw(state, counter * 2 + 1)
     return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
 
 
@@ -58,12 +71,11 @@ def add_noise(seqs: DataFrame, std: float = 0.02, seed: int = 42) -> DataFrame:
         return seqs
 
     def row(values, step):
-        return F.transform(
-            values,
-            lambda x, j: (x + std * _gauss(F.lit(seed), F.col(KEY), F.col(TIME), step, j)).cast("float"),
-        )
+        place = lambda j: step * F.size(values) + j
+        return F.transform(values, lambda x, j: (x + std * gauss(F.col("_state"), place(j))).cast("float"))
 
-    return seqs.withColumn("sequence", F.transform("sequence", row))
+    noisy = seqs.withColumn("_state", sample_state(seed, "noise"))
+    return noisy.withColumn("sequence", F.transform("sequence", row)).drop("_state")
 
 
 def mask_features(seqs: DataFrame, prob: float = 0.05, seed: int = 42) -> DataFrame:
@@ -71,11 +83,12 @@ def mask_features(seqs: DataFrame, prob: float = 0.05, seed: int = 42) -> DataFr
     if prob <= 0:
         return seqs
 
-    def keep(x, j):
-        dropped = _uniform(F.lit(seed), F.col(KEY), F.col(TIME), j) <= prob
-        return F.when(dropped, F.lit(0.0).cast("float")).otherwise(x)
-
-    return seqs.withColumn("sequence", F.transform("sequence", lambda values: F.transform(values, keep)))
+    # Whether a channel stays is drawn once for the sample, not for every step.
+    width = F.size(F.element_at("sequence", 1))
+    stays = F.transform(F.sequence(F.lit(0), width - 1), lambda j: draw(F.col("_state"), j) > prob)
+    keep = lambda x, j: F.when(F.get(F.col("_stays"), j), x).otherwise(F.lit(0.0).cast("float"))
+    masked = seqs.withColumn("_state", sample_state(seed, "mask")).withColumn("_stays", stays)
+    return masked.withColumn("sequence", F.transform("sequence", lambda values: F.transform(values, keep))).drop("_state", "_stays")
 
 
 def with_batches(rows: DataFrame, batch_size: int = 64, shuffle: bool = False, seed: int = 42) -> DataFrame:

@@ -228,11 +228,15 @@ def in_order(panel: DataFrame) -> DataFrame:
 
 
 def latest_rows(panel: DataFrame, n: int, spare: int = 5) -> DataFrame:
-    """The newest ``n`` rows per symbol; symbols with fewer than ``n + spare`` go."""
+    """The newest ``n`` rows per symbol; symbols with fewer than ``n + spare`` go.
+
+    The limit on the row number comes first: each task hands on at most ``n + spare`` rows of a symbol, and their number tells
+    whether it has enough.
+    """
     newest = Window.partitionBy(KEY).orderBy(F.desc(TIME))
-    counted = panel.withColumn("_rows", F.count("*").over(Window.partitionBy(KEY)))
-    kept = counted.filter(F.col("_rows") >= n + spare).withColumn("_age", F.row_number().over(newest))
-    return kept.filter(F.col("_age") <= n).drop("_rows", "_age")
+    aged = panel.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= n + spare)
+    counted = aged.withColumn("_rows", F.count("*").over(Window.partitionBy(KEY)))
+    return counted.filter((F.col("_rows") >= n + spare) & (F.col("_age") <= n)).drop("_rows", "_age")
 
 
 def top_rows(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:

@@ -85,14 +85,19 @@ def feature_panel(
     null_unknown: bool = False,
     min_bars: int = MIN_BARS,
     min_rows: int = MIN_ROWS,
+    required: bool = False,
 ) -> DataFrame:
     """The full panel.
 
+    ``required`` raises at once when no symbol has enough rows; that is found on the few columns that decide it.
+
     ``labelled`` keeps rows whose next-day return is known and symbols with
     ``min_rows`` of them; scoring passes ``labelled=False`` and keeps the newest
     bar. ``null_unknown`` blanks direction targets that lie past the last bar
     instead of reporting 0.
     """
+    if required and feature_panel(bars, symbols=symbols, features=[], labelled=labelled, min_bars=min_bars, min_rows=min_rows).isEmpty():
+        raise ValueError("no symbol has enough valid bars")
     names = list(FEATURES if features is None else features)
     if features is None:
         names = ["Sector"] + names + FUNDAMENTALS

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions import windows as W
 from barloom.operators import cleaning, splits
 from barloom.operators.scaling import Scaler
 from barloom.plans import training
+from barloom.plans.panel import with_features
 from barloom.schema import DOWN_LABEL, KEY, TIME, UP_LABEL
+from barloom.sources import bars as B
 
 LOOKBACK_DAYS = 500
 UP, LOW = 0.55, 0.45
@@ -81,12 +84,37 @@ def predict(
     count as 0 and missing values as the symbol's mean. ``Close`` and ``Date``
     are the raw ones.
     """
-    held = panel.withColumn("_rows", F.count("*").over(Window.partitionBy(KEY)))
-    held = held.filter(F.col("_rows") >= length + spare)
     close = F.col("Close").alias("_raw_close")
-    aligned = cleaning.align_features(held, features, keep=[KEY, TIME, close])
-    filled = cleaning.fill_with_mean(scaler.transform(aligned), features)
-    newest = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(TIME)))
-    latest = filled.withColumn("_age", newest).filter("_age = 1")
+    aligned = scaler.transform(cleaning.align_features(panel, features, keep=[KEY, TIME, close]))
+    # One aggregate with map-side combine: a row count, the newest row and the means, one row per symbol.
+    known = [W.finite(F.col(f).cast("double")) for f in features]
+    row = F.struct(F.col(TIME), F.col("_raw_close"), *[x.alias(f"f{i}") for i, x in enumerate(known)])
+    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(known)]
+    newest = aligned.groupBy(KEY).agg(F.count("*").alias("_rows"), F.max_by(row, TIME).alias("_new"), *means)
+    newest = newest.filter(F.col("_rows") >= length + spare)
+    filled = [F.coalesce(F.col(f"_new.f{i}"), F.col(f"m{i}"), F.lit(0.0)).alias(f) for i, f in enumerate(features)]
+    latest = newest.select(KEY, f"_new.{TIME}", "_new._raw_close", *filled)
     scored = training.apply(model, latest).select(KEY, TIME, F.col("_raw_close").alias("Close"), "score")
     return predictions(scored, horizon)
+
+
+def predict_newest(
+    bars: DataFrame,
+    model: PipelineModel,
+    scaler: Scaler,
+    features: list[str],
+    today: str | None = None,
+    lookback: int = LOOKBACK_DAYS,
+    horizon: int = 1,
+    length: int = 30,
+    spare: int = 5,
+    **tables,
+) -> DataFrame:
+    """``predict`` on the bars of the last ``lookback`` days up to ``today``, the current day if not given.
+
+    The bounds on the date reach the scan of the bars, and features are built on what is left, once. ``tables`` are the
+    context, sector and fundamental tables of ``panel.with_features``.
+    """
+    start, end = B.default_range(lookback, today)
+    recent = B.between(bars, start, F.date_add(end, 1))
+    return predict(with_features(recent, features, **tables), model, scaler, features, horizon, length, spare)

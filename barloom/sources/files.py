@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.schema import KEY, TIME
@@ -42,29 +43,47 @@ def write_panel(panel: DataFrame, path: str, mode: str = "errorifexists") -> Non
     panel.sortWithinPartitions(KEY, TIME).write.mode(mode).parquet(path)
 
 
+def manifest(spark: SparkSession, inputs: Sequence[DataFrame]) -> DataFrame:
+    """``(input, path, length, modified)`` of the files that each of ``inputs`` is read from; contents are not read.
+
+    Raises for an input that is not read from files, as nothing tells whether it is still the same.
+    """
+    out = spark.createDataFrame([], "input int, path string, length bigint, modified timestamp")
+    for i, df in enumerate(inputs):
+        files = df.inputFiles()
+        if not files:
+            raise ValueError(f"input {i} is not read from files: store it first")
+        listed = spark.read.format("binaryFile").load(files)
+        out = out.union(listed.select(F.lit(i), "path", "length", F.col("modificationTime")))
+    return out
+
+
 def reuse(
     spark: SparkSession,
     name: str,
     parameters: dict,
     build: Callable[[], DataFrame],
+    inputs: Sequence[DataFrame],
     root: str | None = None,
-    inputs: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """A stored table for exactly these parameters and ``inputs``, built and written on first use.
 
-    The folder name hashes every parameter and the files ``inputs`` are read from, so
-    a changed option or other input is a new table. A second, one-row table is written
-    after the first; without it the first was left half-written and is built again.
+    The folder name hashes every parameter and the path, size and time of every file ``inputs`` are read from, so a changed
+    option, another input or a file replaced under its old name is a new table. The manifest is written
+    after the table; without it the table was left half-written and is built again.
     """
-    key = json.dumps([parameters, [sorted(df.inputFiles()) for df in inputs]], sort_keys=True, default=str)
+    files = manifest(spark, inputs)
+    one = F.xxhash64("input", "path", "length", "modified").cast("decimal(38,0)")
+    state = files.agg(F.count("*").alias("n"), F.sum(one).alias("s"), F.bit_xor(F.xxhash64("path", "modified", "length", "input")).alias("x")).first()
+    key = json.dumps([parameters, [str(v) for v in state]], sort_keys=True, default=str)
     path = f"{root or shared_dir(spark)}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:16]}"
     try:
-        spark.read.parquet(f"{path}-done")
+        spark.read.parquet(f"{path}-manifest")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         build().write.mode("overwrite").parquet(path)
-        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
+        files.write.mode("overwrite").parquet(f"{path}-manifest")
     return spark.read.parquet(path)
 
 
@@ -74,6 +93,7 @@ def panel_schema(panel: DataFrame, columns: Sequence[str] | None = None) -> T.St
 
 
 __all__ = [
+    "manifest",
     "panel_schema",
     "read_panel_csv",
     "reuse",

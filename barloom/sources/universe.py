@@ -14,6 +14,11 @@ def _clean(name: str) -> F.Column:
     return F.upper(F.trim(F.col(name)))
 
 
+def without_caret(name: str | F.Column) -> F.Column:
+    """Index symbols without the caret some vendors put before them."""
+    return F.ltrim(F.col(name) if isinstance(name, str) else name, F.lit("^"))
+
+
 def symbols_from_file(spark: SparkSession, path: str) -> DataFrame:
     """One symbol per line, trimmed and upper-cased, blanks dropped, first mention wins: ``(Symbol, pos)``."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "part"))

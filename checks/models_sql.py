@@ -81,8 +81,9 @@ def least_squares(ridge: float = 0.0) -> str:
     return ",\n".join(layers)
 
 
-def logistic(ridge: float = 0.0, steps: int = 8) -> str:
-    """``fit``: q with ``score``, a logit; both classes carry the same total weight."""
+def logistic(ridge: float = 0.0, steps: int = 8, carry: str = "") -> str:
+    """``fit``: q with ``score``, a logit; both classes carry the same total weight. ``carry`` names more columns of q, where there is no penalty."""
+    carry = f", {carry}" if carry else ""
     weight = "CASE WHEN label > 0.5 THEN (count(*) FILTER (tr AND label <= 0.5) OVER p) * 1.0 / (count(*) FILTER (tr AND label > 0.5) OVER p) ELSE 1.0 END"
     layers = [f"base AS MATERIALIZED (SELECT *, {weight} AS cw, 1.0 AS g0, false AS pseudo FROM q WINDOW p AS (PARTITION BY fold))"]
     rows = "SELECT * FROM base"
@@ -97,8 +98,8 @@ def logistic(ridge: float = 0.0, steps: int = 8) -> str:
         )
         layers.append(f"t{s} AS (SELECT *, z0 AS z FROM s{s})")
         layers += _projections(f"n{s}_", f"t{s}", "z")
-        layers.append(f"e{s + 1} AS MATERIALIZED (SELECT fold, tr, {', '.join(X)}, label, cw, g0, pseudo, z0 - z AS eta FROM n{s}_{len(X)})")
-    layers.append(f"fit AS MATERIALIZED (SELECT fold, tr, label, eta AS score FROM e{steps} WHERE NOT pseudo)")
+        layers.append(f"e{s + 1} AS MATERIALIZED (SELECT fold, tr, {', '.join(X)}, label, cw, g0, pseudo{carry}, z0 - z AS eta FROM n{s}_{len(X)})")
+    layers.append(f"fit AS MATERIALIZED (SELECT fold, tr, label, eta AS score{carry} FROM e{steps} WHERE NOT pseudo)")
     return ",\n".join(layers)
 
 
@@ -119,3 +120,17 @@ ERRORS = (
     "SELECT fold, count(*) AS rows, avg((label - score) * (label - score)) AS mse, sqrt(avg((label - score) * (label - score))) AS rmse,"
     " 1 - avg((label - score) * (label - score)) / var_pop(label) AS r2 FROM fit WHERE NOT tr GROUP BY fold"
 )
+
+
+# The newest row of every symbol with 35 bars, beside the rows the model is fitted on; unknown features take the column's median.
+NEWEST = (
+    "q AS MATERIALIZED (SELECT 1 AS fold, true AS tr, "
+    + ", ".join(X)
+    + ", d1 AS label, NULL::VARCHAR AS Symbol, NULL::DATE AS Date, NULL::DOUBLE AS Close FROM o UNION ALL SELECT 1, false, "
+    + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM o))" for c in X)
+    + ", 0, Symbol, Date, Close FROM (SELECT *, row_number() OVER (PARTITION BY Symbol ORDER BY Date DESC) AS age, count(*) OVER (PARTITION BY Symbol) AS bars FROM m) WHERE age = 1 AND bars >= 35)"
+)
+PREDICTED = (
+    "SELECT Symbol, strftime(Date, '%Y-%m-%d') AS Date, round(Close, 2) AS Close, round(p, 4) AS Pred_Prob, CASE WHEN p > 0.5 THEN 'UP ▲' ELSE 'DOWN ▼' END AS Direction,"
+    " round(abs(p - 0.5) * 2, 4) AS Confidence FROM (SELECT *, 1 / (1 + exp(-score)) AS p FROM fit WHERE NOT tr)"
+)

@@ -8,6 +8,7 @@ from barloom.operators import cleaning, context, metrics, scaling, sequences, sp
 from barloom.plans import least_squares, panel, scoring, training
 from barloom.schema import HORIZONS, SECTOR_ETF, SECTORS
 from barloom.sources import bars as B
+from barloom.sources import context as context_source
 from barloom.sources import universe
 from checks import market
 from checks.catalog import KEY_COLUMNS, check, full, layer
@@ -628,7 +629,30 @@ def multi_horizon_sequences(spark, sf_dir):
     return seqs.select("Symbol", "Date", *[F.col("labels")[f"h{h}"].alias(f"h{h}") for h in HORIZONS])
 
 
-@check("augmented_sequences", {**KEY_COLUMNS, "label": "i", "total": 4})
+def _draw_sql(state, counter):
+    """The generator of ``sequences.draw`` in SQL."""
+    x = f"(({state} + ({counter}) * 2654435769) % 4294967296 * 747796405 + 2891336453) % 4294967296"
+    x = f"(xor({x}, ({x}) >> 16) * 668265263 % 4294967296)"
+    return f"((xor({x}, {x} >> 15) + 1) / 4294967296.0::DOUBLE)"
+
+
+def _state_sql(use):
+    return f"('0x' || substr(md5('42|{use}|' || Symbol || '|' || strftime(Date, '%Y-%m-%d')), 1, 8))::BIGINT"
+
+
+@check(
+    "augmented_sequences",
+    {**KEY_COLUMNS, "label": "i", "total": 4},
+    with_bars(
+        "SELECT s.Symbol, s.Date, any_value(label) AS label, sum(CASE WHEN u > 0.05 THEN CAST(CAST(x + 0.02 * sqrt(-2 * ln(a)) * cos(2 * pi() * b) AS FLOAT) AS DOUBLE) ELSE 0 END"
+        " ORDER BY step, j) AS total FROM (SELECT s.Symbol, s.Date, s.label, v.j, o.rn - s.rn + 30 AS step, CASE v.j WHEN 0 THEN CAST(o.Volume AS FLOAT) ELSE CAST(o.Close AS FLOAT) END AS x,"
+        f" {_draw_sql('s.masks', 'v.j')} AS u, {_draw_sql('s.noise', '((o.rn - s.rn + 30) * 2 + v.j) * 2')} AS a, {_draw_sql('s.noise', '((o.rn - s.rn + 30) * 2 + v.j) * 2 + 1')} AS b"
+        " FROM s JOIN s o ON o.Symbol = s.Symbol AND o.rn BETWEEN s.rn - 30 AND s.rn - 1, (VALUES (0), (1)) v(j) WHERE s.rn > 30) s GROUP BY 1, 2",
+        SUPPLIER_BARS,
+        "s AS MATERIALIZED (SELECT *, row_number() OVER w AS rn, CASE WHEN lead(Close) OVER w / nullif(Close, 0) - 1 > 0 THEN 1 ELSE 0 END AS label,"
+        f" {_state_sql('noise')} AS noise, {_state_sql('mask')} AS masks FROM bars WINDOW w AS (PARTITION BY Symbol ORDER BY Date))",
+    ),
+)
 def augmented_sequences(spark, sf_dir):
     rows = panel.with_features(market.supplier_bars(spark, sf_dir), ["Target_Direction_1d"])
     seqs = sequences.sequences(rows, ["Volume", "Close"], "Target_Direction_1d", 30)
@@ -963,7 +987,11 @@ def feature_importance(spark, sf_dir):
     return training.feature_importance(training.fit(scaled, MODEL_FEATURES, "Target_Direction_1d"), 25)
 
 
-@check("latest_predictions", {"Symbol": "s", "Date": "s", "Close": 2, "Pred_Prob": 4, "Direction": "s", "Confidence": 4})
+_PREDICTED = {"Symbol": "s", "Date": "s", "Close": 2, "Pred_Prob": 4, "Direction": "s", "Confidence": 4}
+_CARRIED = "Symbol, Date, Close"
+
+
+@model_check("latest_predictions", _PREDICTED, M.PREDICTED, M.NEWEST, M.logistic(carry=_CARRIED))
 def latest_predictions(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
     scaler = scaling.fit_scaler(rows, MODEL_FEATURES)
@@ -972,3 +1000,59 @@ def latest_predictions(spark, sf_dir):
     return scoring.predict(newest, model, scaler, MODEL_FEATURES)
 
 
+
+
+@check(
+    "lookback_predictions",
+    _PREDICTED,
+    with_bars(
+        M.PREDICTED,
+        f"SELECT * FROM ({SUPPLIER_BARS}) WHERE Date >= DATE '1998-06-30' - 900 AND Date <= DATE '1998-06-30'",
+        ",\n".join([M.MODEL_ROWS, M.NEWEST, M.logistic(carry=_CARRIED)]),
+    ),
+)
+def lookback_predictions(spark, sf_dir):
+    bars = market.supplier_bars(spark, sf_dir)
+    recent = B.between(bars, *[F.lit(d).cast("date") for d in ("1996-01-12", "1998-07-01")])
+    names = MODEL_FEATURES + ["Target_Return_1d", "Target_Direction_1d"]
+    rows = panel.with_features(recent, names).select("Symbol", "Date", *names).dropna(subset=MODEL_FEATURES + ["Target_Return_1d"])
+    scaler = scaling.fit_scaler(rows, MODEL_FEATURES)
+    model = training.fit(scaler.transform(rows), MODEL_FEATURES, "Target_Direction_1d")
+    return scoring.predict_newest(bars, model, scaler, MODEL_FEATURES, today="1998-06-30", lookback=900)
+
+
+_FIXED_SCORE = {"Return": 3.0, "Close_to_MA_20": 20.0, "Volatility_20": -0.5, "Return_Mean_5": 10.0, "Price_ZScore_20": 0.2}
+
+
+@model_check(
+    "permutation_importance",
+    {"Feature": "s", "roc_auc": 8, "Importance": 8, "place": "i"},
+    "SELECT *, row_number() OVER (ORDER BY Importance DESC, Feature) AS place FROM (SELECT Feature, roc_auc, max(roc_auc) FILTER (Feature = '') OVER () - roc_auc AS Importance FROM"
+    " (SELECT Feature, (sum(r) FILTER (d1 = 1) - sum(d1) * (sum(d1) + 1) / 2.0) / (sum(d1) * (count(*) - sum(d1)) * 1.0) AS roc_auc FROM"
+    " (SELECT *, rank() OVER (PARTITION BY Feature ORDER BY score) + (count(*) OVER (PARTITION BY Feature, score) - 1) / 2.0 AS r FROM e) GROUP BY 1)) WHERE Feature <> ''",
+    "h AS (SELECT " + ", ".join(f"{c} AS h{c}" for c in M.X) + ", row_number() OVER (ORDER BY md5('42|' || Symbol || '|' || strftime(Date, '%Y-%m-%d')), Symbol, Date) - 1 AS rank FROM o)",
+    "e AS (SELECT Feature, d1, "
+    + " + ".join(f"{w} * CASE WHEN Feature = '{name}' THEN h{c} ELSE {c} END" for c, (name, w) in zip(M.X, _FIXED_SCORE.items()))
+    + " AS score FROM o JOIN h USING (rank), (VALUES (''), " + ", ".join(f"('{n}')" for n in _FIXED_SCORE) + ") v(Feature))",
+)
+def permutation_importance(spark, sf_dir):
+    def score(rows):
+        made = None
+        for name, w in _FIXED_SCORE.items():
+            part = F.lit(w) * F.col(name)
+            made = part if made is None else made + part
+        return rows.withColumn("score", made)
+
+    return training.permutation_importance(_model_rows(spark, sf_dir), MODEL_FEATURES, score, "Target_Direction_1d")
+
+
+@check(
+    "context_reader",
+    {"ctx_symbol": "s", "Date": "d", "Close": 6},
+    f"SELECT ctx_symbol, Date, Close FROM ({CONTEXT}) WHERE ctx_symbol IN ('SPY', 'VIX', 'XLK') AND Date >= DATE '1996-02-01' AND Date < DATE '1999-01-01'",
+)
+def context_reader(spark, sf_dir):
+    """The context with the vendor's caret before the index."""
+    raw = market.context_bars(spark, sf_dir)
+    raw = raw.withColumn("ctx_symbol", F.when(F.col("ctx_symbol") == "VIX", "^VIX").otherwise(F.col("ctx_symbol")))
+    return context_source.normalize_context(raw, "1996-02-01", "1999-01-01", ["SPY", "^VIX", "XLK"])

@@ -1,12 +1,14 @@
 """Files, stored models, and the shape of plans."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import scaling, splits
 from barloom.plans import panel, scoring, training
 from barloom.sources import bars as B
-from barloom.sources import files, universe
+from barloom.sources import context, files, universe
 from checks import market
 
 NAMES = ["Return", "Close_to_MA_20", "Volatility_20", "Target_Direction_1d", "Target_Direction_5d", "Target_Return_1d"]
@@ -50,10 +52,63 @@ def test_reuse_by_parameters(spark, sf_dir, tmp_path):
         return spark.range(3)
 
     for options in ({"a": 1}, {"a": 1}, {"a": 2}):
-        assert files.reuse(spark, "t", options, build, str(tmp_path)).count() == 3
+        assert files.reuse(spark, "t", options, build, [], str(tmp_path)).count() == 3
     assert len(calls) == 2
 
 
+def test_reuse_sees_a_replaced_file(spark, tmp_path):
+    source, made = str(tmp_path / "in.csv"), []
+
+    def stored():
+        rows = spark.read.schema("a int").csv(source)
+        return files.reuse(spark, "t", {}, lambda: made.append(1) or rows, [rows], str(tmp_path / "kept"))
+
+    for text, total, built in (("1\n2\n", 3, 1), ("1\n2\n", 3, 1), ("1\n20\n", 21, 2), ("5\n9\n", 14, 3)):
+        if built > len(made):
+            with open(source, "w") as f:
+                f.write(text)
+            os.utime(source, (1e9 + built, 1e9 + built))
+            spark.catalog.refreshByPath(source)
+        assert stored().agg(F.sum("a")).first()[0] == total
+        assert len(made) == built
+    with pytest.raises(ValueError, match="not read from files"):
+        files.reuse(spark, "t", {}, lambda: spark.range(1), [spark.range(1)], str(tmp_path / "kept"))
+
+
+def test_context_reader(spark, tmp_path):
+    rows = [("^VIX", "2020-01-01", 20.0), ("VIX", "2020-01-01", 21.0), ("^VIX", "2020-01-02", float("nan")), ("SPY", "2020-01-02", 3.0), ("OTHER", "2020-01-02", 3.0), ("SPY", "2020-02-01", 4.0)]
+    df = spark.createDataFrame(rows, "ctx_symbol string, d string, Close double").select("ctx_symbol", F.col("d").cast("date").alias("Date"), "Close")
+    df.write.parquet(str(tmp_path / "p"))
+    df.write.option("header", True).csv(str(tmp_path / "c"))
+    want = [("SPY", "2020-01-02", 3.0), ("VIX", "2020-01-01", 21.0), ("VIX", "2020-01-02", None)]
+    for path, kind in (("p", "parquet"), ("c", "csv")):
+        got = context.read_context(spark, str(tmp_path / path), "2020-01-01", "2020-02-01", ["^VIX", "SPY", "QQQ"], format=kind)
+        assert sorted((r.ctx_symbol, str(r.Date), r.Close) for r in got.collect()) == want
+    plan = plan_of(context.read_context(spark, str(tmp_path / "p"), "2020-01-01", "2020-02-01", ["^VIX"]))
+    pushed = plan.split("PushedFilters: [")[1]
+    assert "GreaterThanOrEqual(Date" in pushed and "In(ctx_symbol" in pushed
+
+
+def test_empty_panel_raises_when_asked(spark, stored):
+    few = stored.select("Symbol", "Date", "Open", "High", "Low", "Close", "Volume").limit(20)
+    with pytest.raises(ValueError, match="no symbol"):
+        panel.feature_panel(few, features=["Return"], required=True)
+    assert panel.feature_panel(few, features=["Return"]).isEmpty()
+
+
+def test_scoring_looks_back_a_bounded_time(spark, stored):
+    bars = stored.select("Symbol", "Date", "Open", "High", "Low", "Close", "Volume")
+    model_rows = stored.dropna(subset=MODEL)
+    scaler = scaling.fit_scaler(model_rows, MODEL)
+    model = training.fit(scaler.transform(model_rows), MODEL, "Target_Direction_1d")
+    today = "2000-03-01"
+    got = scoring.predict_newest(bars, model, scaler, MODEL, today=today, lookback=400)
+    recent = bars.filter("Date <= '2000-03-01' AND Date >= date_sub(DATE'2000-03-01', 400)")
+    want = scoring.predict(panel.with_features(recent, MODEL), model, scaler, MODEL)
+    assert got.count() > 0 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert plan_of(got).count("GreaterThanOrEqual(Date") == 1
+
+
 def test_history_and_predictions_files(spark, tmp_path):
     history = spark.createDataFrame([(1, 0.7), (2, 0.6)], "epoch int, val_loss double")
     files.write_history(history, str(tmp_path / "h"))

@@ -800,32 +800,45 @@ feature_check(
 )
 
 
-def _hurst_sql(w, max_lag):
-    chunks = f"""
-    SELECT Symbol, rn, lag, avg(rs) AS m FROM (
-      SELECT k.Symbol, k.rn, k.lag, c.rs
-      FROM (SELECT Symbol, rn, lag, unnest(range(0, {w} - lag, lag)) AS off FROM full_{w}, (SELECT unnest(range(2, {max_lag})) AS lag)) k
-      JOIN chunk c ON c.Symbol = k.Symbol AND c.lag = k.lag AND c.first = k.rn - {w - 1} + k.off
-      WHERE c.rs IS NOT NULL) GROUP BY 1, 2, 3"""
-    return f"""h_{w} AS (SELECT Symbol, rn, CASE WHEN count(*) < 2 THEN 0.5 ELSE least(greatest(regr_slope(ln(m), ln(lag)), 0), 1) END AS Hurst_{w}
-    FROM ({chunks}) GROUP BY 1, 2)"""
+_HURST = {63: 15, 126: 20}
+_LAGS = range(2, 20)
+
+
+def _chunk_sql(lag):
+    """Rescaled range of the ``lag`` returns from each bar on: running totals of the bars ahead, side by side."""
+    frame = f"(PARTITION BY Symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND {lag - 1} FOLLOWING)"
+    path = ", ".join(f"t{j} - before - {j + 1} * m" for j in range(lag))
+    return (
+        f"SELECT Symbol, rn AS first, {lag} AS lag, f63, f126, CASE WHEN known = {lag} AND s > 0 THEN (greatest({path}) - least({path})) / s END AS rs FROM"
+        f" (SELECT *, avg(Log_Return) OVER q AS m, stddev_pop(Log_Return) OVER q AS s, count(Log_Return) OVER q AS known FROM ahead WINDOW q AS {frame})"
+    )
+
+
+def _hurst_sql(w):
+    """Chunks of one lag stand ``lag`` bars apart: rows of one remainder, so a frame of rows holds those of a window."""
+    parts = " UNION ALL ".join(
+        f"SELECT Symbol, first, lag, avg(rs) OVER (PARTITION BY Symbol, first % {lag} ORDER BY first ROWS BETWEEN CURRENT ROW AND {len(range(0, w - lag, lag)) - 1} FOLLOWING) AS m, f{w}"
+        f" FROM chunk WHERE lag = {lag}"
+        for lag in range(2, _HURST[w])
+    )
+    return (
+        f"h_{w} AS (SELECT Symbol, first + {w - 1} AS rn, CASE WHEN count(m) < 2 THEN 0.5 ELSE least(greatest(regr_slope(ln(m), ln(lag)), 0), 1) END AS Hurst_{w}"
+        f" FROM ({parts}) WHERE f{w} = {w} GROUP BY 1, 2)"
+    )
 
 
 _hurst_layers = [
     RETURN_LAYER,
-    layer("n", "r", {"rn": "row_number() OVER w", "c63": "count(Log_Return) OVER w63", "c126": "count(Log_Return) OVER w126"}),
-    "full_63 AS (SELECT Symbol, rn FROM n WHERE c63 = 63)",
-    "full_126 AS (SELECT Symbol, rn FROM n WHERE c126 = 126)",
-    """cells AS (SELECT n.Symbol, n.rn - j AS first, lag, j, Log_Return AS x
-      FROM n, (SELECT unnest(range(2, 20)) AS lag), LATERAL (SELECT unnest(range(0, lag)) AS j) WHERE n.rn - j >= 1)""",
-    """means AS (SELECT Symbol, first, lag, j, x - avg(x) OVER q AS dev, stddev_pop(x) OVER q AS s, count(x) OVER q AS known
-      FROM cells WINDOW q AS (PARTITION BY Symbol, lag, first))""",
-    """paths AS (SELECT Symbol, first, lag, s, sum(dev) OVER (PARTITION BY Symbol, lag, first ORDER BY j) AS path
-      FROM means WHERE known = lag)""",
-    """chunk AS MATERIALIZED (SELECT Symbol, first, lag, CASE WHEN max(s) > 0 THEN (max(path) - min(path)) / max(s) END AS rs
-      FROM paths GROUP BY 1, 2, 3)""",
-    _hurst_sql(63, 15),
-    _hurst_sql(126, 20),
+    layer("n", "r", {"rn": "row_number() OVER w", "total": "sum(coalesce(Log_Return, 0)) OVER history", "c63": "count(Log_Return) OVER w63", "c126": "count(Log_Return) OVER w126"}),
+    layer(
+        "ahead",
+        "n",
+        {"before": "total - coalesce(Log_Return, 0)", "f63": "lead(c63, 62) OVER w", "f126": "lead(c126, 125) OVER w"} | {f"t{j}": f"lead(total, {j}) OVER w" for j in range(max(_LAGS))},
+        "Symbol, Date, rn, Log_Return",
+    ),
+    "chunk AS MATERIALIZED (" + " UNION ALL ".join(_chunk_sql(lag) for lag in _LAGS) + ")",
+    _hurst_sql(63),
+    _hurst_sql(126),
     "hh AS (SELECT n.Symbol, n.Date, Hurst_63, Hurst_126, CASE WHEN Hurst_63 < 0.45 THEN 1 ELSE 0 END AS MeanRev_Regime"
     " FROM n LEFT JOIN h_63 USING (Symbol, rn) LEFT JOIN h_126 USING (Symbol, rn))",
 ]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions import windows as W
-from barloom.operators.recurrence import rsi
+from barloom.operators import streams
+from barloom.operators.recurrence import _place, rsi
 from barloom.schema import KEY, TIME
 from barloom.session import spread
 
@@ -145,20 +147,99 @@ def carry_back(bars: DataFrame, *frames: DataFrame) -> DataFrame:
     return stacked.filter(F.col("_kind") == len(frames)).select(*held, *found)
 
 
-def with_timeframes(bars: DataFrame, names: list[str] | None = None, source: DataFrame | None = None) -> DataFrame:
-    """Daily rows plus weekly and monthly columns (all by default).
-
-    ``source`` holds the bars the periods are built from, when ``bars`` is
-    already a wider table.
+def _period_of(day: np.ndarray, period: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the week or month of each day since the epoch, and whether the day is the period's last."""
+    if period == "week":  # Monday to Sunday
+        return (day + 3) // 7, (day + 3) % 7 == 6
+    dates = day.astype("datetime64[D]")
+    months = dates.astype("datetime64[M]")
+    return months.astype(np.int64), (dates + 1).astype("datetime64[M]") != months
+
+
+class _Periods:
+    """Weeks or months of several symbols after each other, empty ones included, in arrays."""
+
+    def __init__(self, rows: pd.DataFrame, bounds: np.ndarray, period: str):
+        first, last = bounds[:-1], bounds[1:] - 1
+        number, ends = _period_of(rows["day"].to_numpy(np.int64), period)
+        sizes = number[last] - number[first] + 1
+        begin = np.cumsum(sizes) - sizes
+        own = np.repeat(begin - number[first], np.diff(bounds)) + number
+        self.symbol = np.repeat(np.arange(len(sizes)), sizes)
+        self.begin = begin[self.symbol]
+        # A bar sees its own period on that one's last day, else the one before.
+        self.seen = own - ~ends
+        self.seen[self.seen < np.repeat(begin, np.diff(bounds))] = -1
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        value = {c: rows[c].to_numpy(float) for c in ("Open", "High", "Low", "Close")}
+        self.open, self.high, self.low, self.close = (np.full(sizes.sum(), np.nan) for _ in range(4))
+        known = np.flatnonzero(~np.isnan(value["Open"]))[::-1]
+        self.open[own[known]] = value["Open"][known]  # the first known one is written last
+        self.high[own[starts]] = np.fmax.reduceat(value["High"], starts)
+        self.low[own[starts]] = np.fmin.reduceat(value["Low"], starts)
+        known = np.flatnonzero(~np.isnan(value["Close"]))
+        self.close[own[known]] = value["Close"][known]
+        at = np.maximum.accumulate(np.where(np.isnan(self.close), -1, np.arange(len(self.close))))
+        self.padded = np.where(at >= self.begin, self.close[at], np.nan)
+
+    def change(self, k: int) -> np.ndarray:
+        """Relative change of the newest known close over ``k`` periods."""
+        at = np.arange(len(self.padded)) - k
+        before = np.where(at >= self.begin, self.padded[at], np.nan)
+        return self.padded / np.where(before == 0, np.nan, before) - 1
+
+    def full(self, fn, x: np.ndarray, n: int, **options) -> np.ndarray:
+        """``fn`` over ``n`` periods of one symbol, all known."""
+        out = np.full(len(x), np.nan)
+        if len(x) >= n:
+            out[n - 1 :] = fn(sliding_window_view(x, n), axis=-1, **options)
+        return np.where(np.arange(len(x)) - n + 1 >= self.begin, out, np.nan)
+
+    def span(self) -> np.ndarray:
+        return (self.high - self.low) / np.where(self.open == 0, np.nan, self.open)
+
+    def strength(self) -> np.ndarray:
+        return _place(pd.DataFrame({"Close": self.close}), ["Close"], lambda c: (rsi(c, 14),), ["x"], self.symbol)["x"]
+
+
+_COLUMNS = {
+    "W_Return": lambda p: p.change(1),
+    "W_Range": lambda p: p.span(),
+    "W_Vol": lambda p: p.full(np.std, p.change(1), 4, ddof=1),
+    "W_RSI14": lambda p: p.strength(),
+    "W_MA4": lambda p: p.full(np.mean, p.close, 4),
+    "W_MA12": lambda p: p.full(np.mean, p.close, 12),
+    "W_Mom4": lambda p: p.change(4),
+    "M_Return": lambda p: p.change(1),
+    "M_Range": lambda p: p.span(),
+    "M_Vol": lambda p: p.full(np.std, p.change(1), 3, ddof=1),
+    "M_MA3": lambda p: p.full(np.mean, p.close, 3),
+    "M_MA12": lambda p: p.full(np.mean, p.close, 12),
+    "M_Mom3": lambda p: p.change(3),
+}
+
+
+def timeframe_columns(rows: pd.DataFrame, bounds: np.ndarray, names: list[str]) -> dict[str, np.ndarray]:
+    """The named weekly and monthly columns as each bar sees them: the newest period that has ended by its day."""
+    out = {}
+    for period, known in (("week", WEEKLY), ("month", MONTHLY)):
+        wanted = [n for n in names if n in known]
+        if wanted:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                periods = _Periods(rows, bounds, period)
+                for n in wanted:
+                    out[n] = np.where(periods.seen >= 0, _COLUMNS[n](periods)[periods.seen], np.nan)
+    return out
+
+
+def with_timeframes(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Daily rows plus weekly and monthly columns (all by default), in one pass over the sorted bars.
+
+    The weeks and months of a symbol are made from its bars as they stream by; ``weekly_features``, ``monthly_features`` and
+    ``carry_back`` give the same as tables and a join.
     """
-    source = bars if source is None else source
-    wanted = lambda known: known if names is None else [n for n in known if n in set(names)]
-    frames = []
-    if wanted(WEEKLY):
-        frames.append(weekly_features(source, wanted(WEEKLY)))
-    if wanted(MONTHLY):
-        frames.append(monthly_features(source, wanted(MONTHLY)))
-    return carry_back(bars, *frames) if frames else bars
+    names = [n for n in WEEKLY + MONTHLY if names is None or n in set(names)]
+    return streams.with_columns_of_symbols(bars, names, lambda rows, bounds: timeframe_columns(rows, bounds, names)) if names else bars
 
 
-__all__ = ["MONTHLY", "WEEKLY", "carry_back", "monthly_features", "resample", "weekly_features", "with_timeframes"]
+__all__ = ["MONTHLY", "WEEKLY", "carry_back", "monthly_features", "resample", "timeframe_columns", "weekly_features", "with_timeframes"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.features import Catalog, add_features
-from barloom.operators import calendar, candles, context, recurrence, rolling, timeframe
+from barloom.operators import calendar, candles, context, recurrence, rolling, streams, timeframe
 from barloom.schema import FUNDAMENTALS, KEY, MIN_BARS, MIN_ROWS, TIME, is_target
 from barloom.session import spread
 from barloom.sources import universe
@@ -37,21 +37,21 @@ def with_features(
 ) -> DataFrame:
     """``bars`` plus the named columns, computing only what they need.
 
-    Order of work: the recurrences first, on narrow rows; then the small tables
-    are joined; then all window expressions run over one partitioning by symbol.
+    Order of work: bars are partitioned and sorted by symbol once; recurrences, weeks and months stream beside them; then the
+    small tables are joined and all window expressions run over the same partitioning.
     """
     names = list(dict.fromkeys(names))
     held = bars.columns
     reads = CATALOG.closure(names)
     out = bars
     recurrent = [n for n in recurrence.RECURRENCES if n in reads]
-    if recurrent:
-        out = recurrence.with_recurrences(out, recurrent, placed)
     carried = [n for n in _CARRIED if n in reads]
-    if carried:
-        out = timeframe.with_timeframes(out, carried, source=bars)
-    elif recurrent:
-        out = spread(out, KEY)
+    if recurrent or carried:
+
+        def work(rows, bounds):
+            return recurrence.columns_of_symbols(rows, bounds, recurrent) | timeframe.timeframe_columns(rows, bounds, carried)
+
+        out = streams.with_columns_of_symbols(out, recurrent + carried, work, placed)
     if "Sector" in reads or reads & {"_fund_ret"}:
         out = context.with_sector(out, sectors if sectors is not None else universe.sector_table(bars.sparkSession))
     if reads & {"VIX", "_market_ret", "_fund_ret"}:

@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,44 +60,45 @@ def _cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[W.finite(F.col(c).cast("double")).alias(c) for c in columns])
 
 
-def _pairs(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value)`` of all known values, a narrow expansion in place."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    return wide.select(F.explode(cells).alias("x")).select("x.column", "x.value").filter("value IS NOT NULL")
-
-
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 2000) -> DataFrame:
     """Exact linearly interpolated quantiles: ``(column, p, n, value)``.
 
-    A mergeable sketch brackets every quantile; a second pass counts what lies
-    below the bracket and keeps only distinct values inside it. So no task ever
-    holds a column, and the answer is still exact. Values are counted before
-    they are shuffled, a value held by many rows is one row.
+    A mergeable sketch brackets every quantile; a second pass counts per task what lies
+    below and above the brackets, a few numbers for each column, and hands on only the distinct values inside with
+    their counts. So no task ever holds a column, no cell is copied, and the answer is still exact; a value held
+    by many rows is one row.
     """
     wide = _cleaned(df, columns)
     margin = 2.0 / accuracy
     edges = [min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)]
-    sketch = wide.agg(*[F.percentile_approx(c, edges, accuracy).alias(c) for c in columns])
-    brackets = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(p).alias("p"),
-            F.lit(i).alias("i"),
-            F.col(c)[2 * i].alias("lo"),
-            F.col(c)[2 * i + 1].alias("hi"),
-        )
-        for c in columns
-        for i, p in enumerate(probs)
-    ]
-    table = sketch.select(F.explode(F.array(*brackets)).alias("b")).select("b.*")
-    # one row per column and quantile: bounded by the schema
-    placed = _pairs(wide, columns).join(F.broadcast(table), "column")
-    side = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
-    counted = (
-        placed.select("column", "p", "i", side.alias("side"), F.when(side == 0, F.col("value")).alias("value"))
-        .groupBy("column", "p", "i", "side", "value")
-        .agg(F.count("*").alias("rows"))
-    )
+    # one row, bounded by the schema
+    sketch = wide.agg(*[F.percentile_approx(c, edges, accuracy).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    brackets = np.array([[np.nan] * len(edges) if q is None else q for q in sketch], dtype=float).reshape(len(columns), len(probs), 2)
+    known = [k for k in range(len(columns)) if not np.isnan(brackets[k]).any()]
+
+    def count(batches):
+        below, above = np.zeros(brackets.shape[:2], np.int64), np.zeros(brackets.shape[:2], np.int64)
+        for b in batches:
+            x, inside = b.to_numpy(dtype=float), []
+            for k in known:
+                v = x[:, k][~np.isnan(x[:, k])]
+                for q, (low, high) in enumerate(brackets[k]):
+                    under, over = v < low, v > high
+                    below[k, q] += under.sum()
+                    above[k, q] += over.sum()
+                    value, rows = np.unique(v[~(under | over)], return_counts=True)
+                    inside.append(pd.DataFrame({"k": k, "i": q, "side": 0, "value": value, "rows": rows}))
+            if inside:
+                yield pd.concat(inside, ignore_index=True)
+        for side, total in ((-1, below), (1, above)):
+            k, q = np.nonzero(total)
+            yield pd.DataFrame({"k": k, "i": q, "side": side, "value": np.nan, "rows": total[k, q]})
+
+    narrow = wide.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    cells = narrow.mapInPandas(count, "k int, i int, side int, value double, rows bigint")
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("k"))
+    p = F.get(F.array(*[F.lit(float(x)) for x in probs]), F.col("i"))
+    counted = cells.groupBy(name.alias("column"), p.alias("p"), "i", "side", "value").agg(F.sum("rows").alias("rows"))
     order = Window.partitionBy("column", "i").orderBy("side", "value")
     running = counted.select(
         "*",

@@ -49,9 +49,10 @@ def with_columns_of_symbols(
 ) -> DataFrame:
     """``bars`` plus double columns that ``work`` makes of whole symbols in date order and their bounds; NaN becomes NULL.
 
-    The rows are partitioned and sorted by symbol and date once and stay so: only the inputs pass through
-    Python, as a stream beside the rows, so windows that follow need no further shuffle or sort. ``placed`` says that the bars are already
-    partitioned by symbol. The stream depends on the order of rows, hence it is not deterministic for the optimizer, which keeps filters above it.
+    The rows are partitioned and sorted by symbol and date once; only the inputs pass through Python, as a stream beside
+    the rows, whatever other columns there are. ``placed`` says that the bars are already partitioned by symbol. Spark does not know
+    the partitioning of rows with Python columns, so windows that follow shuffle once more. The stream depends on the
+    order of rows, hence it is not deterministic for the optimizer, which keeps filters above it.
     """
     schema = ", ".join(f"`{n}` double" for n in names)
 

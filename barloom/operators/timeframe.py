@@ -185,7 +185,7 @@ class _Periods:
     def change(self, k: int) -> np.ndarray:
         """Relative change of the newest known close over ``k`` periods."""
         at = np.arange(len(self.padded)) - k
-        before = np.where(at >= self.begin, self.padded[at], np.nan)
+        before = np.where(at >= self.begin, self.padded[np.maximum(at, 0)], np.nan)
         return self.padded / np.where(before == 0, np.nan, before) - 1
 
     def full(self, fn, x: np.ndarray, n: int, **options) -> np.ndarray:

@@ -37,8 +37,8 @@ def with_features(
 ) -> DataFrame:
     """``bars`` plus the named columns, computing only what they need.
 
-    Order of work: bars are partitioned and sorted by symbol once; recurrences, weeks and months stream beside them; then the
-    small tables are joined and all window expressions run over the same partitioning.
+    Order of work: recurrences, weeks and months stream beside the bars in one pass, on narrow rows; then the
+    small tables are joined and all window expressions run over one partitioning by symbol.
     """
     names = list(dict.fromkeys(names))
     held = bars.columns
@@ -51,7 +51,7 @@ def with_features(
         def work(rows, bounds):
             return recurrence.columns_of_symbols(rows, bounds, recurrent) | timeframe.timeframe_columns(rows, bounds, carried)
 
-        out = streams.with_columns_of_symbols(out, recurrent + carried, work, placed)
+        out = spread(streams.with_columns_of_symbols(out, recurrent + carried, work, placed), KEY)
     if "Sector" in reads or reads & {"_fund_ret"}:
         out = context.with_sector(out, sectors if sectors is not None else universe.sector_table(bars.sparkSession))
     if reads & {"VIX", "_market_ret", "_fund_ret"}:

@@ -259,6 +259,39 @@ def weekly_strength_suppliers(spark, sf_dir):
     return timeframe.with_timeframes(market.supplier_bars(spark, sf_dir), ["W_RSI14"])
 
 
+@check(
+    "timeframes_together",
+    {**KEY_COLUMNS, "Close": 6, **{c: _DIGITS[c] for c in _W + timeframe.MONTHLY}},
+    with_bars(
+        f"SELECT bars.Symbol, bars.Date, bars.Close, {', '.join(f'w.{c}' for c in _W)}, {', '.join(f'm.{c}' for c in timeframe.MONTHLY)} FROM bars"
+        f" LEFT JOIN weeksf w ON w.Symbol = bars.Symbol AND w.label = {_LAST_WEEK} LEFT JOIN monthsf m ON m.Symbol = bars.Symbol AND m.label = {_LAST_MONTH}",
+        SUPPLIER_BARS,
+        ",\n".join([WEEKS, _period_sql("weeks", "W", 4, 4, 4), MONTHS, _period_sql("months", "M", 3, 3, 3)]),
+    ),
+)
+def timeframes_together(spark, sf_dir):
+    """Daily, weekly and monthly columns side by side, and the joins that give the same."""
+    bars = market.supplier_bars(spark, sf_dir)
+    streamed = panel.with_features(bars, _W + timeframe.MONTHLY)
+    return streamed.select("Symbol", "Date", "Close", *_W, *timeframe.MONTHLY)
+
+
+@check(
+    "timeframes_joined",
+    {**KEY_COLUMNS, **{c: _DIGITS[c] for c in ("W_MA4", "W_Mom4", "M_MA3", "M_Return")}},
+    with_bars(
+        "SELECT bars.Symbol, bars.Date, w.W_MA4, w.W_Mom4, m.M_MA3, m.M_Return FROM bars"
+        f" LEFT JOIN weeksf w ON w.Symbol = bars.Symbol AND w.label = {_LAST_WEEK} LEFT JOIN monthsf m ON m.Symbol = bars.Symbol AND m.label = {_LAST_MONTH}",
+        SUPPLIER_BARS,
+        ",\n".join([WEEKS, _period_sql("weeks", "W", 4, 4, 4), MONTHS, _period_sql("months", "M", 3, 3, 3)]),
+    ),
+)
+def timeframes_joined(spark, sf_dir):
+    """The as-of join of separate weekly and monthly tables."""
+    bars = market.supplier_bars(spark, sf_dir)
+    return timeframe.carry_back(bars, timeframe.weekly_features(bars, ["W_MA4", "W_Mom4"]), timeframe.monthly_features(bars, ["M_MA3", "M_Return"]))
+
+
 # --- market context -----------------------------------------------------------------
 
 _CTX = f"""ctx AS MATERIALIZED ({CONTEXT}),
@@ -553,6 +586,25 @@ def column_quantiles(spark, sf_dir):
     return scaling.column_quantiles(_returns(spark, sf_dir), _SCALED, [0.25, 0.5, 0.75])
 
 
+@check(
+    "degenerate_scaling",
+    {**KEY_COLUMNS, "flat": 6, "unknown": 6, "rare": 6, "flat_m": 6, "unknown_m": 6},
+    with_bars(
+        "SELECT Symbol, Date, 0.0 AS flat, 0.0 AS unknown, CASE WHEN Volume > 49 THEN Volume ELSE 0 END - (SELECT quantile_cont(CASE WHEN Volume > 49 THEN Volume ELSE 0 END, 0.5) FROM bars) AS rare,"
+        " 0.0 AS flat_m, 0.5 AS unknown_m FROM bars",
+        SUPPLIER_BARS,
+    ),
+)
+def degenerate_scaling(spark, sf_dir):
+    """Columns that do not vary, are unknown throughout, or vary outside their quartiles only."""
+    bars = market.supplier_bars(spark, sf_dir)
+    rare = F.when(F.col("Volume") > 49, F.col("Volume")).otherwise(0.0).alias("rare")
+    rows = bars.select("Symbol", "Date", F.lit(3.0).alias("flat"), F.lit(None).cast("double").alias("unknown"), rare)
+    rows = scaling.fit_scaler(rows, ["flat", "unknown", "rare"]).transform(rows)
+    more = rows.select("*", F.lit(3.0).alias("flat_m"), F.lit(None).cast("double").alias("unknown_m"))
+    return scaling.fit_scaler(more, ["flat_m", "unknown_m"], "minmax").transform(more)
+
+
 @check(
     "cleaned_and_filled",
     {**KEY_COLUMNS, "Volume": 6, "PB": 6, "Missing": 6},

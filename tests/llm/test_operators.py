@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -548,3 +549,15 @@ def test_one_id_on_two_texts_loses_no_group(spark):
     rows = [(5, a), (9, a), (3, b), (5, b)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert rows_of(corpus_pipeline.keep_one_of_each(spark, df, ""), "doc_id", "text") == [(3, b), (5, a)]
+
+
+def test_pages_lose_no_text_and_may_be_long():
+    text = html_mincut.main_text
+    assert text("<body><p>Short.</p></body>") == "Short." and text("<body>One</body>") == "One" and text("<nav>One</nav>") == ""
+    assert text("<p>Let <math>x</math> be a number <svg><title>icon</title><text>y</text></svg> of some kind</p>") == "Let x be a number y of some kind"
+    deep = text("<body>" + "".join(f"<div>text of level {i} and some more words" for i in range(5000)) + "</div>" * 5000)
+    assert deep.count("\n") == 4999
+    long = "".join(f"<p>plain words of an article that goes on {i}</p><ul><li><a href=x>link {i}</a></li></ul>" for i in range(10_000))
+    start = time.time()
+    assert text(f"<body>{long}</body>") == "\n".join(f"plain words of an article that goes on {i}" for i in range(10_000))
+    assert time.time() - start < 30

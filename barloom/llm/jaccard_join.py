@@ -24,6 +24,7 @@ FULL = 255  # a group count that stands for itself or more
 CELLS = 1 << 18  # of the frequency sketch that orders shingles; any size gives the same result
 _CHUNK = 1 << 10
 LEAF = 16
+TURNS = 3  # rounds against single nodes before all pairs are tried; any number gives the same result
 
 
 def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
@@ -174,7 +175,24 @@ def near_first(buckets: DataFrame, points: DataFrame, percent: int) -> DataFrame
     """
     first = buckets.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n1"))
     sizes = F.least("n1", "n") * 100 >= F.greatest("n1", "n") * percent
-    both = buckets.join(first, "key").filter("node <> a").filter(sizes).select("a", F.col("node").alias("b")).distinct()
+    return bounded(buckets.join(first, "key").filter("node <> a").filter(sizes).select("a", F.col("node").alias("b")).distinct(), points, percent)
+
+
+def near_other(buckets: DataFrame, found: DataFrame, points: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Distinct (a, b): nodes of ``buckets`` (key, node, n) with one of their bucket's, another for each ``turn``, where components of ``found`` differ and the bound allows a link.
+
+    Buckets of two rows are left out: their pair is that of ``near_first``.
+    """
+    b = buckets.join(found.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    centre = F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn)))
+    keys = b.groupBy("key").agg(centre.alias("c"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1 AND rows > 2")
+    both = b.join(keys.select("key", "c"), "key").filter(F.col("component") != F.col("c.component"))
+    both = both.filter(F.least("c.n", "n") * 100 >= F.greatest("c.n", "n") * percent)
+    return bounded(both.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), points, percent)
+
+
+def bounded(both: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose ``points`` allow a link."""
     of_b = points.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("counts").alias("c2"))
     of_a = points.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("counts").alias("c1"))
     both = both.join(of_b, "b").join(of_a, "a")
@@ -227,8 +245,8 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     with nothing and are their own component; rows with equal sets are one node, so ties and
     repeated rows share a component; other columns are ignored; an empty table gives no rows.
 
-    Links are looked for in two rounds over the same buckets: each node against its bucket's smallest, which
-    settles groups of copies in one step, then all pairs of different components the trees let through.
+    Links are looked for in rounds over the same buckets: each node against its bucket's smallest, which
+    settles groups of copies in one step, up to ``TURNS`` times against another one of the bucket, then all pairs of different components the trees let through.
     """
     signed = stored(signatures(docs, id_column, text, width, percent, row_hash))
     known = signed.filter("node IS NOT NULL AND id IS NOT NULL")
@@ -257,6 +275,12 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     star = stored(near_first(buckets, points, percent))
     links = stored(verified(star, nodes, docs, id_column, text, width, percent))
     found = components(links)
+    # Where nodes of one bucket link with some of its others only, each turn joins most of those left to the large component.
+    for turn in range(1, TURNS + 1):
+        fresh = stored(verified(stored(near_other(buckets, found, points, percent, turn)), nodes, docs, id_column, text, width, percent))
+        if fresh.isEmpty():
+            break
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(fresh))
     # A bucket of two has no pair but the one with its smallest.
     rest = cross_pairs(buckets.drop("n"), found, ["n", "counts"], prepare, judge, pairs, points, least=3).join(star, ["a", "b"], "left_anti")
     more = stored(verified(stored(rest), nodes, docs, id_column, text, width, percent))

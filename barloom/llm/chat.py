@@ -33,6 +33,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     a delta, equal sequence numbers apply in order of kind, then text; a turn
     whose events hold no text is an empty message.
     """
+    # All events of a conversation meet once, sorted by sequence; its turns are folded side by side.
+    events = events.repartition("conv_id")
     by_turn = Window.partitionBy("conv_id", "turn").orderBy("seq", "kind", "text")
     e = events.select("conv_id", "turn", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     e = e.select("*", F.row_number().over(by_turn).alias("at"), F.sum((F.col("kind") != "delta").cast("int")).over(by_turn).alias("start"))

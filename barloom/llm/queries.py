@@ -72,8 +72,14 @@ def op5_chat_formatting(spark, sf_dir):
     mark = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", mark), (-7, 1, "assistant", mark)], given.schema)
     rows = given.unionByName(own)
-    # The table as a log: each row is a streamed message in one delta; equal rows stay messages of their own.
-    log = rows.select("conv_id", F.struct("turn", "role", "text", F.monotonically_increasing_id().alias("row")).alias("turn"), F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    # The table as a log: each row is a message that was streamed, thrown away and generated anew, went wrong in the middle and was edited there.
+    # Equal rows stay messages of their own.
+    row = rows.select("conv_id", F.struct("turn", "role", "text", F.monotonically_increasing_id().alias("row")).alias("turn"), "role", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    steps = [("delta", rest), ("delta", F.lit("a draft")), ("regenerate", F.lit(None).cast("string")), ("delta", first), ("delta", F.lit("a slip")), ("edit", first), ("delta", rest)]
+    events = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(steps)])
+    log = row.select("conv_id", "turn", "role", F.explode(events).alias("e")).select("conv_id", "turn", "role", "e.seq", "e.kind", "e.text")
     messages = chat.fold_events(log).select("conv_id", F.col("turn.turn").alias("turn"), "role", "text")
     made = chat.format_conversations(messages)
     turns, loss = chat.read_back(F.col("formatted")), chat.loss_text(F.col("formatted"), F.col("spans"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import merkle, repeats, spelling
+from barloom.llm import jaccard_join, merkle, repeats, spelling
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, row string, tree string, key string, word string"
 LONG = 2**53 + 1
@@ -179,3 +180,38 @@ def test_hash_tree_sees_a_change_and_nothing(spark):
     seen = merkle.row_digest([F.col("doc_id"), F.concat("text", F.when(F.col("doc_id") == 7, "!").otherwise(""))])
     wrong = merkle.manifest(docs.withColumn("seen", seen)).filter(merkle.fold(F.col("seen"), F.col("path")) != F.col("root"))
     assert [r.doc_id for r in wrong.collect()] == [7]
+
+
+# --- near copies of which few pairs link -----------------------------------------------------
+
+
+@pytest.mark.parametrize("turns", [0, 3])
+def test_loose_groups_of_near_copies(spark, monkeypatch, turns):
+    """Each document links with a part of the others only; rounds against single nodes must not change the groups."""
+    monkeypatch.setattr(jaccard_join, "TURNS", turns)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(140)]
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for k in rng.integers(0, len(w), rng.integers(1, 9)):
+            w[k] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.permutation(base)) for _ in range(5)] + [None, "", texts[3]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            linked += 1
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    assert 160 * 159 / 2 * 0.05 < linked < 160 * 159 / 2 * 0.7
+    df = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(df, width=5, percent=80).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}

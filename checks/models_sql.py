@@ -134,3 +134,19 @@ PREDICTED = (
     "SELECT Symbol, strftime(Date, '%Y-%m-%d') AS Date, round(Close, 2) AS Close, round(p, 4) AS Pred_Prob, CASE WHEN p > 0.5 THEN 'UP ▲' ELSE 'DOWN ▼' END AS Direction,"
     " round(abs(p - 0.5) * 2, 4) AS Confidence FROM (SELECT *, 1 / (1 + exp(-score)) AS p FROM fit WHERE NOT tr)"
 )
+
+
+def coefficients(steps: int = 8) -> str:
+    """``slopes``: (j, slope) of ``logistic``'s scores, each feature's after all others have been taken out of it."""
+    layers, parts = [], []
+    for j in range(1, len(X) + 1):
+        order = ["g0", *[f"g{k}" for k in range(1, len(X) + 1) if k != j], f"g{j}"]
+        g = ", ".join(f"{c} AS g{k + 1}" for k, c in enumerate(X))
+        source = f"c{j}_"
+        layers.append(f"{source} AS (SELECT 1.0 AS g0, {g}, eta AS z FROM e{steps})")
+        for k, c in enumerate(order[:-1]):
+            replaced = ", ".join(f"{x} - {c} * (sum({c} * {x}) OVER () / nullif(sum({c} * {c}) OVER (), 0)) AS {x}" for x in [*order[k + 1 :], "z"])
+            layers.append(f"c{j}_{k} AS (SELECT * REPLACE ({replaced}) FROM {source})")
+            source = f"c{j}_{k}"
+        parts.append(f"SELECT {j} AS j, sum(g{j} * z) / sum(g{j} * g{j}) AS slope FROM {source}")
+    return ",\n".join([*layers, "slopes AS (" + " UNION ALL ".join(parts) + ")"])

@@ -1032,7 +1032,19 @@ def regression_search(spark, sf_dir):
     return least_squares.search(rows, MODEL_FEATURES, [0.0, 0.1], n_splits=2)[1]
 
 
-@check("feature_importance", {"Feature": "s", "Importance": 5, "place": "i", "share": 5})
+_SPANS = " ".join(f"WHEN {j} THEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)" for j, c in enumerate(M.X, 1))
+
+
+@model_check(
+    "feature_importance",
+    {"Feature": "s", "Importance": 5, "place": "i", "share": 5},
+    "SELECT *, row_number() OVER (ORDER BY Importance DESC, Feature) AS place, Importance / max(Importance) OVER () AS share FROM"
+    f" (SELECT list_extract({MODEL_FEATURES}, j) AS Feature, abs(slope * span) AS Importance FROM slopes JOIN"
+    f" (SELECT v.j, CASE v.j {_SPANS} END AS span FROM o, (VALUES (1), (2), (3), (4), (5)) v(j) GROUP BY v.j) USING (j))",
+    "q AS MATERIALIZED (SELECT 1 AS fold, true AS tr, " + ", ".join(M.X) + ", d1 AS label FROM o)",
+    M.logistic(),
+    M.coefficients(),
+)
 def feature_importance(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
     scaled = scaling.fit_scaler(rows, MODEL_FEATURES).transform(rows)

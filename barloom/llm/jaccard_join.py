@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, cross_pairs, partitions, shared_buckets, shingle_set, stored, with_ids
+from barloom.llm.common import components, cross_pairs, partitions, release, shared_buckets, shingle_set, stored, with_ids
 
 GROUPS = 512
 FULL = 255  # a group count that stands for itself or more
 CELLS = 1 << 18  # of the frequency sketch that orders shingles; any size gives the same result
 _CHUNK = 1 << 10
 LEAF = 16
-TURNS = 3  # rounds against single nodes before all pairs are tried; any number gives the same result
+TURNS = 2  # rounds against single nodes before all pairs are tried; any number gives the same result
 
 
 def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
@@ -275,12 +275,14 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     star = stored(near_first(buckets, points, percent))
     links = stored(verified(star, nodes, docs, id_column, text, width, percent))
     found = components(links)
+    release(docs.sparkSession)  # many small jobs: their plans and shuffles go before more come
     # Where nodes of one bucket link with some of its others only, each turn joins most of those left to the large component.
     for turn in range(1, TURNS + 1):
         fresh = stored(verified(stored(near_other(buckets, found, points, percent, turn)), nodes, docs, id_column, text, width, percent))
         if fresh.isEmpty():
             break
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(fresh))
+        release(docs.sparkSession)
     # A bucket of two has no pair but the one with its smallest.
     rest = cross_pairs(buckets.drop("n"), found, ["n", "counts"], prepare, judge, pairs, points, least=3).join(star, ["a", "b"], "left_anti")
     more = stored(verified(stored(rest), nodes, docs, id_column, text, width, percent))

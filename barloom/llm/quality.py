@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import stored, with_ids
+from barloom.llm.common import release, stored, with_ids
 from barloom.llm.kneser_ney import count_grams, model, perplexities
 
 QUANTILE = 0.99
@@ -88,7 +88,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         # Trusted rows of other languages are scored once more, for the quantiles of all languages.
         again = with_ids(rows.filter(F.col("lang") != _ALL), "id", held).join(held, "id", "left_semi")
         rows = rows.unionByName(again.select("id", "row_hash", F.lit(_ALL).alias("lang"), F.lit(None).cast("string").alias("said"), "text"))
+    release(docs.sparkSession)  # many small jobs: their plans and shuffles go before more come
     known, contexts = model(counts)
+    release(docs.sparkSession)
     scored = stored(perplexities(rows, known, contexts)).withColumn("class", _length_class(F.col("n")))
     limits = nearest_limits(scored, thresholds(scored.join(held, "id", "left_semi"), quantile))
     joined = scored.filter("said IS NOT NULL").join(limits, ["lang", "class"], "left")

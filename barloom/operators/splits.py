@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
+from barloom.functions.search import with_place
 from barloom.schema import KEY, TIME
 
 
@@ -32,7 +33,7 @@ def _sliced(rows: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
     few = keys.select(key.alias("_e")).orderBy(F.xxhash64("_e"), "_e").limit(_SLICES - 1)
     edges = few.agg(F.array_sort(F.collect_list("_e"))).scalar()
     marked = rows.withColumn("_edges", edges)
-    return marked.withColumn("_slice", F.size(F.filter("_edges", lambda e: e <= key))).drop("_edges")
+    return with_place(marked, "_slice", "_edges", _SLICES - 1, lambda e: e <= key).drop("_edges")
 
 
 def in_buckets(keys: DataFrame, bucket: Column, values: list) -> DataFrame:

@@ -7,7 +7,10 @@ repeats each row ``length`` times by nature of the operator.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +68,63 @@ def gauss(state: Column, counter: Column) -> Column:
     return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
 
 
+def _opened(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of the lists from 0, and what they hold."""
+    if not len(lists):  # bounds of no list need not be written
+        return np.zeros(1, np.int32), lists.values.slice(0, 0)
+    bounds = lists.offsets.to_numpy()
+    return bounds - bounds[0], lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+
+
+def _elements(nested: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Sample, step, width and channel of every element of lists of lists; unknown lists hold none."""
+    rows, inner = _opened(nested)
+    cells, _ = _opened(inner)
+    length, width = np.diff(rows), np.diff(cells)
+    sample = np.repeat(np.arange(len(nested)), length)
+    step = np.arange(rows[-1]) - np.repeat(rows[:-1], length)
+    channel = np.arange(cells[-1]) - np.repeat(cells[:-1], width)
+    return np.repeat(sample, width), np.repeat(step, width), np.repeat(width, width), channel
+
+
+def _refilled(nested: pa.ListArray, work: Callable[[np.ndarray], np.ndarray]) -> pa.ListArray:
+    """``nested`` with other elements; what is unknown stays so."""
+    rows, inner = _opened(nested)
+    cells, held = _opened(inner)
+    unknown = lambda x: x.is_null() if x.null_count else None
+    made = work(held.to_numpy(zero_copy_only=False))
+    made = pa.array(made, held.type, mask=held.is_null().to_numpy(zero_copy_only=False), from_pandas=False)
+    lists = pa.ListArray.from_arrays(pa.array(cells, pa.int32()), made, mask=unknown(inner))
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), lists, mask=unknown(nested))
+
+
+def _drawn(state: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """``draw`` of many samples at once."""
+    low = _WORD - 1
+    x = (state + counter * 2654435769) & low
+    x = (x * 747796405 + 2891336453) & low
+    x = ((x ^ (x >> 16)) * 668265263) & low
+    return ((x ^ (x >> 15)) + 1) / float(_WORD)
+
+
 def add_noise(seqs: DataFrame, std: float = 0.02, seed: int = 42) -> DataFrame:
-    """Gaussian noise on every element, a function of seed, key and place."""
+    """Gaussian noise on every element, a function of seed, key and place.
+
+    The elements of an Arrow batch are drawn together: as lambdas over the arrays they would be interpreted one by one.
+    """
     if std <= 0:
         return seqs
 
-    def row(values, step):
-        place = lambda j: step * F.size(values) + j
-        return F.transform(values, lambda x, j: (x + std * gauss(F.col("_state"), place(j))).cast("float"))
+    @F.arrow_udf("array<array<float>>")
+    def noisy(nested: pa.Array, state: pa.Array) -> pa.Array:
+        sample, step, width, channel = _elements(nested)
+        place = (step * width + channel).astype(np.int64) * 2
+        own = state.to_numpy()[sample]
+        bell = np.sqrt(-2 * np.log(_drawn(own, place))) * np.cos(2 * math.pi * _drawn(own, place + 1))
+        return _refilled(nested, lambda x: (x + std * bell).astype(np.float32))
 
-    noisy = seqs.withColumn("_state", sample_state(seed, "noise"))
-    return noisy.withColumn("sequence", F.transform("sequence", row)).drop("_state")
+    floats = F.col("sequence").cast("array<array<float>>")
+    return seqs.withColumn("sequence", noisy(floats, sample_state(seed, "noise")))
 
 
 def mask_features(seqs: DataFrame, prob: float = 0.05, seed: int = 42) -> DataFrame:
@@ -84,11 +133,13 @@ def mask_features(seqs: DataFrame, prob: float = 0.05, seed: int = 42) -> DataFr
         return seqs
 
     # Whether a channel stays is drawn once for the sample, not for every step.
-    width = F.size(F.element_at("sequence", 1))
-    stays = F.transform(F.sequence(F.lit(0), width - 1), lambda j: draw(F.col("_state"), j) > prob)
-    keep = lambda x, j: F.when(F.get(F.col("_stays"), j), x).otherwise(F.lit(0.0).cast("float"))
-    masked = seqs.withColumn("_state", sample_state(seed, "mask")).withColumn("_stays", stays)
-    return masked.withColumn("sequence", F.transform("sequence", lambda values: F.transform(values, keep))).drop("_state", "_stays")
+    @F.arrow_udf(seqs.schema["sequence"].dataType)
+    def masked(nested: pa.Array, state: pa.Array) -> pa.Array:
+        sample, _, _, channel = _elements(nested)
+        stays = _drawn(state.to_numpy()[sample], channel.astype(np.int64)) > prob
+        return _refilled(nested, lambda x: np.where(stays, x, x.dtype.type(0)))
+
+    return seqs.withColumn("sequence", masked("sequence", sample_state(seed, "mask")))
 
 
 def with_batches(rows: DataFrame, batch_size: int = 64, shuffle: bool = False, seed: int = 42) -> DataFrame:

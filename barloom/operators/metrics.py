@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.search import with_place
+
 
 def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
@@ -82,13 +84,15 @@ def roc_auc(scored: DataFrame, by: list[str] | None = None, buckets: int = 256)
         _count(F.col("label") > 0.5).alias("pos"), _count(F.col("label") <= 0.5).alias("neg")
     )
     probs = [i / buckets for i in range(1, buckets)]
-    edges = distinct.groupBy(*by).agg(F.percentile_approx("score", probs, 4 * buckets).alias("_edges"))
+    # The counts are looked at so that no pruning parts this from the rows below: one shuffle serves both.
+    counted = F.when(F.col("pos") + F.col("neg") > 0, F.col("score"))
+    edges = distinct.groupBy(*by).agg(F.percentile_approx(counted, probs, 4 * buckets).alias("_edges"))
     if by:
         placed = null_safe_join(distinct, edges, by)
     else:
         placed = distinct.withColumn("_edges", edges.scalar())
-    bucket = F.size(F.filter("_edges", lambda e: e < F.col("score")))
-    placed = placed.select(*by, "score", "pos", "neg", bucket.alias("_b"))
+    placed = with_place(placed, "_b", "_edges", buckets - 1, lambda e: e < F.col("score"))
+    placed = placed.select(*by, "score", "pos", "neg", "_b")
     walked = placed.withColumn(
         "_below",
         F.sum("neg").over(Window.partitionBy(*by, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))

@@ -87,13 +87,13 @@ def _elements(nested: pa.ListArray) -> tuple[np.ndarray, ...]:
     return np.repeat(sample, width), np.repeat(step, width), np.repeat(width, width), channel
 
 
-def _refilled(nested: pa.ListArray, work: Callable[[np.ndarray], np.ndarray]) -> pa.ListArray:
-    """``nested`` with other elements; what is unknown stays so."""
+def _refilled(nested: pa.ListArray, work: Callable[[np.ndarray], np.ndarray], kept: np.ndarray | bool = True) -> pa.ListArray:
+    """``nested`` with other elements; what is unknown stays so, elements where ``kept``."""
     rows, inner = _opened(nested)
     cells, held = _opened(inner)
     unknown = lambda x: x.is_null() if x.null_count else None
     made = work(held.to_numpy(zero_copy_only=False))
-    made = pa.array(made, held.type, mask=held.is_null().to_numpy(zero_copy_only=False), from_pandas=False)
+    made = pa.array(made, held.type, mask=held.is_null().to_numpy(zero_copy_only=False) & kept, from_pandas=False)
     lists = pa.ListArray.from_arrays(pa.array(cells, pa.int32()), made, mask=unknown(inner))
     return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), lists, mask=unknown(nested))
 
@@ -135,9 +135,11 @@ def mask_features(seqs: DataFrame, prob: float = 0.05, seed: int = 42) -> DataFr
     # Whether a channel stays is drawn once for the sample, not for every step.
     @F.arrow_udf(seqs.schema["sequence"].dataType)
     def masked(nested: pa.Array, state: pa.Array) -> pa.Array:
-        sample, _, _, channel = _elements(nested)
-        stays = _drawn(state.to_numpy()[sample], channel.astype(np.int64)) > prob
-        return _refilled(nested, lambda x: np.where(stays, x, x.dtype.type(0)))
+        sample, step, width, channel = _elements(nested)
+        drawn = np.zeros(len(nested), np.int64)  # channels are those of a sample's first step
+        drawn[sample[step == 0]] = width[step == 0]
+        stays = (channel < drawn[sample]) & (_drawn(state.to_numpy()[sample], channel.astype(np.int64)) > prob)
+        return _refilled(nested, lambda x: np.where(stays, x, x.dtype.type(0)), stays)
 
     return seqs.withColumn("sequence", masked("sequence", sample_state(seed, "mask")))
 

@@ -57,6 +57,7 @@ def test_augmentation_is_drawn_in_batches(spark):
         ("B", None, []),
         ("C", DAY, None),
         ("D", DAY, [None, [4.0, 5.0, 6.0]]),
+        *[(f"E{i}", DAY, [[None, 7.0], [8.0, None]]) for i in range(8)],
     ]
     table = spark.createDataFrame(rows, "Symbol string, Date date, sequence array<array<float>>")
     noisy = sequences.add_noise(table, 0.5)
@@ -77,7 +78,7 @@ def test_augmentation_is_drawn_in_batches(spark):
                 place = (step * len(cells) + j) * 2
                 a, b = _draw(state["noise"], place), _draw(state["noise"], place + 1)
                 want = None if x is None else float(np.float32(x + 0.5 * math.sqrt(-2 * math.log(a)) * math.cos(2 * math.pi * b)))
-                stays = _draw(state["mask"], j) > 0.5
+                stays = j < len(nested[0] or []) and _draw(state["mask"], j) > 0.5
                 for value, kept in ((got[symbol][0][step][j], True), (got[symbol][1][step][j], stays)):
                     if not kept:
                         assert value == 0.0

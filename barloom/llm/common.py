@@ -36,6 +36,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),  # 64 MB by default: copied and doubled in the JVM, then held in Python
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",  # 4096 by default, whatever the length of a text
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are read and go to Python a few MB at a time from now on, unless the session was given other batches."""
+    given = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in given:
+            spark.conf.set(key, value)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver has collected their handles.
 

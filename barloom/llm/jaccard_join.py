@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, cross_pairs, partitions, release, shared_buckets, shingle_set, stored, with_ids
+from barloom.llm.common import components, cross_pairs, partitions, release, shared_buckets, shingle_set, small_batches, stored, with_ids
 
 GROUPS = 512
 FULL = 255  # a group count that stands for itself or more
@@ -248,6 +248,7 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     Links are looked for in rounds over the same buckets: each node against its bucket's smallest, which
     settles groups of copies in one step, up to ``TURNS`` times against another one of the bucket, then all pairs of different components the trees let through.
     """
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs, id_column, text, width, percent, row_hash))
     known = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     copies = known.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))

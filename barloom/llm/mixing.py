@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import WORD, stored
+from barloom.llm.common import WORD, small_batches, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 FACTOR = 1.5
@@ -66,12 +66,14 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     line up by size class, a hash and size; the expected copies are summed in that order,
     one offset per source is added, and a document is emitted once per integer the
     sum crosses in it. A hot source is spread over size classes and salts: ranks are
-    offsets from counts per (source, class, salt) plus a rank inside that cell.
+    offsets from counts per (source, class, salt) plus a rank inside that cell. Rows with their
+    texts are shuffled and sorted once: the ranks and the join with the cells have the same keys.
 
     A null text has size 0; a source of size 0 expects no copies; null sources are
     one source, last; equal rows take neighbouring ranks; an empty table gives
     no rows. Result columns replace columns of ``docs`` with the same names.
     """
+    small_batches(docs.sparkSession)
     added = ("size", "source_size", "target", "copies")
     given = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     rows = docs.select(given.alias("row"), F.col(id_column).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
@@ -86,18 +88,15 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     line = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "_class", "_salt", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
     cells = cells.join(targets, cells["source"].eqNullSafe(targets["source"])).select(cells["source"].alias("_source"), "_class", "_salt", "_before", "source_size", "target")
-    inside = Window.partitionBy("source", "_class", "_salt").orderBy("size", F.col("id").asc_nulls_last())
-    ranked = rows.withColumn("_rank", F.row_number().over(inside)).alias("r")
-    cells = cells.alias("c")
-    both = ranked.join(
-        cells,
-        F.col("r.source").eqNullSafe(F.col("c._source")) & (F.col("r._class") == F.col("c._class")) & (F.col("r._salt") == F.col("c._salt")),
-    )
+    # In a struct a null source equals itself, so the join takes the rows as the window has dealt and sorted them.
+    inside = Window.partitionBy("_of", "_class", "_salt").orderBy("size", F.col("id").asc_nulls_last())
+    ranked = rows.withColumn("_of", F.struct("source")).withColumn("_rank", F.row_number().over(inside))
+    both = ranked.join(cells.withColumn("_of", F.struct(F.col("_source").alias("source"))), ["_of", "_class", "_salt"])
     rate = F.when(F.col("source_size") > 0, F.least(F.try_divide("target", "source_size"), F.lit(MOST))).otherwise(0.0)
     at = F.col("_before") + F.col("_rank")
     offset = _unit(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_source"), F.lit(""))))
     crossed = F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)
-    return both.select("r.row.*", F.col("r.size").alias("size"), "source_size", "target", crossed.cast("long").alias("copies"))
+    return both.select("row.*", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:

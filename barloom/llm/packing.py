@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import partitions, stored
+from barloom.llm.common import partitions, small_batches, stored
 from barloom.llm.tokens import Encoder, tokenizer_path
 
 LENGTH = 2048
@@ -112,5 +112,6 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     A null text is empty and gives one piece, the end id. Ids are the tokenizer's without special
     tokens, then id 0. The pieces, a few numbers each, are written once, as two passes read them.
     """
+    small_batches(docs.sparkSession)
     pieces = stored(token_pieces(docs, id_column, text, length, path))
     return pack(pieces, length).withColumnRenamed("id", id_column)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import release, stored, with_ids
+from barloom.llm.common import release, small_batches, stored, with_ids
 from barloom.llm.kneser_ney import count_grams, model, perplexities
 
 QUANTILE = 0.99
@@ -70,6 +70,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     holds none back, or all, the same documents serve for both. Ids may repeat or be null: ``row_hash``, a hash of the text, tells rows apart, and equal rows
     get equal results. Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), _row_hash(text).alias("row_hash"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     good = labels.filter("quality = 1").select(F.col(id_column).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
     back = F.pmod(F.xxhash64("id", F.lit("held back")), F.lit(FOLDS)) == 0

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import small_batches
+
 LABELLED = 20_000  # labelled rows the classifier is fitted on, at most: those with the smallest hash of their id
 EVIDENCE = 22.0  # log-likelihood ratio a word needs to enter the lexicon
 MOST_WORDS = 50_000  # of the lexicon; it is learned from at most LABELLED texts
@@ -359,6 +361,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains, id_column: str =
     table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("score", "predicted")
     chosen = labels.filter(trains & F.col("toxic").isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))  # of two labels the toxic one
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)  # bounds what is broadcast

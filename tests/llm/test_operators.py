@@ -150,6 +150,37 @@ def test_mix_takes_near_its_targets(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_shuffles_and_sorts_texts_once(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(i if i % 5 else None, "word " * (1 + i % 7), None, (None, "", "a", "b")[i % 4], 1, "") for i in range(200)]
+    mixed = mixing.mix_sources(own.createDataFrame([*rows, *rows], DOCS))
+    plan = mixed._jdf.queryExecution().executedPlan().toString().split("\n")
+    # From the join with the cells, which are its right side, down to the rows' scan.
+    at = next(i for i, x in enumerate(plan) if "Join" in x)
+    below = plan[at + 1 : next(i for i, x in enumerate(plan) if i > at and "Scan" in x)]
+    assert sum("Exchange" in x for x in below) == 1 and sum("Sort [" in x for x in below) == 1
+    assert mixed.count() == 400 and {r.source for r in mixed.collect()} == {None, "", "a", "b"}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield b.iloc[:1].assign(n=int(b["text"].str.len().sum()))[["n"]]
+
+    own, given = spark.newSession(), spark.newSession()
+    given.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1048576")
+    for session, most in ((own, 9 << 20), (given, 2 << 20)):
+        long = session.range(0, 9000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 700).alias("text"))
+        jaccard_join.jaccard_groups(long.limit(0))
+        got = [r.n for r in long.mapInPandas(sizes, "n long").collect()]
+        assert sum(got) == 9000 * 4200 and max(got) <= most
+    for operator in (lambda d: mixing.mix_sources(d), lambda d: packing.pack_documents(d)):
+        other = spark.newSession()
+        operator(other.createDataFrame([], DOCS))
+        assert other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
 # --- near-duplicates ------------------------------------------------------------------
 
 

@@ -6,11 +6,16 @@ A scored table has ``label`` (0/1) and ``score`` (a logit), or ``y`` and
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.search import with_place
 
+# Tasks that share the rows of one frequent score.
+_SPREAD = 64
+
 
 def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
@@ -114,6 +119,50 @@ def roc_auc(scored: DataFrame, by: list[str] | None = None, buckets: int = 256)
     return total.select(*by, _share(F.col("wins"), F.col("pos") * F.col("neg")).alias("roc_auc"))
 
 
+def roc_auc_by_number(scored: DataFrame, by: str, some: DataFrame, buckets: int = 256) -> DataFrame:
+    """``roc_auc`` for a few groups with numbers from 0 in ``by``, when most scores differ.
+
+    Equal scores are not counted first, which would move nearly all rows once more: every row is shuffled once, to its cell. Cells
+    lie between sketched quantiles of ``some`` rows like these, as many of each group, which only decide how the work is cut up. What
+    a cell holds is sorted and counted on its own. Scores equal to an edge, as every frequent one is, unknown ones (lowest)
+    and NaN (highest) are cells that need no order and are spread over tasks.
+    """
+    side = F.when(F.col("label") > 0.5, 1).when(F.col("label") <= 0.5, -1).otherwise(0).cast("tinyint")
+    probs = [i / buckets for i in range(1, buckets)]
+    known = F.when(~F.isnan("score"), F.col("score"))
+    edges = some.groupBy(by).agg(F.percentile_approx(known, probs, 4 * buckets).alias("_edges"))
+    edges = edges.agg(F.map_from_entries(F.collect_list(F.struct(by, "_edges")))).scalar()
+    rows = scored.select(by, F.col("score").cast("double").alias("score"), side.alias("_side"))
+    rows = rows.withColumn("_edges", F.try_element_at(edges, F.col(by)))
+    placed = with_place(rows, "_b", "_edges", buckets - 1, lambda e: e < F.col("score"))
+    # odd cells are between edges, even ones level
+    level = F.when(F.col("score").isNull(), 0).when(F.isnan("score"), 2 * buckets + 2)
+    level = level.when(F.get("_edges", "_b") == F.col("score"), 2 + 2 * F.col("_b"))
+    placed = placed.withColumn("_level", level).withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(_SPREAD)))
+    group, cells = F.col(by).cast("bigint"), 2 * buckets + 3
+    cell = F.when(F.col("_level").isNull(), group * _SPREAD * cells + 1 + 2 * F.col("_b"))
+    cell = cell.otherwise((group * _SPREAD + F.col("_task")) * cells + F.col("_level")).alias("_cell")
+    sent = placed.select(cell, F.when(F.col("_level").isNull(), F.col("score")).otherwise(0.0).alias("score"), "_side")
+    part = sent.groupBy("_cell").applyInArrow(_pairs, "_cell bigint, wins double, pos double, neg double")
+    number = F.floor(F.col("_cell") / (_SPREAD * cells)).cast(scored.schema[by].dataType)
+    part = part.groupBy(number.alias(by), F.pmod("_cell", F.lit(cells)).alias("_cell"))
+    part = part.agg(*[F.sum(c).alias(c) for c in ("wins", "pos", "neg")])
+    part = part.withColumn("wins", F.when(F.col("_cell") % 2 == 1, F.col("wins")).otherwise(F.col("pos") * F.col("neg") / 2))
+    order = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    part = part.withColumn("_lower", F.sum("neg").over(order) - F.col("neg"))
+    wins = F.sum(F.col("wins") + F.col("pos") * F.col("_lower"))
+    return part.groupBy(by).agg(_share(wins, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+
+
+def _pairs(cell: pa.Table) -> pa.Table:
+    """Positives, negatives and wins of positives over negatives, half of ties, of one cell."""
+    score, side = cell["score"].to_numpy(), cell["_side"].to_numpy()
+    pos, neg = np.sort(score[side > 0]), np.sort(score[side < 0])
+    wins = (np.searchsorted(neg, pos, "left").sum() + np.searchsorted(neg, pos, "right").sum()) / 2
+    values = {"wins": [float(wins)], "pos": [float(len(pos))], "neg": [float(len(neg))]}
+    return pa.table({"_cell": cell["_cell"].slice(0, 1)} | values)
+
+
 def regression_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean squared error, its root and R2; R2 is NULL for a constant target."""
     by = by or []

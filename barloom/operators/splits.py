@@ -8,19 +8,27 @@ labelled by comparing their key with that row: no shuffle of the panel.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
 from barloom.functions.search import with_place
 from barloom.schema import KEY, TIME
+from barloom.session import spread
 
 
 _SLICES = 64
 
+# Parts of the positions for each task, at most and at least so many rows in one; a day with more rows than that is cut at so many symbols.
+_PARTS, _PART_ROWS, _LEAST_ROWS = 4, 1 << 17, 1 << 12
+_DAY_ROWS, _KEY_EDGES = 1 << 18, 1023
+
 
 def _sliced(rows: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` plus ``_slice``: which of 64 ordered key ranges a row falls in.
@@ -224,6 +232,91 @@ def with_rank(
     return ranked.select(*rows.columns, (F.col("_before") + inside).alias(name))
 
 
+def with_partner(rows: DataFrame, drawn: Column, kept: list[str], columns: list[str], name: str) -> DataFrame:
+    """Columns ``kept`` of every row, and as struct ``name`` the ``columns`` of the row that stands at the same position in the
+    order of ``drawn``, a hexadecimal digest of the (unique) key. The first order is (Date, Symbol); rows without a
+    day come first there and are left out.
+
+    Counts per day and per digest prefix tell the position at which each of them starts, so a row goes straight to the part of the
+    positions it belongs to: one shuffle of rows and partners. Prefixes at the edge of a part go to both sides of it. Each part is
+    sorted and matched on its own. ``rows`` is read several times.
+    """
+    spark = rows.sparkSession
+    prefix = F.substring(drawn, 1, 4)
+    days = {(r[0], 0): r[1] for r in rows.groupBy(TIME).count().collect()}  # one row per day
+    prefixes = sorted(map(tuple, rows.groupBy(prefix).count().collect()))  # 16 bits
+    busy = [d for (d, _), n in days.items() if d is not None and n > _DAY_ROWS]
+    sliced = rows.withColumn("_slice", F.lit(0))
+    if busy:
+        inside = in_buckets(rows, F.col(TIME), busy)
+        few = inside.select(KEY).orderBy(F.xxhash64(KEY, TIME), KEY, TIME).limit(_KEY_EDGES)
+        edges = few.agg(F.array_sort(F.collect_set(KEY))).first()[0]
+        held = F.lit(edges) if edges else F.array().cast("array<string>")
+        marked = lambda t: with_place(t.withColumn("_edges", held), "_slice", "_edges", _KEY_EDGES, lambda e: e <= F.col(KEY))
+        sizes = marked(inside).groupBy(TIME, "_slice").count().collect()
+        days = {k: n for k, n in days.items() if k[0] not in set(busy)} | {(r[0], r[1]): r[2] for r in sizes}
+        sliced = marked(rows).withColumn("_slice", F.when(F.col(TIME).isin(busy), F.col("_slice")).otherwise(F.lit(0)))
+    own, others = _routes(days, prefixes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    day_type = rows.schema[TIME].dataType.simpleString()
+    own = F.broadcast(spark.createDataFrame(own, f"{TIME} {day_type}, _slice int, _part int, _start bigint"))
+    others = F.broadcast(spark.createDataFrame(others, "_prefix string, _part int, _start bigint"))
+    carried = list(dict.fromkeys(kept + columns))
+    given = [F.col(c) if c in columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in carried]
+    sent = ["_part", "_start", TIME, KEY]
+    left = sliced.join(own, [TIME, "_slice"]).select(F.lit(False).alias("_drawn"), *sent, *carried)
+    right = rows.withColumn("_prefix", prefix).join(others, "_prefix").select(F.lit(True).alias("_drawn"), *sent, *given)
+    both = spread(left.union(right), "_part").withColumn("_h", F.when(F.col("_drawn"), drawn))
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = [f"`_own_{c}` {types[c]}" for c in kept] + [f"`_other_{c}` {types[c]}" for c in columns]
+
+    def matched(part: pa.Table) -> pa.Table:
+        return _matched(part, kept, columns)
+
+    met = both.groupBy("_part").applyInArrow(matched, ", ".join(schema))
+    partner = F.struct(*[F.col(f"`_other_{c}`").alias(c) for c in columns]).alias(name)
+    return met.select(*[F.col(f"`_own_{c}`").alias(c) for c in kept], partner)
+
+
+def _routes(days: dict[tuple, int], prefixes: list[tuple[str, int]], tasks: int) -> tuple[list[tuple], list[tuple]]:
+    """Where the rows of each ``(day, slice)`` and of each prefix go: the part, and the position of the first row sent there."""
+    total = sum(days.values())
+    parts = max(1, min(max(_PARTS * tasks, total // _PART_ROWS), total // _LEAST_ROWS))
+    own, numbers, starts, at = [], [], [], 0
+    for (day, piece), n in sorted(days.items(), key=lambda x: (x[0][0] is not None, *x[0])):
+        if day is not None:
+            number = at * parts // total
+            if not numbers or numbers[-1] != number:
+                numbers.append(number)
+                starts.append(at)
+            own.append((day, piece, number, starts[-1]))
+        at += n
+    others, first, at = [], {}, 0
+    for digits, n in prefixes:
+        k = max(0, bisect.bisect_right(starts, at) - 1)
+        while k < len(starts) and starts[k] < at + n:
+            others.append((digits, numbers[k], first.setdefault(numbers[k], at)))
+            k += 1
+        at += n
+    return own, others
+
+
+def _matched(part: pa.Table, kept: list[str], columns: list[str]) -> pa.Table:
+    """Rows of a part beside the drawn ones at the same positions."""
+    part = part.combine_chunks()
+
+    def sorted_by(side, *names):
+        rows = part.filter(side)
+        return rows.take(pc.sort_indices(rows, sort_keys=[(n, "ascending") for n in names], null_placement="at_start"))
+
+    own, others = sorted_by(pc.invert(part["_drawn"]), TIME, KEY), sorted_by(part["_drawn"], "_h", KEY, TIME)
+    start = own["_start"][0].as_py() if own.num_rows else 0
+    ahead = start - others["_start"][0].as_py() if others.num_rows else 0
+    own, others = own.slice(0, max(0, others.num_rows - ahead)), others.slice(ahead, own.num_rows)
+    return pa.table({f"_own_{c}": own[c] for c in kept} | {f"_other_{c}": others[c] for c in columns})
+
+
 def in_order(panel: DataFrame) -> DataFrame:
     return panel.orderBy(TIME, KEY)
 

@@ -217,19 +217,23 @@ def permutation_importance(
 ) -> DataFrame:
     """How much AUC a score loses when one feature comes from another row: ``Feature, roc_auc, Importance, place``.
 
-    Rows in order of day and symbol are paired with rows in order of a seeded hash, one permutation for all features, found
-    from ranks by a join. Each row is scored once as it is and once per feature with that one from its partner, in a
-    single pass, and one count of equal scores by feature gives all areas. ``score`` adds a column of that name.
+    Rows in order of day and symbol are paired with rows in order of a seeded hash, one permutation for all features. Each row is
+    scored once as it is and once per feature with that one from its partner, in a single pass, and all areas come from one
+    shuffle of the scores. ``score`` adds a column of that name. ``rows`` is read several times, so pass a stored table.
     """
     known = rows.select(KEY, TIME, *features, F.col(label).cast("double").alias("label")).filter("label IS NOT NULL")
-    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(KEY), F.date_format(TIME, "yyyy-MM-dd")))
-    others = known.select(KEY, TIME, drawn.alias("_h"), F.struct(*features).alias("_other"))
-    others = splits.with_rank(others, F.substring("_h", 1, 4), ["_h", KEY, TIME], name="_at").select("_at", "_other")
-    paired = splits.with_rank(known, name="_at").join(others, "_at")
-    taken = paired.withColumn("Feature", F.explode(F.array(F.lit(""), *[F.lit(f) for f in features])))
-    mixed = [F.when(F.col("Feature") == f, F.col("_other")[f]).otherwise(F.col(f)).alias(f) for f in features]
-    scored = score(taken.select("Feature", "label", *mixed)).select("Feature", "label", "score")
-    areas = metrics.roc_auc(scored, ["Feature"])
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(KEY), F.col(TIME).cast("date").cast("string")))
+
+    def scored(part: DataFrame) -> DataFrame:
+        paired = splits.with_partner(part, drawn, ["label", *features], features, "_other")
+        # numbers of the features are shorter to shuffle than their names; 0 is no feature
+        taken = paired.withColumn("Feature", F.explode(F.array(*[F.lit(i) for i in range(len(features) + 1)])))
+        mixed = [F.when(F.col("Feature") == i, F.col("_other")[f]).otherwise(F.col(f)).alias(f) for i, f in enumerate(features, 1)]
+        return score(taken.select("Feature", "label", *mixed)).select("Feature", "label", "score")
+
+    some = known.filter(F.pmod(F.xxhash64(KEY, TIME), F.lit(32)) == 0)
+    areas = metrics.roc_auc_by_number(scored(known), "Feature", scored(some))
+    areas = areas.withColumn("Feature", F.get(F.array(*[F.lit(f) for f in ["", *features]]), F.col("Feature")))
     # one row per feature
     whole = F.max(F.when(F.col("Feature") == "", F.col("roc_auc"))).over(Window.partitionBy(F.lit(0)))
     losses = areas.withColumn("Importance", whole - F.col("roc_auc")).filter("Feature <> ''")

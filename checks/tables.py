@@ -928,11 +928,12 @@ def latest_windows(spark, sf_dir):
 MODEL_FEATURES = ["Return", "Close_to_MA_20", "Volatility_20", "Return_Mean_5", "Price_ZScore_20"]
 
 
-def _model_rows(spark, sf_dir):
+def _model_rows(spark, sf_dir, keep=None):
     names = MODEL_FEATURES + ["Target_Return_1d"] + [f"Target_Direction_{h}d" for h in HORIZONS]
     rows = panel.with_features(market.supplier_bars(spark, sf_dir), names)
+    rows = rows.select("Symbol", "Date", "Close", *names).dropna(subset=MODEL_FEATURES + ["Target_Return_1d"])
     # several passes read these rows; a real job would read a stored panel
-    return rows.select("Symbol", "Date", "Close", *names).dropna(subset=MODEL_FEATURES + ["Target_Return_1d"]).persist()
+    return (rows if keep is None else rows.select("Symbol", "Date", *keep)).persist()
 
 
 def model_check(name, columns, body, *layers):
@@ -1107,7 +1108,8 @@ def permutation_importance(spark, sf_dir):
             made = part if made is None else made + part
         return rows.withColumn("score", made)
 
-    return training.permutation_importance(_model_rows(spark, sf_dir), MODEL_FEATURES, score, "Target_Direction_1d")
+    rows = _model_rows(spark, sf_dir, MODEL_FEATURES + ["Target_Direction_1d"])
+    return training.permutation_importance(rows, MODEL_FEATURES, score, "Target_Direction_1d")
 
 
 @check(

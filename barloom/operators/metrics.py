@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.search import with_place
+from barloom.session import spread
 
 # Tasks that share the rows of one frequent score.
 _SPREAD = 64
@@ -143,7 +144,7 @@ def roc_auc_by_number(scored: DataFrame, by: str, some: DataFrame, buckets: int
     cell = F.when(F.col("_level").isNull(), group * _SPREAD * cells + 1 + 2 * F.col("_b"))
     cell = cell.otherwise((group * _SPREAD + F.col("_task")) * cells + F.col("_level")).alias("_cell")
     sent = placed.select(cell, F.when(F.col("_level").isNull(), F.col("score")).otherwise(0.0).alias("score"), "_side")
-    part = sent.groupBy("_cell").applyInArrow(_pairs, "_cell bigint, wins double, pos double, neg double")
+    part = spread(sent, "_cell").groupBy("_cell").applyInArrow(_pairs, "_cell bigint, wins double, pos double, neg double")
     number = F.floor(F.col("_cell") / (_SPREAD * cells)).cast(scored.schema[by].dataType)
     part = part.groupBy(number.alias(by), F.pmod("_cell", F.lit(cells)).alias("_cell"))
     part = part.agg(*[F.sum(c).alias(c) for c in ("wins", "pos", "neg")])

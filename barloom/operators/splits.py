@@ -256,31 +256,32 @@ def with_partner(rows: DataFrame, drawn: Column, kept: list[str], columns: list[
         sizes = marked(inside).groupBy(TIME, "_slice").count().collect()
         days = {k: n for k, n in days.items() if k[0] not in set(busy)} | {(r[0], r[1]): r[2] for r in sizes}
         sliced = marked(rows).withColumn("_slice", F.when(F.col(TIME).isin(busy), F.col("_slice")).otherwise(F.lit(0)))
-    own, others = _routes(days, prefixes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own, others, ahead = _routes(days, prefixes, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     day_type = rows.schema[TIME].dataType.simpleString()
-    own = F.broadcast(spark.createDataFrame(own, f"{TIME} {day_type}, _slice int, _part int, _start bigint"))
-    others = F.broadcast(spark.createDataFrame(others, "_prefix string, _part int, _start bigint"))
+    own = F.broadcast(spark.createDataFrame(own, f"{TIME} {day_type}, _slice int, _part int"))
+    others = F.broadcast(spark.createDataFrame(others, "_prefix string, _part int"))
     carried = list(dict.fromkeys(kept + columns))
     given = [F.col(c) if c in columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in carried]
-    sent = ["_part", "_start", TIME, KEY]
-    left = sliced.join(own, [TIME, "_slice"]).select(F.lit(False).alias("_drawn"), *sent, *carried)
-    right = rows.withColumn("_prefix", prefix).join(others, "_prefix").select(F.lit(True).alias("_drawn"), *sent, *given)
+    left = sliced.join(own, [TIME, "_slice"]).select("_part", F.lit(False).alias("_drawn"), TIME, KEY, *carried)
+    right = rows.withColumn("_prefix", prefix).join(others, "_prefix")
+    right = right.select("_part", F.lit(True).alias("_drawn"), TIME, KEY, *given)
     both = spread(left.union(right), "_part").withColumn("_h", F.when(F.col("_drawn"), drawn))
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = [f"`_own_{c}` {types[c]}" for c in kept] + [f"`_other_{c}` {types[c]}" for c in columns]
 
     def matched(part: pa.Table) -> pa.Table:
-        return _matched(part, kept, columns)
+        return _matched(part, ahead[part["_part"][0].as_py()], kept, columns)
 
     met = both.groupBy("_part").applyInArrow(matched, ", ".join(schema))
     partner = F.struct(*[F.col(f"`_other_{c}`").alias(c) for c in columns]).alias(name)
     return met.select(*[F.col(f"`_own_{c}`").alias(c) for c in kept], partner)
 
 
-def _routes(days: dict[tuple, int], prefixes: list[tuple[str, int]], tasks: int) -> tuple[list[tuple], list[tuple]]:
-    """Where the rows of each ``(day, slice)`` and of each prefix go: the part, and the position of the first row sent there."""
+def _routes(days: dict[tuple, int], prefixes: list[tuple[str, int]], tasks: int) -> tuple[list, list, dict[int, int]]:
+    """The part that the rows of each ``(day, slice)`` go to, the parts of each prefix, and how many positions before a part
+    the first prefix sent there starts."""
     total = sum(days.values())
     parts = max(1, min(max(_PARTS * tasks, total // _PART_ROWS), total // _LEAST_ROWS))
     own, numbers, starts, at = [], [], [], 0
@@ -290,20 +291,21 @@ def _routes(days: dict[tuple, int], prefixes: list[tuple[str, int]], tasks: int)
             if not numbers or numbers[-1] != number:
                 numbers.append(number)
                 starts.append(at)
-            own.append((day, piece, number, starts[-1]))
+            own.append((day, piece, number))
         at += n
-    others, first, at = [], {}, 0
+    others, ahead, at = [], {}, 0
     for digits, n in prefixes:
         k = max(0, bisect.bisect_right(starts, at) - 1)
         while k < len(starts) and starts[k] < at + n:
-            others.append((digits, numbers[k], first.setdefault(numbers[k], at)))
+            others.append((digits, numbers[k]))
+            ahead.setdefault(numbers[k], starts[k] - at)
             k += 1
         at += n
-    return own, others
+    return own, others, ahead
 
 
-def _matched(part: pa.Table, kept: list[str], columns: list[str]) -> pa.Table:
-    """Rows of a part beside the drawn ones at the same positions."""
+def _matched(part: pa.Table, ahead: int, kept: list[str], columns: list[str]) -> pa.Table:
+    """Rows of a part beside the drawn ones at the same positions, of which ``ahead`` lie before the part."""
     part = part.combine_chunks()
 
     def sorted_by(side, *names):
@@ -311,8 +313,6 @@ def _matched(part: pa.Table, kept: list[str], columns: list[str]) -> pa.Table:
         return rows.take(pc.sort_indices(rows, sort_keys=[(n, "ascending") for n in names], null_placement="at_start"))
 
     own, others = sorted_by(pc.invert(part["_drawn"]), TIME, KEY), sorted_by(part["_drawn"], "_h", KEY, TIME)
-    start = own["_start"][0].as_py() if own.num_rows else 0
-    ahead = start - others["_start"][0].as_py() if others.num_rows else 0
     own, others = own.slice(0, max(0, others.num_rows - ahead)), others.slice(ahead, own.num_rows)
     return pa.table({f"_own_{c}": own[c] for c in kept} | {f"_other_{c}": others[c] for c in columns})
 

@@ -120,19 +120,17 @@ def test_routes_cover_every_position():
     days = {(None, 0): 5} | {(DAY + dt.timedelta(days=d), 0): 1 + d * 37 % 101 for d in range(300)}
     total = sum(days.values())
     prefixes = [(f"{i:04x}", 30) for i in range(total // 30)] + [("ffff", total % 30)]
-    own, others = splits._routes(days, prefixes, 2)
-    assert len({r[2] for r in own}) > 1
-    bounds = {}
-    for day, piece, part, start in own:
-        first, size = bounds.get(part, (start, 0))
-        assert first == start
-        bounds[part] = (start, size + days[day, piece])
+    own, others, ahead = splits._routes(days, prefixes, 2)
+    assert len({r[2] for r in own}) > 1 and len(own) == 300
+    begin = dict(zip(days, np.cumsum([0, *days.values()])))
     sizes = dict(prefixes)
     at = dict(zip(sizes, np.cumsum([0, *sizes.values()])))
-    for part, (start, size) in bounds.items():
-        there = [r for r in others if r[1] == part]
-        assert there[0][2] == at[there[0][0]] <= start and at[there[-1][0]] + sizes[there[-1][0]] >= start + size
-        assert sum(sizes[r[0]] for r in there) <= size + 2 * 30  # only prefixes at its edges lie in other parts too
+    for part in {r[2] for r in own}:
+        held = [r[:2] for r in own if r[2] == part]
+        there = [r[0] for r in others if r[1] == part]
+        start, size = begin[held[0]], sum(days[x] for x in held)
+        assert at[there[0]] == start - ahead[part] <= start and at[there[-1]] + sizes[there[-1]] >= start + size
+        assert sum(sizes[x] for x in there) <= size + 2 * 30  # only prefixes at its edges lie in other parts too
 
 
 def test_areas_of_numbered_groups(spark):
